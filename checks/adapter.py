@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from themeloom.functions.pii import scrub_pii
+from themeloom.functions.text import review_id
 from themeloom.functions.weeks import iso_week_of
 from themeloom.operators.dedup import clean_reviews, dedup_reviews
 from themeloom.operators.filters import min_length
@@ -52,6 +53,9 @@ class Tables:
                 "lang",
             )
             .withColumn("ord", review_order(F.col("source"), F.col("doc_id")))
+            .withColumn(
+                "review_id", review_id(F.col("text"), F.col("rating"), F.col("review_date"))
+            )
         )
 
     @property
@@ -265,7 +269,7 @@ CTES = {
         SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY cluster_first, rank) AS ordinal
         FROM v_prompt_sample""",
     "v_response_parts": f"""
-        SELECT run_id, week_start, cluster_id, attempt, CAST(cluster_id + 1 AS VARCHAR) AS number,
+        SELECT run_id, week_start, cluster_id, CAST(attempt AS INTEGER) AS attempt, CAST(cluster_id + 1 AS VARCHAR) AS number,
                CASE WHEN (attempt = 1 AND cluster_id % 3 = 1) OR (attempt = 2 AND cluster_id % 5 = 2)
                       OR (attempt = 3 AND cluster_id % 7 = 3)
                     THEN '{LOST}' || array_to_string(string_split(text, ' ')[1:3], ' ')
@@ -304,12 +308,12 @@ CTES = {
     "v_review_tokens": f"""
         SELECT run_id, ord, rating, source, review_date, {tokens_sql('text')} AS rt FROM v_run_reviews""",
     "v_overlaps": """
-        SELECT *, list_filter(qt, lambda x: list_contains(rt, x)) AS both
+        SELECT *, list_filter(qt, lambda x: list_contains(rt, x)) AS common
         FROM v_quote_tokens JOIN v_review_tokens USING (run_id)""",
     "v_lengths": """
-        SELECT *, length(array_to_string(both, ' ')) AS s,
-               list_filter(qt, lambda x: NOT list_contains(both, x)) AS ab,
-               list_filter(rt, lambda x: NOT list_contains(both, x)) AS ba
+        SELECT *, length(array_to_string(common, ' ')) AS s,
+               list_filter(qt, lambda x: NOT list_contains(common, x)) AS ab,
+               list_filter(rt, lambda x: NOT list_contains(common, x)) AS ba
         FROM v_overlaps""",
     "v_rests": """
         SELECT *, array_to_string(ab, ' ') AS abs, array_to_string(ba, ' ') AS bas,
@@ -332,15 +336,15 @@ CTES = {
         FROM v_set_scores WHERE bound > set_score AND set_score < 100 AND len(qt) > 0 AND len(rt) > 0""",
     "v_masks": """
         SELECT *, list_transform(alphabet, lambda c: CAST(list_sum(list_transform(range(1, la + 1),
-                    lambda i: CASE WHEN substr(abs, i, 1) = c THEN CAST(1 AS UHUGEINT) << CAST(i - 1 AS INTEGER)
-                                   ELSE CAST(0 AS UHUGEINT) END)) AS UHUGEINT)) AS bits,
-               (CAST(1 AS UHUGEINT) << CAST(la AS INTEGER)) - 1 AS full_bits
+                    lambda i: CASE WHEN substr(abs, i, 1) = c THEN CAST(1 AS HUGEINT) << CAST(i - 1 AS INTEGER)
+                                   ELSE CAST(0 AS HUGEINT) END)) AS HUGEINT)) AS bits,
+               (CAST(1 AS HUGEINT) << CAST(la AS INTEGER)) - 1 AS full_bits
         FROM v_open_pairs""",
     "v_commons": """
         SELECT run_id, quote, ord, la, lb, s, sep,
                la - bit_count(list_reduce(
                  list_transform(string_split(bas, ''), lambda c:
-                   coalesce(bits[list_position(alphabet, c)], CAST(0 AS UHUGEINT))),
+                   coalesce(bits[list_position(alphabet, c)], CAST(0 AS HUGEINT))),
                  lambda v, m: ((v + (v & m)) | (v - (v & m))) & full_bits, full_bits)) AS lcs
         FROM v_masks""",
 }
