@@ -18,9 +18,8 @@ from themeloom.functions.text import WHITESPACE
 
 
 def token_set(text: Column) -> Column:
-    """Sorted distinct tokens."""
-    parts = F.split(text, rf"(?U){WHITESPACE}+")
-    return F.array_sort(F.array_distinct(F.array_remove(parts, "")))
+    """Distinct tokens."""
+    return F.array_distinct(F.array_remove(F.split(text, rf"(?U){WHITESPACE}+"), ""))
 
 
 def joined_length(tokens: Column) -> Column:
@@ -28,6 +27,11 @@ def joined_length(tokens: Column) -> Column:
     return F.length(F.array_join(tokens, " "))
 
 
+def rest_text(tokens: Column, shared: Column) -> Column:
+    """What one side has alone, in token order."""
+    return F.array_join(F.sort_array(F.array_except(tokens, shared)), " ")
+
+
 @dataclass(frozen=True)
 class SetOverlap:
     """Lengths of the three token groups of a pair, as columns."""
@@ -70,10 +74,10 @@ class SetOverlap:
 
 
 def set_overlap(
-    size_a: Column, length_a: Column, size_b: Column, length_b: Column, shared: Column
+    size_a: Column, length_a: Column, size_b: Column, length_b: Column,
+    size_i: Column, length_i: Column,
 ) -> SetOverlap:
-    """Lengths of a pair from each side's token count and joined length, and the shared tokens."""
-    size_i, length_i = F.size(shared), joined_length(shared)
+    """Lengths of a pair from token count and joined length of each side and of the shared tokens."""
 
     def rest(size: Column, length: Column) -> Column:
         # joined lengths add up, but for the space between the two groups where both exist
@@ -116,13 +120,15 @@ def common_subsequence_length(a: Column, b: Column) -> Column:
 def token_set_ratio(a: Column, b: Column) -> Column:
     """Similarity of two text columns; case and punctuation count."""
     ta, tb = token_set(a), token_set(b)
+    shared = F.array_intersect(ta, tb)
     overlap = set_overlap(
-        F.size(ta), joined_length(ta), F.size(tb), joined_length(tb), F.array_intersect(ta, tb)
+        F.size(ta), joined_length(ta), F.size(tb), joined_length(tb),
+        F.size(shared), joined_length(shared),
     )
     decided = overlap.set_score()
     # Null where token sets already decide, so that Python sees only the open pairs.
     open_pair = overlap.rest_bound() > decided
-    rest_a = F.when(open_pair, F.array_join(F.array_except(ta, tb), " "))
-    rest_b = F.when(open_pair, F.array_join(F.array_except(tb, ta), " "))
+    rest_a = F.when(open_pair, rest_text(ta, shared))
+    rest_b = F.when(open_pair, rest_text(tb, shared))
     common = common_subsequence_length(rest_a, rest_b)
     return F.greatest(decided, F.coalesce(overlap.rest_score(common), F.lit(0.0)))

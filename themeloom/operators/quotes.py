@@ -19,6 +19,7 @@ from themeloom.functions.fuzzy import (
     SetOverlap,
     common_subsequence_length,
     joined_length,
+    rest_text,
     set_overlap,
     token_set,
 )
@@ -27,22 +28,62 @@ from themeloom.schema import QUOTE_THRESHOLD
 _BEST = ("ord", "rating", "source", "review_date")
 
 
-def _with_overlap(pairs: DataFrame) -> tuple[DataFrame, SetOverlap]:
-    """Pairs with their shared tokens materialised, and the lengths derived from them."""
-    rows = pairs.withColumn("_both", F.array_intersect("_quote.tokens", "_tokens"))
-    return rows, set_overlap(
-        F.col("_quote.size"), F.col("_quote.length"),
-        F.col("_size"), F.col("_length"), F.col("_both"),
+def _overlap(pair: Column) -> SetOverlap:
+    quote = pair["quote"]
+    return set_overlap(
+        quote["size"], quote["length"], F.col("_size"), F.col("_length"),
+        pair["shared_size"], pair["shared_length"],
     )
 
 
-def _pairs(reviews: DataFrame, quotes: DataFrame, keep: list[str]) -> DataFrame:
-    """Review rows with one quote of their run each; ``quotes`` has one row per run."""
-    tokens = reviews.select("run_id", *keep, token_set(F.col("text")).alias("_tokens"))
+def _scored_pairs(quotes: Column) -> Column:
+    """A review's quotes with the tokens shared, the score these decide and the bound on the rest.
+
+    Worked out inside the review's row, step by step, so that no expression is evaluated twice and
+    a filter on the result is not pushed into it.
+    """
+    # Spark hashes the second array and probes with the first: hash the short one.
+    shared = F.transform(
+        quotes,
+        lambda q: F.struct(
+            q.alias("quote"), F.array_intersect("_tokens", q["tokens"]).alias("shared")
+        ),
+    )
+    sized = F.transform(
+        shared,
+        lambda p: F.struct(
+            p["quote"].alias("quote"),
+            p["shared"].alias("shared"),
+            F.size(p["shared"]).alias("shared_size"),
+            joined_length(p["shared"]).alias("shared_length"),
+        ),
+    )
+    return F.transform(
+        sized,
+        lambda p: F.struct(
+            p["quote"].alias("quote"),
+            p["shared"].alias("shared"),
+            p["shared_size"].alias("shared_size"),
+            p["shared_length"].alias("shared_length"),
+            _overlap(p).set_score().alias("set_score"),
+            _overlap(p).rest_bound().alias("bound"),
+        ),
+    )
+
+
+def _meet_quotes(reviews: DataFrame, quotes: DataFrame, keep: list[str]) -> DataFrame:
+    """Reviews with the quotes of their run as scored pairs in ``_pairs``.
+
+    ``quotes`` has one row per run. Reviews are spread by their own key first: the work per row is
+    high and a run may hold most rows.
+    """
+    tasks = int(reviews.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = reviews.select("run_id", "ord", "text", *keep).repartition(tasks, "run_id", "ord")
+    tokens = spread.withColumn("_tokens", token_set(F.col("text"))).drop("text")
     sized = tokens.withColumns(
         {"_size": F.size("_tokens"), "_length": joined_length(F.col("_tokens"))}
     )
-    return sized.join(quotes, "run_id").withColumn("_quote", F.explode("_quotes")).drop("_quotes")
+    return sized.join(quotes, "run_id").withColumn("_pairs", _scored_pairs(F.col("_quotes")))
 
 
 def _per_run(quotes: DataFrame, *fields: Column | str) -> DataFrame:
@@ -65,26 +106,41 @@ def match_quotes(
     )
     fields = ("text", "tokens", "size", "length")
 
-    pairs, overlap = _with_overlap(_pairs(reviews, _per_run(sized, *fields), []))
+    met = _meet_quotes(reviews, _per_run(sized, *fields), [])
     decided = (
-        pairs.groupBy("run_id", F.col("_quote.text").alias("text"))
-        .agg(F.max(overlap.set_score()).alias("floor"))
+        met.select(
+            "run_id",
+            F.explode(
+                F.transform(
+                    "_pairs",
+                    lambda p: F.struct(p["quote"]["text"].alias("text"), p["set_score"].alias("score")),
+                )
+            ).alias("p"),
+        )
+        .groupBy("run_id", "p.text")
+        .agg(F.max("p.score").alias("floor"))
     )
     known = sized.join(decided, ["run_id", "text"])
 
-    pairs, overlap = _with_overlap(_pairs(reviews, _per_run(known, *fields, "floor"), list(_BEST)))
-    floor = F.col("_quote.floor")
-    scored = pairs.withColumns({"_set": overlap.set_score(), "_bound": overlap.rest_bound()})
-    reaching = scored.where((F.col("_set") >= floor) | ((F.col("_bound") >= floor) & (floor < 100)))
-    open_pair = F.col("_bound") > F.col("_set")
+    def can_win(pair: Column) -> Column:
+        floor = pair["quote"]["floor"]
+        return (pair["set_score"] >= floor) | ((pair["bound"] >= floor) & (floor < 100))
+
+    facts = [name for name in _BEST if name != "ord"]
+    met = _meet_quotes(reviews, _per_run(known, *fields, "floor"), facts)
+    reaching = met.withColumn("p", F.explode(F.filter("_pairs", can_win))).drop("_pairs", "_quotes")
+    open_pair = F.col("p.bound") > F.col("p.set_score")
     common = common_subsequence_length(
-        F.when(open_pair, F.array_join(F.array_except("_quote.tokens", "_tokens"), " ")),
-        F.when(open_pair, F.array_join(F.array_except("_tokens", "_quote.tokens"), " ")),
+        F.when(open_pair, rest_text(F.col("p.quote.tokens"), F.col("p.shared"))),
+        F.when(open_pair, rest_text(F.col("_tokens"), F.col("p.shared"))),
     )
-    score = F.greatest("_set", F.coalesce(overlap.rest_score(common), F.lit(0.0)))
+    rest_score = F.coalesce(_overlap(F.col("p")).rest_score(common), F.lit(0.0))
     best = (
         reaching.select(
-            "run_id", F.col("_quote.text").alias("text"), score.alias("score"), *_BEST
+            "run_id",
+            F.col("p.quote.text").alias("text"),
+            F.greatest("p.set_score", rest_score).alias("score"),
+            *_BEST,
         )
         .groupBy("run_id", "text")
         .agg(F.min_by(F.struct("score", *_BEST), F.struct(-F.col("score"), "ord")).alias("best"))
