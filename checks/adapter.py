@@ -303,6 +303,21 @@ CTES = {
         SELECT run_id, attempt, pos, coalesce(q->>'text', '') AS text, q->>'theme_label' AS theme_label
         FROM (SELECT run_id, attempt, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS pos, unnest(l) AS q
               FROM (SELECT run_id, attempt, json_extract(report_json, '$.quotes[*]') AS l FROM v_parsed WHERE parsed))""",
+    "v_runs": """
+        SELECT 'run-' || k AS run_id, product, week_start, week_start + 6 AS week_end,
+               CASE WHEN s = 'F' THEN 'completed' WHEN s = 'O' THEN 'running' WHEN k % 2 = 0 THEN 'failed' ELSE 'pending' END AS status,
+               CAST(CASE WHEN s = 'F' THEN k % 4 ELSE 0 END AS INTEGER) AS reviews_fetched,
+               CAST(CASE WHEN s = 'F' THEN k % 3 ELSE 0 END AS INTEGER) AS reviews_processed,
+               CASE WHEN s = 'F' AND k % 5 > 0 THEN 'reports/' || k END AS report_path,
+               CASE WHEN k % 7 > 0 THEN 'doc' || k END AS doc_id, s = 'F' AND k % 3 = 0 AS email_sent,
+               CAST(k % 900 AS INTEGER) AS tokens_used, CASE WHEN s = 'P' THEN 'boom' END AS error_message,
+               d + to_minutes(k % 240) AS started_at, CASE WHEN s = 'F' THEN d + to_minutes(k % 240) END AS completed_at
+        FROM (SELECT 'p' || o_custkey AS product, CAST(date_trunc('week', o_orderdate) AS DATE) AS week_start,
+                     max(o_orderkey) AS k, arg_max(o_orderstatus, o_orderkey) AS s, arg_max(o_orderdate, o_orderkey) AS d
+              FROM orders GROUP BY ALL)""",
+    "v_stored_themes": """
+        SELECT 'run-' || l_orderkey AS run_id, 'Theme ' || l_linenumber || ' ' || l_partkey AS label, l_returnflag AS description,
+               CAST(l_quantity AS BIGINT) AS review_count, round(1 + l_discount * 40, 2) AS avg_rating FROM lineitem""",
     "v_quote_tokens": f"""
         SELECT run_id, text AS quote, {tokens_sql('text')} AS qt FROM (SELECT DISTINCT run_id, text FROM v_quotes)""",
     "v_review_tokens": f"""
