@@ -9,6 +9,7 @@ themes come from ``orders`` and ``lineitem``.
 from __future__ import annotations
 
 import re
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ from themeloom.operators.dedup import clean_reviews, dedup_reviews
 from themeloom.operators.filters import min_length
 from themeloom.operators.sampling import placeholder_themes, theme_stats
 from themeloom.operators.windows import lookback_windows
-from themeloom.session import configure
+from themeloom.session import configure, cut_lineage
 from themeloom.sources.responses import read_report_json
 from themeloom.sources.stores import review_order
 
@@ -28,7 +29,7 @@ LOST = "zzqx qqzz wwvv kkjj xxyy vvww jjkk yyzz "
 
 
 class Tables:
-    """Spark side of the adapter; every property is a fresh lazy frame."""
+    """Spark side of the adapter."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = configure(spark)
@@ -70,14 +71,14 @@ class Tables:
     def scrubbed(self) -> DataFrame:
         return self.kept.withColumn("text", scrub_pii(F.col("text")))
 
-    @property
+    @cached_property
     def clustered(self) -> DataFrame:
-        """Kept reviews with a given cluster id."""
+        """Kept reviews with a given cluster id, written once as the weekly job writes them."""
         vectors = self.table("embeddings")
         vectors.createOrReplaceTempView("checks_vectors")
         slot = F.expr("doc_id % (SELECT count(*) FROM checks_vectors)")
         labels = vectors.select(F.col("vec_id").alias("_slot"), F.col("label").alias("cluster_id"))
-        return self.scrubbed.withColumn("_slot", slot).join(labels, "_slot").drop("_slot")
+        return cut_lineage(self.scrubbed.withColumn("_slot", slot).join(labels, "_slot").drop("_slot"))
 
     @property
     def run_reviews(self) -> DataFrame:
@@ -88,9 +89,9 @@ class Tables:
     def run_themes(self) -> DataFrame:
         return placeholder_themes(theme_stats(self.run_reviews))
 
-    @property
+    @cached_property
     def responses(self) -> DataFrame:
-        """Three model responses per run, quoting its longest review of every cluster."""
+        """Three model responses per run, quoting its longest review of every cluster; a table."""
         longest = self.run_reviews.groupBy("run_id", "week_start", "cluster_id").agg(
             F.min_by("text", F.struct(-F.length("text"), "ord")).alias("text")
         )
@@ -143,11 +144,14 @@ class Tables:
             ),
         )
         broken = (a == 2) & (F.weekofyear("week_start") % 4 == 0)
-        return runs.select(
-            "run_id",
-            "attempt",
-            F.when(broken, F.lit('{"summary": "cut')).otherwise(F.to_json(report)).alias("report_json"),
-            (1000 + 100 * a + F.size("q")).alias("tokens_used"),
+        written = F.when(broken, F.lit('{"summary": "cut')).otherwise(F.to_json(report))
+        return cut_lineage(
+            runs.select(
+                "run_id",
+                "attempt",
+                written.alias("report_json"),
+                (1000 + 100 * a + F.size("q")).alias("tokens_used"),
+            )
         )
 
     @property
