@@ -36,7 +36,13 @@ class Tables:
         self.dir = sf_dir
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        rows = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        cores = self.spark.sparkContext.defaultParallelism
+        # A small file is one row group, hence one task: spread its long texts. A table of many
+        # files is read as it is.
+        if name == "documents" and rows.rdd.getNumPartitions() < 4 * cores:
+            return rows.repartition(cores)
+        return rows
 
     @property
     def reviews(self) -> DataFrame:

@@ -36,18 +36,17 @@ def _overlap(pair: Column) -> SetOverlap:
     )
 
 
-def _scored_pairs(quotes: Column) -> Column:
+def _scored_pairs(quotes: Column, seen: Column) -> Column:
     """A review's quotes with the tokens shared, the score these decide and the bound on the rest.
 
     Worked out inside the review's row, step by step, so that no expression is evaluated twice and
-    a filter on the result is not pushed into it.
+    a filter on the result is not pushed into it. ``seen`` are the review's tokens that occur in
+    any quote of the run: a long review is searched once, not once per quote.
     """
     # Spark hashes the second array and probes with the first: hash the short one.
     shared = F.transform(
         quotes,
-        lambda q: F.struct(
-            q.alias("quote"), F.array_intersect("_tokens", q["tokens"]).alias("shared")
-        ),
+        lambda q: F.struct(q.alias("quote"), F.array_intersect(seen, q["tokens"]).alias("shared")),
     )
     sized = F.transform(
         shared,
@@ -83,12 +82,26 @@ def _meet_quotes(reviews: DataFrame, quotes: DataFrame, keep: list[str]) -> Data
     sized = tokens.withColumns(
         {"_size": F.size("_tokens"), "_length": joined_length(F.col("_tokens"))}
     )
-    return sized.join(quotes, "run_id").withColumn("_pairs", _scored_pairs(F.col("_quotes")))
+    joined = sized.join(quotes, "run_id").withColumn(
+        "_seen", F.array_intersect("_tokens", "_vocabulary")
+    )
+    return joined.withColumn("_pairs", _scored_pairs(F.col("_quotes"), F.col("_seen")))
+
+
+def _exploded(rows: DataFrame, pairs: Column) -> DataFrame:
+    """One row per pair in ``p``.
+
+    The outer form on purpose: for the plain one Spark adds a filter on the array being non-empty,
+    which evaluates the whole array a second time.
+    """
+    kept = [name for name in rows.columns if name not in ("_pairs", "_quotes", "_vocabulary", "_seen")]
+    return rows.select(*kept, F.explode_outer(pairs).alias("p")).where("p IS NOT NULL")
 
 
 def _per_run(quotes: DataFrame, *fields: Column | str) -> DataFrame:
     """One row per run with its distinct quote texts, bounded by the size of its responses."""
-    return quotes.groupBy("run_id").agg(F.collect_list(F.struct(*fields)).alias("_quotes"))
+    grouped = quotes.groupBy("run_id").agg(F.collect_list(F.struct(*fields)).alias("_quotes"))
+    return grouped.withColumn("_vocabulary", F.array_distinct(F.flatten("_quotes.tokens")))
 
 
 def match_quotes(
@@ -107,18 +120,12 @@ def match_quotes(
     fields = ("text", "tokens", "size", "length")
 
     met = _meet_quotes(reviews, _per_run(sized, *fields), [])
+    scores = F.transform(
+        "_pairs",
+        lambda p: F.struct(p["quote"]["text"].alias("text"), p["set_score"].alias("score")),
+    )
     decided = (
-        met.select(
-            "run_id",
-            F.explode(
-                F.transform(
-                    "_pairs",
-                    lambda p: F.struct(p["quote"]["text"].alias("text"), p["set_score"].alias("score")),
-                )
-            ).alias("p"),
-        )
-        .groupBy("run_id", "p.text")
-        .agg(F.max("p.score").alias("floor"))
+        _exploded(met, scores).groupBy("run_id", "p.text").agg(F.max("p.score").alias("floor"))
     )
     known = sized.join(decided, ["run_id", "text"])
 
@@ -128,7 +135,7 @@ def match_quotes(
 
     facts = [name for name in _BEST if name != "ord"]
     met = _meet_quotes(reviews, _per_run(known, *fields, "floor"), facts)
-    reaching = met.withColumn("p", F.explode(F.filter("_pairs", can_win))).drop("_pairs", "_quotes")
+    reaching = _exploded(met, F.filter("_pairs", can_win))
     open_pair = F.col("p.bound") > F.col("p.set_score")
     common = common_subsequence_length(
         F.when(open_pair, rest_text(F.col("p.quote.tokens"), F.col("p.shared"))),
