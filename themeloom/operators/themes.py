@@ -82,13 +82,16 @@ def top_quotes(rows: DataFrame, max_quotes: Column | int = 1) -> DataFrame:
 
 
 _QUOTE = ("pos", "text", "rating", "source", "review_date")
+# Kept where a run brings its own limit.
+_LIMIT = "max_quotes_per_theme"
 
 
 def _pair(shown: DataFrame, quotes: DataFrame, on: Column) -> DataFrame:
     themes, q = shown.alias("t"), quotes.alias("q")
     same_run = F.col("t.run_id") == F.col("q.run_id")
+    limit = [F.col(f"t.{_LIMIT}")] if _LIMIT in shown.columns else []
     return themes.join(q, same_run & on).select(
-        "t.run_id", "t.theme_no", "t.label", *[F.col(f"q.{name}") for name in _QUOTE]
+        "t.run_id", "t.theme_no", "t.label", *limit, *[F.col(f"q.{name}") for name in _QUOTE]
     )
 
 
@@ -128,7 +131,7 @@ def report_quote_rows(
     shown: DataFrame,
     all_themes: DataFrame | None,
     quotes: DataFrame,
-    max_quotes: int = 1,
+    max_quotes: Column | int = 1,
     dedupe_unresolved: bool = False,
 ) -> DataFrame:
     """Quotes as printed: by cluster, or by label for runs where that lists none."""

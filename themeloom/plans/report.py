@@ -238,9 +238,9 @@ def render_markdown(
     runs: DataFrame,
     themes: DataFrame,
     quotes: DataFrame,
-    max_themes: int = CONFIG_DEFAULTS["max_themes"],
-    max_quotes_per_theme: int = CONFIG_DEFAULTS["max_quotes_per_theme"],
-    max_action_ideas: int = CONFIG_DEFAULTS["max_action_ideas"],
+    max_themes: Column | int = CONFIG_DEFAULTS["max_themes"],
+    max_quotes_per_theme: Column | int = CONFIG_DEFAULTS["max_quotes_per_theme"],
+    max_action_ideas: Column | int = CONFIG_DEFAULTS["max_action_ideas"],
     weeks: int = WINDOW_WEEKS,
     title: str = "Weekly Review Report",
     generator: str = "themeloom",
@@ -250,12 +250,15 @@ def render_markdown(
     """The report document of every run: ``run_id, product, week_start, content``.
 
     ``runs``: ``run_id, product, display_name, week_start, week_end, window_start, window_end,
-    reviews_count``; a null window leaves its line out. ``title`` and ``generator`` are the names
-    printed in heading and footer.
+    reviews_count``; a null window leaves its line out. The limits are numbers, or columns of
+    ``runs`` named like the options of ``product_config``. ``title`` and ``generator`` are the
+    names printed in heading and footer.
     """
-    shown = top_themes(labelled_themes(themes), max_themes)
+    own = [n for n in ("max_themes", "max_quotes_per_theme") if n in runs.columns]
+    limited = labelled_themes(themes).join(runs.select("run_id", *own), "run_id")
+    shown = top_themes(limited, max_themes)
     theme_text = joined_lines(
-        report_themes_view(themes, max_themes), ("theme_no",), F.col("line"), "_themes"
+        report_themes_view(limited, max_themes), ("theme_no",), F.col("line"), "_themes"
     )
     printed = quote_lines(
         report_quote_rows(
