@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from checks.adapter import PII_SQL, Tables, clean_sql, scrub_sql
+from checks.adapter import PII_SQL, Tables, clean_sql, scrub_sql, tokens_sql
 from checks.registry import query
 from themeloom.functions import labels, pii, text, weeks
-from themeloom.functions.fuzzy import token_set_ratio
+from themeloom.functions.fuzzy import joined_length, token_set, token_set_ratio
 from themeloom.operators import filters
 
 
@@ -30,7 +30,12 @@ def _dedup_key(t: Tables) -> DataFrame:
     return t.keyed.select("doc_id", "dedup_key")
 
 
-@query("html_unescape")
+# The entities the pages have; the ampersand last, as decoding happens once.
+@query(
+    "html_unescape",
+    """SELECT page_id, regexp_replace(replace(replace(replace(html, '&middot;', chr(183)), '&copy;', chr(169)), '&quot;', '"'),
+                                      '&amp;?', '&', 'g') AS html FROM pages""",
+)
 def _html_unescape(t: Tables) -> DataFrame:
     return t.table("pages").select("page_id", text.html_unescape(F.col("html")).alias("html"))
 
@@ -268,11 +273,38 @@ def _language(t: Tables) -> DataFrame:
     return filters.filter_language(detected).select("doc_id")
 
 
+@query(
+    "token_sets",
+    f"""SELECT conv_id, turn, len(both_sides) AS shared, CAST(length(array_to_string(both_sides, ' ')) AS BIGINT) AS shared_length,
+               len(a) - len(both_sides) AS only_a, len(b) - len(both_sides) AS only_b
+        FROM (SELECT *, list_filter(a, lambda x: list_contains(b, x)) AS both_sides
+              FROM (SELECT l.conv_id, l.turn, {tokens_sql('l.text')} AS a, {tokens_sql('r.text')} AS b
+                    FROM conversations l JOIN conversations r ON r.conv_id = l.conv_id AND r.turn = l.turn + 1))""",
+)
+def _token_sets(t: Tables) -> DataFrame:
+    """Shared and unshared tokens of every turn and the next."""
+    a, b = F.col("a"), F.col("b")
+    sets = _next_turns(t).select(
+        "conv_id", "turn", token_set(F.col("text")).alias("a"), token_set(F.col("next")).alias("b")
+    ).withColumn("both", F.array_intersect("a", "b"))
+    return sets.select(
+        "conv_id",
+        "turn",
+        F.size("both").cast("long").alias("shared"),
+        joined_length(F.col("both")).cast("long").alias("shared_length"),
+        F.size(F.array_except(a, b)).cast("long").alias("only_a"),
+        F.size(F.array_except(b, a)).cast("long").alias("only_b"),
+    )
+
+
+def _next_turns(t: Tables) -> DataFrame:
+    turns = t.table("conversations")
+    following = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next"))
+    return turns.join(following, ["conv_id", "turn"])
+
+
 @query("token_set_ratio")
 def _ratio(t: Tables) -> DataFrame:
     """Similarity of every turn with the next; checked against brute force in the tests."""
-    turns = t.table("conversations")
-    following = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next"))
-    pairs = turns.join(following, ["conv_id", "turn"])
     score = token_set_ratio(F.col("text"), F.col("next"))
-    return pairs.select("conv_id", "turn", F.round(score, 6).alias("score"))
+    return _next_turns(t).select("conv_id", "turn", F.round(score, 6).alias("score"))

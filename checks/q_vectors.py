@@ -193,3 +193,20 @@ def _cluster(t: Tables) -> DataFrame:
     with_vectors = vectors.tfidf_vectors(rows, stop_words=STOP_WORDS)
     _, themes = clustering.cluster_reviews(with_vectors, restarts=3, max_iter=20)
     return themes.select("run_id", "cluster_id", "review_count", "avg_rating", "label")
+
+
+@query(
+    "cluster_totals",
+    """SELECT product AS run_id, count(*) AS reviews, CAST(0 AS BIGINT) AS unassigned, true AS k_in_range
+       FROM v_scrubbed GROUP BY product""",
+)
+def _cluster_totals(t: Tables) -> DataFrame:
+    """What any clustering must give: every review in one theme, three to eight themes per product."""
+    rows = t.clustered.withColumn("run_id", F.col("product"))
+    with_vectors = vectors.tfidf_vectors(rows, size=64, stop_words=STOP_WORDS)
+    tagged, themes = clustering.cluster_reviews(with_vectors.drop("cluster_id"), restarts=2, max_iter=10)
+    totals = themes.groupBy("run_id").agg(
+        F.sum("review_count").alias("reviews"), F.count("*").between(3, 8).alias("k_in_range")
+    )
+    missing = tagged.groupBy("run_id").agg(F.count_if(F.col("cluster_id").isNull()).alias("unassigned"))
+    return totals.join(missing, "run_id")

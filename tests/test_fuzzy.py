@@ -100,5 +100,6 @@ def test_totals_and_failures(spark):
     totals = quotes.quote_totals(checked).first()
     assert (totals["total_quotes"], totals["passed_quotes"], totals["failed_quotes"], totals["valid"]) == (3, 2, 1, False)
     failed = checked.where("NOT passed").first()
-    assert failed["pos"] == 2 and failed["best_score"] == pytest.approx(plain_ratio(failed["text"], "Redemption is very slow, took me 3 days."), abs=60)
+    nearest = max(plain_ratio(failed["text"], r["text"]) for r in reviews.collect())
+    assert failed["pos"] == 2 and failed["best_score"] == pytest.approx(nearest, abs=0.051)
     assert checked.where("passed AND best_score IS NOT NULL").count() == 0

@@ -88,6 +88,7 @@ def test_newest_capped_with_one_hot_second(spark):
     )
     kept = stores.newest_capped(rows, {"google_play": 700, "app_store": 5})
     assert sorted(r["ord"] for r in kept.collect()) == list(range(700))
+    assert stores.newest_capped(rows, {"app_store": 5}).count() == 5000
 
 
 def test_config_defaults_and_unknown_product(spark):

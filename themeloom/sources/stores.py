@@ -22,6 +22,7 @@ from themeloom.schema import (
 # `ord` puts all Google Play rows before all App Store rows, ingest sequence within each.
 _RANK_SHIFT = 60
 _BLOCK_BITS = 16
+_NO_CAP = 2**62
 
 
 def review_order(source: Column, sequence: Column) -> Column:
@@ -147,7 +148,7 @@ def newest_capped(
     group_cols: tuple[str, ...] = ("product",),
     at: str = "at",
 ) -> DataFrame:
-    """The newest rows of each source up to its cap, ties in ingest order.
+    """The newest rows of each source up to its cap, ties in ingest order; other sources stay whole.
 
     Ranking a source that holds most rows would end in one sort. So only counts per slot are
     ranked, by day, then by second within the one day that straddles the cap, then by block of
@@ -155,7 +156,8 @@ def newest_capped(
     most ``2 ** _BLOCK_BITS`` of them.
     """
     keys = [*group_cols, "source"]
-    cap = F.coalesce(*[F.when(F.col("source") == s, F.lit(n)) for s, n in caps.items()])
+    limits = [F.when(F.col("source") == s, F.lit(n).cast("long")) for s, n in caps.items()]
+    cap = F.coalesce(*limits, F.lit(_NO_CAP))
     open_rows = reviews.withColumn("_room", cap)
     kept = []
     for slot, newest_first in (
