@@ -15,8 +15,13 @@ from themeloom.schema import MIN_TEXT_LENGTH
 
 
 def clean_reviews(reviews: DataFrame) -> DataFrame:
-    """Clean the text and add its fingerprint."""
-    return reviews.withColumn("text", clean_text(F.col("text"))).withColumn(
+    """Clean the text and add its fingerprint.
+
+    The text passes through a one-element array on purpose: a later filter on it would otherwise be
+    pushed below the cleaning by repeating the whole of it, Python included.
+    """
+    once = F.explode_outer(F.array(clean_text(F.col("text"))))
+    return reviews.withColumn("text", once).withColumn(
         "dedup_key", dedup_key(F.col("text"), F.col("rating"), F.col("review_date"))
     )
 
@@ -53,9 +58,9 @@ def drop_reason(
     """
     rows = cleaned.withColumn("_rejected", _rejection(start, end, minimum))
     survivors = (
-        rows.where(F.col("_rejected").isNull())
-        .groupBy(*group_cols, "dedup_key")
-        .agg(F.min("ord").alias("ord"))
+        rows.groupBy(*group_cols, "dedup_key")
+        .agg(F.min(F.when(F.col("_rejected").isNull(), F.col("ord"))).alias("ord"))
+        .where("ord IS NOT NULL")
         .select(*group_cols, "ord", F.lit(True).alias("_first"))
     )
     marked = rows.join(survivors, [*group_cols, "ord"], "left")

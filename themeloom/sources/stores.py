@@ -18,6 +18,7 @@ from themeloom.schema import (
     SOURCE_CAP,
     SOURCE_RANK,
 )
+from themeloom.session import cut_lineage
 
 # `ord` puts all Google Play rows before all App Store rows, ingest sequence within each.
 _RANK_SHIFT = 60
@@ -180,7 +181,8 @@ def newest_capped(
         placed = rows.join(slots, [*keys, "_slot"])
         kept.append(placed.where("_whole").drop("_room", "_slot", "_left", "_whole"))
         open_rows = placed.where("NOT _whole").drop("_room", "_slot", "_whole")
-        open_rows = open_rows.withColumnRenamed("_left", "_room")
+        # Written, so that the next level does not read the source again for each of its uses.
+        open_rows = cut_lineage(open_rows.withColumnRenamed("_left", "_room"))
     last = Window.partitionBy(*keys).orderBy("ord")
     kept.append(
         open_rows.withColumn("_rn", F.row_number().over(last))
