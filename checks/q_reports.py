@@ -274,7 +274,7 @@ def _actions(t: Tables) -> DataFrame:
 
 _SUMMARY_LINES_SQL = """
     SELECT run_id, cluster_id, 0 AS n, 'Cluster ' || (cluster_id + 1) || ': ' || review_count || ' reviews, avg rating '
-           || CAST(CAST(round(avg_rating, 1) AS DECIMAL(4,1)) AS VARCHAR) AS line FROM v_run_themes
+           || CAST(CAST(round(CAST(avg_rating AS DECIMAL(6,2)), 1) AS DECIMAL(4,1)) AS VARCHAR) AS line FROM v_run_themes
     UNION ALL
     SELECT run_id, cluster_id, rank, '  - [' || rating || '★ ' || source || '] ' || replace(substr(text, 1, 150), chr(10), ' ')
     FROM v_prompt_sample WHERE rank <= 3"""
@@ -404,7 +404,7 @@ def _report_draft(t: Tables) -> DataFrame:
 
 _THEME_LINES_SQL = f"""
     SELECT run_id, CAST(theme_no AS INTEGER) AS theme_no, theme_no || '. **' || trim(label) || '** — ' || trim(description) || ' (' || review_count
-           || ' reviews, avg ★' || CAST(CAST(round(avg_rating, 1) AS DECIMAL(4,1)) AS VARCHAR) || ')' AS line FROM ({_SHOWN_SQL})"""
+           || ' reviews, avg ★' || CAST(CAST(round(CAST(avg_rating AS DECIMAL(6,2)), 1) AS DECIMAL(4,1)) AS VARCHAR) || ')' AS line FROM ({_SHOWN_SQL})"""
 
 
 @query("report_themes_view", _THEME_LINES_SQL)
@@ -451,7 +451,7 @@ def _markdown(t: Tables) -> DataFrame:
         || chr(10) || '<hr />' || chr(10) || '<p>Generated by themeloom.</p>' || chr(10) || '</body>' || chr(10) || '</html>' AS body
         FROM ({_RUN_SQL}) JOIN ({_FIRST_SQL}) USING (run_id) JOIN (
           SELECT run_id, string_agg('<li><strong>' || trim(label) || '</strong> — ' || trim(description) || ' (' || review_count || ' reviews, avg ★'
-            || CAST(CAST(round(avg_rating, 1) AS DECIMAL(4,1)) AS VARCHAR) || ')</li>', chr(10) ORDER BY cluster_id) AS items
+            || CAST(CAST(round(CAST(avg_rating AS DECIMAL(6,2)), 1) AS DECIMAL(4,1)) AS VARCHAR) || ')</li>', chr(10) ORDER BY cluster_id) AS items
           FROM ({_LABELLED_SQL}) GROUP BY run_id) USING (run_id)""",
 )
 def _html(t: Tables) -> DataFrame:

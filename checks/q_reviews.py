@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from checks.adapter import Tables
+from checks.adapter import MEAN_RATING_SQL, Tables
 from checks.registry import query
 from themeloom.operators import dedup, sampling, windows
 from themeloom.schema import APP_STORE_RAW, GOOGLE_PLAY_RAW
@@ -20,7 +20,7 @@ def _day(text: str):
 
 @query(
     "weekly_overview",
-    """SELECT week_start, source, CAST(count(*) AS BIGINT) AS review_count, round(avg(rating), 2) AS avg_rating,
+    f"""SELECT week_start, source, CAST(count(*) AS BIGINT) AS review_count, {MEAN_RATING_SQL} AS avg_rating,
               min(review_date) AS first_date, max(review_date) AS last_date
        FROM (SELECT *, CAST(date_trunc('week', review_date) AS DATE) + CAST(7 * j AS INTEGER) AS week_start
              FROM v_scrubbed, range(10) AS r(j)) GROUP BY week_start, source""",
@@ -196,10 +196,10 @@ def _lookback(t: Tables) -> DataFrame:
 
 @query(
     "theme_stats",
-    """SELECT run_id, k.cluster_id, coalesce(review_count, 0) AS review_count, coalesce(avg_rating, 0.0) AS avg_rating,
+    f"""SELECT run_id, k.cluster_id, coalesce(review_count, 0) AS review_count, coalesce(avg_rating, 0.0) AS avg_rating,
               coalesce(ids, '') AS sample_ids
        FROM (SELECT DISTINCT run_id, CAST(c AS INTEGER) AS cluster_id FROM v_run_reviews, range(12) AS r(c)) k
-       LEFT JOIN (SELECT run_id, cluster_id, count(*) AS review_count, round(avg(rating), 2) AS avg_rating,
+       LEFT JOIN (SELECT run_id, cluster_id, count(*) AS review_count, {MEAN_RATING_SQL} AS avg_rating,
                          array_to_string(list(doc_id ORDER BY ord)[1:3], ',') AS ids
                   FROM v_run_reviews GROUP BY run_id, cluster_id) USING (run_id, cluster_id)""",
 )
