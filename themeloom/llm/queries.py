@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themeloom.llm import bpe, mixing
+from themeloom.llm import bpe, mixing, simhash
 from themeloom.llm.common import WORD, table, word_count, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,9 @@ def fair_queueing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
     mixed = mixing.mix(sizes, MIX_WEIGHTS, MIX_SHARE, MIX_MOST)
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "passes")
+
+
+@query("op8_simhash_pivots")
+def simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
