@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themeloom.llm import bpe, mixing, simhash
+from themeloom.llm import bpe, mixing, simhash, winnow
 from themeloom.llm.common import WORD, table, word_count, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,11 @@ def fair_queueing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query("op10_winnowed_lines")
+def winnowed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, lines and deleted lines, and the digest of what stays of each text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    clean = winnow.dedup_lines(docs)
+    return clean.select("doc_id", "n_lines", "n_deleted", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
