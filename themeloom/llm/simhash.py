@@ -150,15 +150,31 @@ def _forest(rows: dict[str, np.ndarray], distance: int):
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = 3, shingle: int = 3) -> DataFrame:
-    """(``key``, fp, component_id) for each row: the least key that links reach from it.
+    """(``key``, body, fp, root, component_id) for each row: the least key that links reach from it.
 
-    Equal texts have equal fingerprints and are compared once. Texts without words share fingerprint 0 and
-    link like any other. A null key is never the least one; a component of null keys has a null id.
+    ``body`` is a hash of the text and ``root`` the least fingerprint of the component. Equal texts have
+    equal fingerprints and are compared once. Texts without words share fingerprint 0 and link like any
+    other. A null key is never the least one; a component of null keys has a null id.
     """
-    marked = written(with_fingerprint(docs.select(key, text), text, "fp", shingle).select(key, "fp"))
+    marked = with_fingerprint(docs.select(key, text), text, "fp", shingle)
+    marked = written(marked.select(key, _body(text).alias("body"), "fp"))
     fps = marked.groupBy("fp").agg(F.min(key).alias("least"))
     roots = components(links(fps.select("fp"), distance)).withColumnRenamed("node", "fp")
     rooted = written(fps.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
     classes = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = rooted.join(classes, "root").select("fp", "component_id")
-    return marked.join(by_fp, "fp").select(key, "fp", "component_id")
+    by_fp = rooted.join(classes, "root").select("fp", "root", "component_id")
+    return marked.join(by_fp, "fp").select(key, "body", "fp", "root", "component_id")
+
+
+def _body(text: str):
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = 3, shingle: int = 3) -> DataFrame:
+    """``docs`` with one row of each near-duplicate component: the least key, null last, then the least text hash."""
+    found = near_duplicates(docs, key, text, distance, shingle)
+    first = F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("body").alias("body"))).alias("first")
+    staying = found.groupBy("root").agg(first).select(F.col("first.key").alias("_key"), F.col("first.body").alias("_body"))
+    marked = docs.withColumn("_own", _body(text))
+    met = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_own") == F.col("_body"))
+    return marked.join(staying, met, "left_semi").dropDuplicates([key, "_own"]).drop("_own")
