@@ -42,8 +42,9 @@ def source_targets(sizes: DataFrame, weights: list[int], share: float, most: int
         F.coalesce(F.sum(cap).over(before), F.lit(0)).alias("stopped"),
         F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing)).alias("left"),
     ).withColumn("level", (F.col("budget") - F.col("stopped")) / F.col("left"))
-    open_level = F.min(F.when(F.col("source_size") * F.lit(float(most)) / F.col("weight") > F.col("level"), F.col("level")))
-    return level.withColumn("shared", open_level.over(everything)).select(
+    stop = F.col("source_size") * F.lit(float(most)) / F.col("weight")
+    first_open = F.min(F.when(stop > F.col("level"), F.struct(stop.alias("stop"), "place", "level")))
+    return level.withColumn("shared", first_open.over(everything)["level"]).select(
         "source",
         "place",
         "weight",

@@ -57,7 +57,7 @@ l AS (SELECT *, source_size * 2.0::DOUBLE / weight AS stop, (sum(source_size) OV
         sum(weight) OVER (ORDER BY source_size * 2.0::DOUBLE / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_weight FROM w),
 v AS (SELECT *, (budget - stopped) / open_weight::DOUBLE AS level FROM l),
 t AS (SELECT source, place, source_size, CASE WHEN shared IS NULL THEN source_size * 2.0::DOUBLE ELSE least(source_size * 2.0::DOUBLE, shared * weight) END AS target
-      FROM (SELECT *, min(CASE WHEN stop > level THEN level END) OVER () AS shared FROM v)),
+      FROM (SELECT *, (SELECT level FROM v WHERE stop > level ORDER BY stop, place LIMIT 1) AS shared FROM v)),
 q AS (SELECT d.*, t.place, t.source_size, t.target, md5(coalesce(doc_id::VARCHAR, '')) AS h,
         sum(size) OVER (PARTITION BY t.place ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id NULLS LAST, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS sofar
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
