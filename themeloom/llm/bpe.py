@@ -3,16 +3,16 @@
 A BPE encoding is fixed by its neighbours: a token sequence is the encoding of its bytes exactly when
 every adjacent pair of it is the encoding of that pair's bytes. Reading a text left to right, a
 non-deterministic transducer guesses where tokens end and drops the guesses whose pair is not such an
-encoding. ``Transducer`` determinises it lazily: a state holds the guesses that are still possible,
-each with the tokens not yet agreed on; what all of them agree on is emitted. A guess lives only while
-its bytes begin some token, so output lags by at most the longest token. States and transitions are
-made when first met and reused from then on.
+encoding. ``Transducer`` determinises it lazily: a state stands for the guesses that are still possible,
+and what all of them agree on is emitted. A guess lives only while its bytes begin some token, so output
+lags by at most the longest token. States and transitions are made when first met and reused from then on.
 """
 
 from __future__ import annotations
 
 import array
 import base64
+import gc
 import hashlib
 from functools import lru_cache
 
@@ -21,9 +21,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Memory bounds, not caps on the data: a full table is emptied and filled again.
-STATES = 400_000
-PIECES = 500_000
+#: Memory bounds, not caps on the data: a full table of states is emptied and filled again; of pieces, those
+#: not asked for during the last half of this number of new ones are forgotten.
+STATES = 200_000
+PIECES = 1_000_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -47,20 +48,19 @@ def merge_pieces(data: bytes, ranks: dict[bytes, int], down_to: int = 1) -> list
 
 
 class Transducer:
-    """Bytes to token ids. ``step`` reads one byte; ``finish`` gives what is left at the end."""
+    """Bytes to token ids. A state is the last token emitted and the bytes read since, which fix all guesses."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
-        self.children: list[dict[int, int]] = [{}]
+        self.child: dict[int, int] = {}  # trie: node * 256 + byte
         self.token_at = [-1]
         for token, rank in ranks.items():
             node = 0
             for byte in token:
-                following = self.children[node].get(byte)
+                following = self.child.get(node << 8 | byte)
                 if following is None:
-                    following = self.children[node][byte] = len(self.children)
-                    self.children.append({})
+                    following = self.child[node << 8 | byte] = len(self.token_at)
                     self.token_at.append(-1)
                 node = following
             self.token_at[node] = rank
@@ -70,29 +70,13 @@ class Transducer:
         self._forget()
 
     def _forget(self) -> None:
-        # Flat numbers and bytes only: the garbage collector passes over them, however many there are.
-        self._names: dict[tuple, int] = {}
-        self._states: list[tuple] = []
+        self._names: dict[tuple[int, bytes], int] = {(-1, b""): 0}
+        # Of each state: the bytes held; of every place in them the token that ends there and where it begins
+        # (one valid way each); the places that a longer token may still begin at, with their trie nodes.
+        self._states: list[tuple] = [(b"", (-1,), (0,), ((0, 0),))]
         self._moves: dict[int, int] = {}  # state * 256 + byte: next state, or its complement if something is emitted
         self._emits: dict[int, bytes] = {}
-        self.start = self._name((-1, 0, 0))
-
-    def _name(self, key: tuple) -> int:
-        """Number of a state: the last token emitted, then for each guess its trie node and its pending tokens, counted."""
-        name = self._names.get(key)
-        if name is None:
-            name = self._names[key] = len(self._states)
-            self._states.append(key)
-        return name
-
-    @staticmethod
-    def _guesses(key: tuple) -> list[tuple[int, tuple]]:
-        out, at = [], 1
-        while at < len(key):
-            begin, end = at + 2, at + 2 + key[at + 1]
-            out.append((key[at], key[begin:end]))
-            at = end
-        return out
+        self._ends: dict[int, bytes] = {}
 
     def _halves(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge made ``token``; None for one byte, and for what no merge makes."""
@@ -132,35 +116,48 @@ class Transducer:
         return known
 
     def _determinise(self, state: int, byte: int) -> int:
-        key = self._states[state]
-        children, token_at, last = self.children, self.token_at, key[0]
-        alive, complete = [], None
-        for node, pending in self._guesses(key):
-            node = children[node].get(byte)
+        held, ending, begin, guesses = self._states[state]
+        child, token_at, n = self.child, self.token_at, len(ending)
+        found, start, alive = -1, 0, []
+        for at, node in guesses:
+            node = child.get(node << 8 | byte)
             if node is None:
                 continue
-            alive.append((node, pending))
+            alive.append((at, node))
             token = token_at[node]
-            if token >= 0 and complete is None and self._own(token):
-                before = pending[-1] if pending else last
-                if before < 0 or self._fits(before, token):
-                    complete = pending + (token,)
-        if complete is None:
+            if token >= 0 and found < 0 and self._own(token) and (ending[at] < 0 or self._fits(ending[at], token)):
+                found, start = token, at
+        if found < 0:
             raise ValueError("the vocabulary lacks a single byte")
-        agreed = 0 if alive else len(complete)
-        while alive and all([len(pending) > agreed and pending[agreed] == complete[agreed] for _, pending in alive]):
-            agreed += 1
-        alive.append((0, complete))
-        flat = [complete[agreed - 1] if agreed else last]
-        for node, pending in alive:
-            flat += (node, len(pending) - agreed, *pending[agreed:])
-        move = self._name(tuple(flat))
+        ending += (found,)
+        begin += (start,)
+        agreed = n
+        for other, _ in alive:  # the last place that all guesses have gone through
+            while other != agreed:
+                if other > agreed:
+                    other = begin[other]
+                else:
+                    agreed = begin[agreed]
+        key = (ending[agreed], (held + bytes((byte,)))[agreed:])
+        move = self._names.get(key)
+        if move is None:
+            move = self._names[key] = len(self._states)
+            rest = tuple([(at - agreed, node) for at, node in alive] + [(n - agreed, 0)])
+            self._states.append((key[1], ending[agreed:], tuple([max(0, at - agreed) for at in begin[agreed:]]), rest))
         if agreed:
-            self._emits[state << 8 | byte] = array.array("I", complete[:agreed]).tobytes()
+            self._emits[state << 8 | byte] = self._path(ending, begin, agreed)
             move = ~move
         self._moves[state << 8 | byte] = move
         return move
 
+    @staticmethod
+    def _path(ending: tuple[int, ...], begin: tuple[int, ...], place: int) -> bytes:
+        tokens = []
+        while place:
+            tokens.append(ending[place])
+            place = begin[place]
+        return array.array("I", reversed(tokens)).tobytes()
+
     def encode(self, piece: bytes) -> bytes:
         """Ids of one piece of text, packed as 32-bit integers. A piece that is a token as a whole is that token."""
         whole = self.ranks.get(piece)
@@ -169,7 +166,7 @@ class Transducer:
         if len(self._states) > STATES:
             self._forget()
         out = b""
-        state, moves = self.start, self._moves
+        state, moves = 0, self._moves
         for byte in piece:
             move = moves.get(state << 8 | byte)
             if move is None:
@@ -178,21 +175,29 @@ class Transducer:
                 out += self._emits[state << 8 | byte]
                 move = ~move
             state = move
-        node, pending = self._guesses(self._states[state])[-1]  # the guess that ends here
-        return out + array.array("I", pending).tobytes()
+        left = self._ends.get(state)
+        if left is None:
+            _, ending, begin, _ = self._states[state]
+            left = self._ends[state] = self._path(ending, begin, len(ending) - 1)
+        return out + left
 
 
 class _Pieces(dict):
-    """Packed ids by piece, made when first asked for."""
+    """Packed ids by piece, made when first asked for; an older generation is kept beside the current one."""
 
     def __init__(self, transducer: Transducer):
         super().__init__()
         self.transducer = transducer
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= PIECES:
+        if len(self) >= PIECES // 2:
+            self.older = dict(self)
             self.clear()
-        ids = self[piece] = self.transducer.encode(piece.encode("utf-8"))
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.transducer.encode(piece.encode("utf-8"))
+        self[piece] = ids
         return ids
 
 
@@ -259,7 +264,11 @@ class Utf8Reader:
 @lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> Codec:
     """The codec of this Python worker; tasks that follow reuse what it has learned."""
-    return Codec(path, pattern)
+    made = Codec(path, pattern)
+    # the tables grow to millions of numbers and strings without cycles; don't have them searched for some
+    gc.freeze()
+    gc.set_threshold(100_000, 50, 50)
+    return made
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
