@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themeloom.llm import bpe, mixing, outliers, simhash, winnow
+from themeloom.llm import bpe, mixing, outliers, simhash, url_rules, winnow
 from themeloom.llm.common import WORD, table, word_count, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,31 @@ def mcd_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = outliers.judge(counted, counted)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return judged.select("doc_id", *names, "base_failed", "kept", "distance")
+
+
+#: Rules of op5: host, path, action.
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+_SQL_RULES = ", ".join(f"('{host}', '{path}', '{action}')" for host, path, action in URL_RULES)
+URL_SQL = rf"""
+WITH RECURSIVE p AS (SELECT page_id, url, html, lower(ascii_host) AS host, path FROM (
+    SELECT *, CASE WHEN contains(url, '://') THEN regexp_extract(substr(url, instr(url, '://') + 3), '^([^/?#]*)', 1, 's') ELSE '' END AS ascii_host,
+      CASE WHEN contains(url, '://') THEN regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*([^?#]*)', 1, 's') ELSE '' END AS path FROM pages)),
+r AS (SELECT * FROM (VALUES {_SQL_RULES}) v(rhost, rpath, action)),
+m AS (SELECT url, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(action, length(rhost || rpath)) AS action
+      FROM p JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY url),
+c AS (SELECT url AS a, unnest(regexp_extract_all(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>')) AS t FROM pages),
+e AS (SELECT DISTINCT a, regexp_extract(t, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS b FROM c WHERE a IS NOT NULL),
+b AS (SELECT DISTINCT a, b FROM (SELECT a, b FROM e WHERE contains(b, '://') UNION ALL SELECT b, a FROM e WHERE contains(b, '://'))),
+n AS (SELECT a AS url, a AS other FROM b UNION SELECT n.url, b.b FROM n JOIN b ON n.other = b.a),
+s AS (SELECT n.url, bool_or(m.action = 'allow') AS allowed FROM n JOIN m ON n.other = m.url GROUP BY n.url)
+SELECT p.page_id, p.host, p.path, m.rule, CASE WHEN m.action IS NOT NULL THEN m.action WHEN s.allowed = false THEN 'block' ELSE 'allow' END AS verdict
+FROM p LEFT JOIN m ON p.url = m.url LEFT JOIN s ON p.url = s.url
+"""
+
+
+@query("op5_redirect_equivalence", URL_SQL)
+def redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    rules = spark.sql(f"SELECT * FROM VALUES {_SQL_RULES} AS rules(host, path, action)")
+    judged = url_rules.judge(pages.drop("html"), rules, url_rules.alias_edges(pages))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
