@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themeloom.llm import bpe, mixing, outliers, simhash, url_rules, winnow
+from themeloom.llm import bpe, mixing, outliers, simhash, url_rules, warc, winnow
 from themeloom.llm.common import WORD, table, word_count, written
+from themeloom.session import checkpoint_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -126,3 +128,22 @@ def redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.sql(f"SELECT * FROM VALUES {_SQL_RULES} AS rules(host, path, action)")
     judged = url_rules.judge(pages.drop("html"), rules, url_rules.alias_edges(pages))
     return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+_BASE32 = " || ".join(f"translate(to_base(('0x' || substr(h, {5 * i + 1}, 5))::BIGINT, 32, 4), '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567')" for i in range(8))
+WARC_SQL = f"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h, payload_bytes) AS first FROM p)
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM f
+"""
+
+
+@query("op2_warc_chunks", WARC_SQL)
+def warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{checkpoint_folder(spark)}/archives-{uuid.uuid4().hex}"
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    found = warc.verified(warc.read_records(spark, path))
+    return found.select(
+        F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to")
+    )
