@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themeloom.llm import bpe, mixing, outliers, simhash, url_rules, warc, winnow
+from themeloom.llm import bpe, mixing, outliers, simhash, token_counts, url_rules, warc, winnow
 from themeloom.llm.common import WORD, table, word_count, written
 from themeloom.session import checkpoint_folder
 
@@ -147,3 +147,12 @@ def warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to")
     )
+
+
+PIECE_BPE, TOKEN_LIMIT = "piece_bpe_32k.model", 4096
+
+
+@query("op7_pretoken_counts")
+def pretoken_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_BPE))
+    return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
