@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 #: Memory bounds, not caps on the data: a full table of states is emptied and filled again; of pieces, those
 #: not asked for during the last half of this number of new ones are forgotten.
 STATES = 200_000
-PIECES = 1_000_000
+PIECES = 800_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -301,14 +301,26 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str =
     return df.withColumn(out, text_of(F.col(ids)))
 
 
-def ids_digest(df: DataFrame, ids: str = "ids", out: str = "ids_sha256") -> DataFrame:
-    """Add ``out``: SHA-256 of the ids as little-endian unsigned 32-bit integers, in lowercase hex."""
+def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+    """Add n_tokens, ids_sha256 and decoded_sha256: number and digest of the ids of ``text`` (little-endian unsigned
+    32-bit integers), and digest of the text decoded from them. Encodes once and decodes in parts, so neither
+    ids nor decoded texts are gathered or leave the task."""
 
-    @F.arrow_udf("string")
-    def digest(lists: pa.Array) -> pa.Array:
-        return pa.array([hashlib.sha256(_packed(value).tobytes()).hexdigest() for value in lists], pa.string())
-
-    return df.withColumn(out, digest(F.col(ids)))
+    @F.arrow_udf("struct<n_tokens: long, ids_sha256: string, decoded_sha256: string>")
+    def of(texts: pa.Array) -> pa.Array:
+        run = codec(path, pattern)
+        counts, ids_digests, text_digests = [], [], []
+        for value in texts:
+            packed = run.encode(value.as_py() or "")
+            ids, digest = array.array("I", packed), hashlib.sha256()
+            for part in run.decode(ids):
+                digest.update(part.encode("utf-8"))
+            counts.append(len(ids))
+            ids_digests.append(hashlib.sha256(packed).hexdigest())
+            text_digests.append(digest.hexdigest())
+        return pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(ids_digests, pa.string()), pa.array(text_digests, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return docs.withColumn("_trip", of(F.col(text))).select(*docs.columns, "_trip.n_tokens", "_trip.ids_sha256", "_trip.decoded_sha256")
 
 
 def _packed(value: pa.ListScalar) -> array.array:

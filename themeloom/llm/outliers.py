@@ -146,6 +146,7 @@ def estimate(points: DataFrame, kept: float = 0.75) -> DataFrame:
     """
     points = written(points)
     middle = points.groupBy("group").agg(*[F.percentile(f"x{i}", 0.5, F.col("n")).alias(f"m{i}") for i in range(DIM)])
+    middle = written(middle)  # a table of one row per group, so that the planner knows its size
     off = points.join(middle, "group").select("group", "n", *[F.abs(F.col(f"x{i}") - F.col(f"m{i}")).alias(f"d{i}") for i in range(DIM)])
     spread = off.groupBy("group").agg(*[F.percentile(f"d{i}", 0.5, F.col("n")).alias(f"d{i}") for i in range(DIM)])
     scale = [F.pow(1.4826 * F.col(f"d{i}") / GRID, 2) + FLOORS[i] ** 2 for i in range(DIM)]

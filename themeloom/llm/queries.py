@@ -40,9 +40,7 @@ def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bpe_digests(docs: DataFrame) -> DataFrame:
     """Encode and decode ``docs`` (doc_id, text): doc_id, n_tokens, ids_sha256, decoded_sha256."""
     path, pattern = public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN
-    encoded = bpe.encode(docs, path, pattern).select("doc_id", "ids")
-    decoded = bpe.ids_digest(bpe.decode(encoded, path, pattern))
-    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe.round_trip(docs, path, pattern).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 #: Weights of sources in code-point order, the share of all sizes to mix, and the most passes over a source.
