@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themeloom.llm import bpe, mixing, outliers, simhash, token_counts, url_rules, warc, winnow
+from themeloom.llm import bpe, lsh_search, mixing, outliers, simhash, token_counts, url_rules, warc, winnow
 from themeloom.llm.common import WORD, table, word_count, written
 from themeloom.session import checkpoint_folder
 
@@ -154,3 +154,8 @@ PIECE_BPE, TOKEN_LIMIT = "piece_bpe_32k.model", 4096
 def pretoken_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_BPE))
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
+@query("op6_multiprobe_search")
+def multiprobe_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh_search.search(table(spark, sf_dir, "embeddings"), F.col("key") % 100 == 0)
