@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themeloom.llm import bpe, lsh_search, mixing, outliers, simhash, token_counts, url_rules, warc, winnow
+from themeloom.llm import bpe, lsh_search, mixing, outliers, pii_bootstrap, simhash, token_counts, url_rules, warc, winnow
 from themeloom.llm.common import WORD, table, word_count, written
 from themeloom.session import checkpoint_folder
 
@@ -159,3 +159,8 @@ def pretoken_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_multiprobe_search")
 def multiprobe_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_search.search(table(spark, sf_dir, "embeddings"), F.col("key") % 100 == 0)
+
+
+@query("op9_bootstrapped_pii")
+def bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_bootstrap.find(table(spark, sf_dir, "documents"))
