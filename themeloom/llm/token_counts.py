@@ -12,8 +12,9 @@ from __future__ import annotations
 
 import os
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 MARK = "▁"
 #: A block ends after so many distinct pairs of document and pre-token.
 BLOCK_PAIRS = 2_000_000
-#: Sums of so many documents are held by a task before they are passed on.
-HELD = 4_000_000
+#: Blocks of whose documents a task holds sums before it passes them on.
+HELD = 64
 
 
 class Pieces:
@@ -66,30 +67,34 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-_ROWS = "part string, block long, docs binary, counts binary"
+_ROWS = "part string, block long, docs binary"
+#: Documents of a block and times in one entry at most, as both are packed in 16 bits; more times take more entries.
+PLACES = 1 << 16
+#: Begins the row of a block's documents. No pre-token goes on after this character.
+DOCUMENTS = "\0\0"
 
 
-def _blocks(key: str, text: str, path: str):
+def _blocks(path: str):
     """Map documents to rows of ``_ROWS``: one per distinct pre-token of a block, and one with the block's documents."""
 
     def run(batches):
         cut = pieces(path).cut
-        context = TaskContext.get()
-        number = context.partitionId() << 32
+        number = TaskContext.get().partitionId() << 32
         keys, sizes, found, pairs = [], [], defaultdict(list), 0
         for batch in batches:
             for id_, value in zip(batch.column(0), batch.column(1)):
                 words = value.as_py() or ""
-                tally: dict[str, int] = {}
-                for part in cut(words):
-                    tally[part] = tally.get(part, 0) + 1
                 place = len(keys)
                 keys.append(id_)
                 sizes.append(len(words.encode("utf-8")))
+                tally = Counter(cut(words))
                 for part, times in tally.items():
-                    found[part].append(place << 32 | times)
+                    while times >= PLACES:
+                        found[part].append((PLACES - 1) << 16 | place)
+                        times -= PLACES - 1
+                    found[part].append(times << 16 | place)
                 pairs += len(tally)
-                if pairs >= BLOCK_PAIRS:
+                if pairs >= BLOCK_PAIRS or len(keys) == PLACES:
                     yield from _rows(number, keys, sizes, found, batch.schema.field(0).type)
                     number, keys, sizes, found, pairs = number + 1, [], [], defaultdict(list), 0
         if keys:
@@ -100,106 +105,106 @@ def _blocks(key: str, text: str, path: str):
 
 def _rows(block: int, keys: list, sizes: list[int], found: dict[str, list[int]], kind: pa.DataType):
     parts = list(found)
-    lengths = np.fromiter((len(v) for v in found.values()), dtype=np.int64, count=len(parts))
-    packed = np.fromiter((v for entries in found.values() for v in entries), dtype=np.int64, count=int(lengths.sum()))
+    lengths = np.fromiter(map(len, found.values()), dtype=np.int64, count=len(parts))
+    entries = np.fromiter(chain.from_iterable(found.values()), dtype=np.uint32, count=int(lengths.sum()))
     offsets = pa.py_buffer((np.r_[0, np.cumsum(lengths)] * 4).astype(np.int32).tobytes())
-    docs, counts = ((packed >> 32).astype(np.uint32), (packed & 0xFFFFFFFF).astype(np.uint32))
-    binary = lambda values: pa.Array.from_buffers(pa.binary(), len(parts), [None, offsets, pa.py_buffer(values.tobytes())])
-    table = pa.RecordBatch.from_arrays([pa.array(parts, pa.string()), pa.array(np.full(len(parts), block)), binary(docs), binary(counts)], names=["part", "block", "docs", "counts"])
+    packed = pa.Array.from_buffers(pa.binary(), len(parts), [None, offsets, pa.py_buffer(entries.tobytes())])
+    table = pa.RecordBatch.from_arrays([pa.array(parts, pa.string()), pa.array(np.full(len(parts), block)), packed], names=["part", "block", "docs"])
     for begin in range(0, len(parts), 20_000):
         yield table.slice(begin, 20_000)
-    # the documents themselves: keys in an Arrow stream, sizes beside them; no pre-token is empty, so "" marks the row
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, pa.schema([("key", kind)])) as writer:
-        writer.write_batch(pa.RecordBatch.from_arrays([pa.array([k.as_py() for k in keys], kind)], names=["key"]))
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([""]), pa.array([block]), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([np.array(sizes, dtype=np.int64).tobytes()], pa.binary())],
-        names=["part", "block", "docs", "counts"],
-    )
+    documents = pa.RecordBatch.from_arrays([pa.array([k.as_py() for k in keys], kind), pa.array(sizes, pa.int64())], names=["key", "size"])
+    with pa.ipc.new_stream(sink, documents.schema) as writer:
+        writer.write_batch(documents)
+    whole = pa.array([sink.getvalue().to_pybytes()], pa.binary())
+    yield pa.RecordBatch.from_arrays([pa.array([f"{DOCUMENTS}{block}"]), pa.array([block]), whole], names=["part", "block", "docs"])
 
 
 def _sums(path: str):
-    """Map rows in order of pre-token to sums: (part, block, docs, counts) with packed documents and numbers of pieces."""
+    """Map rows in order of pre-token to rows (part null, block, docs): packed places and sums of a block's documents."""
 
     def run(batches):
-        held: dict[int, np.ndarray] = {}
-        last, last_count, size = None, 0, 0
+        sums = np.zeros(HELD * PLACES, dtype=np.int64)
+        held: dict[int, int] = {}
+        last, last_count = None, 0
         for batch in batches:
             parts = batch.column("part").to_pylist()
-            blocks, docs, counts = batch.column("block").to_pylist(), batch.column("docs"), batch.column("counts")
+            whole = np.fromiter((part.startswith(DOCUMENTS) for part in parts), dtype=bool, count=len(parts))
+            if whole.any():
+                yield batch.filter(pa.array(whole))
+                batch = batch.filter(pa.array(~whole))
+                parts = [part for part in parts if not part.startswith(DOCUMENTS)]
+            if not parts:
+                continue
             fresh, place = [], []  # each distinct pre-token once: rows of one follow one another
             for part in parts:
                 if part != last:
                     fresh.append(part)
                     last = part
                 place.append(len(fresh))
-            numbers = np.r_[last_count, pieces(path).count(fresh) if fresh else []].astype(np.int64)
+            numbers = np.r_[last_count, pieces(path).count(fresh) if fresh else np.array([], dtype=np.int64)]
             last_count = int(numbers[-1])
-            whole = []
-            for at, (part, block) in enumerate(zip(parts, blocks)):
-                if part == "":
-                    whole.append(at)
-                    continue
-                where = np.frombuffer(docs[at].as_buffer(), dtype=np.uint32)
-                times = np.frombuffer(counts[at].as_buffer(), dtype=np.uint32)
-                sums = held.get(block)
-                top = int(where[-1]) + 1
-                if sums is None or len(sums) < top:
-                    grown = np.zeros(max(top, 0 if sums is None else 2 * len(sums)), dtype=np.int64)
-                    if sums is not None:
-                        grown[: len(sums)] = sums
-                    size += len(grown) - (0 if sums is None else len(sums))
-                    sums = held[block] = grown
-                sums[where] += times * numbers[place[at]]
-            if whole:
-                yield batch.take(pa.array(whole))
-            if size > HELD:
-                yield from _packed(held)
-                held, size = {}, 0
-        yield from _packed(held)
+            blocks, inverse = np.unique(batch.column("block").to_numpy(), return_inverse=True)
+            if len(held.keys() | set(blocks.tolist())) > HELD:
+                yield from _packed(held, sums)
+                held = {}
+                sums[:] = 0
+            # a batch of many blocks is taken in turns of as many as fit
+            for begin in range(0, len(blocks), HELD):
+                if begin:
+                    yield from _packed(held, sums)
+                    held = {}
+                    sums[:] = 0
+                region = np.array([held.setdefault(b, len(held)) for b in blocks[begin : begin + HELD].tolist()], dtype=np.int64)
+                here = np.flatnonzero((inverse >= begin) & (inverse < begin + HELD))
+                docs = batch.column("docs").take(pa.array(here))
+                lengths = np.diff(np.frombuffer(docs.buffers()[1], dtype=np.int32, count=len(docs) + 1, offset=4 * docs.offset)) // 4
+                entries = np.frombuffer(b"".join(docs.to_pylist()), dtype=np.uint32)
+                slot = np.repeat(region[inverse[here] - begin] * PLACES, lengths) + (entries & (PLACES - 1))
+                np.add.at(sums, slot, (entries >> 16) * np.repeat(numbers[np.array(place)[here]], lengths))
+        yield from _packed(held, sums)
 
     return run
 
 
-def _packed(held: dict[int, np.ndarray]):
-    rows = {"part": [], "block": [], "docs": [], "counts": []}
-    for block, sums in held.items():
-        where = np.flatnonzero(sums)
-        rows["part"].append(None)
-        rows["block"].append(block)
-        rows["docs"].append(where.astype(np.uint32).tobytes())
-        rows["counts"].append(sums[where].tobytes())
-    yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("part", pa.string()), ("block", pa.int64()), ("docs", pa.binary()), ("counts", pa.binary())]))
-
-
-def _documents(kind: pa.DataType):
-    """Map rows in order of block to (key, n_bytes, n_tokens)."""
-
-    def of(keys, sizes, sums):
-        tokens = np.zeros(len(sizes), dtype=np.int64)
-        for where, values in sums:
-            tokens[where] += values
-        return pa.RecordBatch.from_arrays([keys, pa.array(sizes), pa.array(tokens)], names=["key", "n_bytes", "n_tokens"])
+_SUM = np.dtype([("place", "<u4"), ("tokens", "<i8")])
 
-    def run(batches):
-        block, keys, sizes, sums = None, None, None, []
-        for batch in batches:
-            for at in range(batch.num_rows):
-                if (here := batch.column("block")[at].as_py()) != block:
-                    if block is not None:
-                        yield of(keys, sizes, sums)
-                    block, keys, sizes, sums = here, None, None, []
-                docs, counts = batch.column("docs")[at].as_buffer(), batch.column("counts")[at].as_buffer()
-                if batch.column("part")[at].is_valid:
-                    with pa.ipc.open_stream(docs) as reader:
-                        keys = reader.read_next_batch().column(0)
-                    sizes = np.frombuffer(counts, dtype=np.int64)
-                else:
-                    sums.append((np.frombuffer(docs, dtype=np.uint32), np.frombuffer(counts, dtype=np.int64)))
-        if block is not None:
-            yield of(keys, sizes, sums)
 
-    return run
+def _packed(held: dict[int, int], sums: np.ndarray):
+    rows = {"part": [], "block": [], "docs": []}
+    for block, region in held.items():
+        own = sums[region * PLACES : (region + 1) * PLACES]
+        where = np.flatnonzero(own)
+        packed = np.empty(len(where), dtype=_SUM)
+        packed["place"], packed["tokens"] = where, own[where]
+        rows["part"].append(None)
+        rows["block"].append(block)
+        rows["docs"].append(packed.tobytes())
+    yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("part", pa.string()), ("block", pa.int64()), ("docs", pa.binary())]))
+
+
+def _documents(batches):
+    """Map rows in order of block, its documents first, to (key, n_bytes, n_tokens)."""
+    block, documents, tokens = None, None, None
+
+    def counted():
+        return pa.RecordBatch.from_arrays([documents.column(0), documents.column(1), pa.array(tokens)], names=["key", "n_bytes", "n_tokens"])
+
+    for batch in batches:
+        for at in range(batch.num_rows):
+            data = batch.column("docs")[at].as_buffer()
+            if (here := batch.column("block")[at].as_py()) != block:
+                if block is not None:
+                    yield counted()
+                block = here
+                with pa.ipc.open_stream(data) as reader:
+                    documents = reader.read_next_batch()
+                tokens = np.zeros(documents.num_rows, dtype=np.int64)
+            else:
+                sums = np.frombuffer(data, dtype=_SUM)
+                tokens[sums["place"]] += sums["tokens"]
+    if block is not None:
+        yield counted()
 
 
 def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -209,11 +214,7 @@ def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
     if not os.path.exists(path):
         raise FileNotFoundError(path)
     kind = dict(docs.dtypes)[key]
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(_blocks(key, text, path), _ROWS)
-    # the row of a block's documents has no pre-token to go by
-    met = rows.withColumn("by", F.when(F.col("part") == "", F.concat(F.lit("\0"), F.col("block").cast("string"))).otherwise(F.col("part")))
-    met = met.repartition("by").sortWithinPartitions("part").select("part", "block", "docs", "counts")
-    sums = met.mapInArrow(_sums(path), _ROWS)
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(_blocks(path), _ROWS)
+    sums = rows.repartition("part").sortWithinPartitions("part").mapInArrow(_sums(path), _ROWS)
     back = sums.repartition("block").sortWithinPartitions("block", F.col("part").desc_nulls_last())
-    counted = back.mapInArrow(_documents(None), f"key {kind}, n_bytes long, n_tokens long")
-    return counted.withColumnRenamed("key", key)
+    return back.mapInArrow(_documents, f"key {kind}, n_bytes long, n_tokens long").withColumnRenamed("key", key)
