@@ -14,6 +14,7 @@ import array
 import base64
 import gc
 import hashlib
+import re
 from functools import lru_cache
 
 import pyarrow as pa
@@ -23,8 +24,10 @@ from pyspark.sql import functions as F
 
 #: Memory bounds, not caps on the data: a full table of states is emptied and filled again; of pieces, those
 #: not asked for during the last half of this number of new ones are forgotten.
-STATES = 200_000
-PIECES = 800_000
+STATES = 300_000
+PIECES = 1_400_000
+
+_BYTES = [bytes((byte,)) for byte in range(256)]
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -94,13 +97,10 @@ class Transducer:
 
     def _fits(self, left: int, right: int) -> bool:
         """Whether ``left, right`` encodes its bytes: undo merges at the seam, latest first, and look for an
-        earlier merge across it."""
-        key = left << 32 | right
-        known = self._pairs.get(key)
-        if known is not None:
-            return known
-        known, limit, ranks, text = True, len(self.ranks) + 1, self.ranks, self.bytes_of
-        while True:
+        earlier merge across it. At the start of a piece, where ``left`` is negative, ``right`` alone has to."""
+        key = (left << 32) + right
+        known, limit, ranks, text = self._own(right), len(self.ranks) + 1, self.ranks, self.bytes_of
+        while known and left >= 0:
             across = ranks.get(text[left] + text[right])
             if across is not None and across < limit:
                 known = False
@@ -117,16 +117,19 @@ class Transducer:
 
     def _determinise(self, state: int, byte: int) -> int:
         held, ending, begin, guesses = self._states[state]
-        child, token_at, n = self.child, self.token_at, len(ending)
+        child, token_at, pairs, n = self.child.get, self.token_at, self._pairs, len(ending)
         found, start, alive = -1, 0, []
         for at, node in guesses:
-            node = child.get(node << 8 | byte)
+            node = child(node << 8 | byte)
             if node is None:
                 continue
             alive.append((at, node))
-            token = token_at[node]
-            if token >= 0 and found < 0 and self._own(token) and (ending[at] < 0 or self._fits(ending[at], token)):
-                found, start = token, at
+            if found < 0:
+                token = token_at[node]
+                if token >= 0:
+                    fits = pairs.get((ending[at] << 32) + token)
+                    if fits if fits is not None else self._fits(ending[at], token):
+                        found, start = token, at
         if found < 0:
             raise ValueError("the vocabulary lacks a single byte")
         ending += (found,)
@@ -138,14 +141,20 @@ class Transducer:
                     other = begin[other]
                 else:
                     agreed = begin[agreed]
-        key = (ending[agreed], (held + bytes((byte,)))[agreed:])
+        held += _BYTES[byte]
+        if agreed:
+            self._emits[state << 8 | byte] = self._path(ending, begin, agreed)
+            held, ending = held[agreed:], ending[agreed:]
+        key = (ending[0], held)
         move = self._names.get(key)
         if move is None:
             move = self._names[key] = len(self._states)
-            rest = tuple([(at - agreed, node) for at, node in alive] + [(n - agreed, 0)])
-            self._states.append((key[1], ending[agreed:], tuple([max(0, at - agreed) for at in begin[agreed:]]), rest))
+            if agreed:
+                begin = tuple([at - agreed for at in begin[agreed:]])  # the first is never asked for
+                alive = [(at - agreed, node) for at, node in alive]
+            alive.append((n - agreed, 0))
+            self._states.append((held, ending, begin, alive))
         if agreed:
-            self._emits[state << 8 | byte] = self._path(ending, begin, agreed)
             move = ~move
         self._moves[state << 8 | byte] = move
         return move
@@ -201,12 +210,31 @@ class _Pieces(dict):
         return ids
 
 
+def splitter(pattern: str):
+    """A function that lists the matches of ``pattern``.
+
+    ``regex`` knows letters and numbers as Unicode has them. ``re`` is faster and knows nearly the same ones, so
+    Latin texts without a character on which the two differ go to it.
+    """
+    exact = regex.compile(pattern).findall
+    simpler = pattern.replace(r"[^\s\p{L}\p{N}]", r"(?:[^\s\w]|_)").replace(r"\p{L}", r"[^\W\d_]").replace(r"\p{N}", r"\d")
+    if r"\p" in simpler or "(" in simpler.replace("(?", ""):
+        return exact
+    quick = re.compile(simpler).findall
+    every = "".join(map(chr, range(0x250)))  # Latin; a larger class takes longer to search than it saves
+    same = set(every)
+    for one, other in ((r"\p{L}", r"[^\W\d_]"), (r"\p{N}", r"\d"), (r"\s", r"\s"), (r"[^\s\p{L}\p{N}]", r"[^\s\w]|_")):
+        same -= set(regex.findall(one, every)) ^ set(re.findall(other, every))
+    odd = re.compile(f"[^{re.escape(''.join(sorted(same)))}]").search
+    return lambda text: exact(text) if odd(text) else quick(text)
+
+
 class Codec:
     """One vocabulary: texts to packed 32-bit ids, and packed ids back to bytes or text."""
 
     def __init__(self, path: str, pattern: str):
         self.ranks = load_ranks(path)
-        self.split = regex.compile(pattern).findall
+        self.split = splitter(pattern)
         self.pieces = _Pieces(Transducer(self.ranks))
         self.bytes_of = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
@@ -304,7 +332,7 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str =
 def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """Add n_tokens, ids_sha256 and decoded_sha256: number and digest of the ids of ``text`` (little-endian unsigned
     32-bit integers), and digest of the text decoded from them. Encodes once and decodes in parts, so neither
-    ids nor decoded texts are gathered or leave the task."""
+    ids nor decoded texts are gathered or leave the task. Columns of these names are replaced."""
 
     @F.arrow_udf("struct<n_tokens: long, ids_sha256: string, decoded_sha256: string>")
     def of(texts: pa.Array) -> pa.Array:
@@ -320,7 +348,9 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text") ->
             text_digests.append(digest.hexdigest())
         return pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(ids_digests, pa.string()), pa.array(text_digests, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.withColumn("_trip", of(F.col(text))).select(*docs.columns, "_trip.n_tokens", "_trip.ids_sha256", "_trip.decoded_sha256")
+    names = ["n_tokens", "ids_sha256", "decoded_sha256"]
+    marked = docs.withColumn("_trip", of(F.col(text))).drop(*names)
+    return marked.select("*", *[F.col("_trip")[name].alias(name) for name in names]).drop("_trip")
 
 
 def _packed(value: pa.ListScalar) -> array.array:

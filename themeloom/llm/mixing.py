@@ -61,9 +61,10 @@ def mix(rows: DataFrame, weights: list[int], share: float, most: int, key: str =
     ``passes`` says how often the mix takes the row, ``taken`` the words of that. Documents are taken
     whole; the mix is the longest prefix of the queue within the budget, so a source ends within about
     one document of its target. Null keys and sources are a key and a source like others, rows without
-    words (and null sizes) are never taken, and equal rows are entries of their own. Columns whose names
-    begin with an underscore are reserved. ``rows`` should be a table: it is read several times.
+    words (and null sizes) are never taken, and equal rows are entries of their own. Columns named as those
+    added are replaced; names that begin with an underscore are reserved. ``rows`` should be a table: it is read several times.
     """
+    rows = rows.drop("source_size", "target", "passes", "taken")
     targets = written(source_targets(rows, weights, share, most))
     by_source = targets.select(F.col("source").alias("_source"), F.col("place").alias("_place"), "source_size", "target")
     queue = rows.join(by_source, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")

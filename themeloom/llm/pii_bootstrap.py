@@ -81,8 +81,8 @@ def _contexts(text: str, start: int) -> list[str]:
     return out
 
 
-def slots(text: str, base: list[tuple[int, int, int]], least_digits: int = 4) -> list[tuple[int, int, int, str, list[str]]]:
-    """(start, end, kind or -1, instance, contexts): the base spans, and tokens apart from them with an @ or enough digits."""
+def slots(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, str, list[str]]]:
+    """(start, end, kind or -1, instance, contexts): the base spans, and tokens apart from them with a digit or an @."""
     out = [(b, e, k, text[b:e].lower(), _contexts(text, b)) for b, k, e in base]
     if "@" in text or any(d in text for d in "0123456789"):
         place = 0
@@ -93,7 +93,7 @@ def slots(text: str, base: list[tuple[int, int, int]], least_digits: int = 4) ->
             while end > begin and text[end - 1] in _EDGES:
                 end -= 1
             value = text[begin:end]
-            if not value or ("@" not in value and sum(c in string.digits for c in value) < least_digits):
+            if not value:
                 continue
             while place < len(ends) and ends[place][1] <= begin:
                 place += 1

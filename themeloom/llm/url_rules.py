@@ -74,6 +74,6 @@ def judge(pages: DataFrame, rules: DataFrame, edges: DataFrame, url: str = "url"
     members = written(components(edges))
     spread = members.join(actions, "node").groupBy("root").agg(F.bool_or(F.col("action") == "allow").alias("_allowed"))
     aliases = members.join(spread.filter(~F.col("_allowed")).select("root"), "root").select(F.col("node").alias(url)).distinct().withColumn("_alias", F.lit(True))
-    judged = rows.join(matched, ["host", "path"], "left").join(aliases, url, "left")
-    verdict = F.when(F.col("action").isNotNull(), F.col("action")).when(F.col("_alias"), "block").otherwise("allow")
-    return judged.withColumn("verdict", verdict).drop("action", "_alias")
+    judged = rows.join(matched.withColumnRenamed("action", "_action"), ["host", "path"], "left").join(aliases, url, "left")
+    verdict = F.when(F.col("_action").isNotNull(), F.col("_action")).when(F.col("_alias"), "block").otherwise("allow")
+    return judged.withColumn("verdict", verdict).drop("_action", "_alias")
