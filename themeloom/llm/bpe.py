@@ -22,9 +22,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Memory bounds, not caps on the data: a full table of states is emptied and filled again; of pieces, those
-#: not asked for during the last half of this number of new ones are forgotten.
-STATES = 300_000
+#: A memory bound, not a cap on the data: about 300 bytes for each piece that a Python worker remembers. Those not
+#: asked for during the last half of this number of new ones are forgotten, and made again when asked for. Of
+#: the transducer's states it keeps a quarter of that number, then begins anew.
 PIECES = 1_400_000
 
 _BYTES = [bytes((byte,)) for byte in range(256)]
@@ -53,8 +53,8 @@ def merge_pieces(data: bytes, ranks: dict[bytes, int], down_to: int = 1) -> list
 class Transducer:
     """Bytes to token ids. A state is the last token emitted and the bytes read since, which fix all guesses."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], states: int = PIECES // 4):
+        self.ranks, self.most = ranks, states
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.child: dict[int, int] = {}  # trie: node * 256 + byte
         self.token_at = [-1]
@@ -172,7 +172,7 @@ class Transducer:
         whole = self.ranks.get(piece)
         if whole is not None:
             return array.array("I", (whole,)).tobytes()
-        if len(self._states) > STATES:
+        if len(self._states) > self.most:
             self._forget()
         out = b""
         state, moves = 0, self._moves
@@ -194,13 +194,13 @@ class Transducer:
 class _Pieces(dict):
     """Packed ids by piece, made when first asked for; an older generation is kept beside the current one."""
 
-    def __init__(self, transducer: Transducer):
+    def __init__(self, transducer: Transducer, most: int):
         super().__init__()
-        self.transducer = transducer
+        self.transducer, self.most = transducer, most
         self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= PIECES // 2:
+        if len(self) >= self.most // 2:
             self.older = dict(self)
             self.clear()
         ids = self.older.get(piece)
@@ -232,10 +232,10 @@ def splitter(pattern: str):
 class Codec:
     """One vocabulary: texts to packed 32-bit ids, and packed ids back to bytes or text."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, pieces: int = PIECES):
         self.ranks = load_ranks(path)
         self.split = splitter(pattern)
-        self.pieces = _Pieces(Transducer(self.ranks))
+        self.pieces = _Pieces(Transducer(self.ranks, pieces // 4), pieces)
         self.bytes_of = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.bytes_of[rank] = token
@@ -290,9 +290,9 @@ class Utf8Reader:
 
 
 @lru_cache(maxsize=2)
-def codec(path: str, pattern: str) -> Codec:
+def codec(path: str, pattern: str, pieces: int = PIECES) -> Codec:
     """The codec of this Python worker; tasks that follow reuse what it has learned."""
-    made = Codec(path, pattern)
+    made = Codec(path, pattern, pieces)
     # the tables grow to millions of numbers and strings without cycles; don't have them searched for some
     gc.freeze()
     gc.set_threshold(100_000, 50, 50)
@@ -329,14 +329,15 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str =
     return df.withColumn(out, text_of(F.col(ids)))
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", pieces: int = PIECES) -> DataFrame:
     """Add n_tokens, ids_sha256 and decoded_sha256: number and digest of the ids of ``text`` (little-endian unsigned
     32-bit integers), and digest of the text decoded from them. Encodes once and decodes in parts, so neither
-    ids nor decoded texts are gathered or leave the task. Columns of these names are replaced."""
+    ids nor decoded texts are gathered or leave the task. ``pieces`` bounds what a Python worker remembers, which it
+    keeps for later tasks: take fewer where other stages share the workers. Columns of these names are replaced."""
 
     @F.arrow_udf("struct<n_tokens: long, ids_sha256: string, decoded_sha256: string>")
     def of(texts: pa.Array) -> pa.Array:
-        run = codec(path, pattern)
+        run = codec(path, pattern, pieces)
         counts, ids_digests, text_digests = [], [], []
         for value in texts:
             packed = run.encode(value.as_py() or "")
