@@ -37,12 +37,8 @@ class Tables:
 
     def table(self, name: str) -> DataFrame:
         rows = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
-        cores = self.spark.sparkContext.defaultParallelism
-        # A small file is one row group, hence one task: spread its long texts. A table of many
-        # files is read as it is.
-        if name == "documents" and rows.rdd.getNumPartitions() < 4 * cores:
-            return rows.repartition(cores)
-        return rows
+        # Long texts lie in few row groups, hence few tasks: deal them out by key, at every size.
+        return rows.repartition("doc_id") if name == "documents" else rows
 
     @property
     def reviews(self) -> DataFrame:

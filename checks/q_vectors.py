@@ -173,7 +173,7 @@ def _assign(t: Tables) -> DataFrame:
 @query("kmeans")
 def _kmeans(t: Tables) -> DataFrame:
     """Cost of the best clustering for every candidate number of clusters; see the tests."""
-    models = clustering.kmeans(vectors.scale_vectors(_points(t)), max_iter=30)
+    models = clustering.kmeans(vectors.scale_vectors(_points(t)))
     return models.select("run_id", "n", "k", F.round("cost", 3).alias("cost"))
 
 
@@ -182,7 +182,7 @@ def _select_k(t: Tables) -> DataFrame:
     """Chosen number of clusters per group; see the tests."""
     points = cut_lineage(vectors.scale_vectors(_points(t)))
     blocks = cut_lineage(clustering.block_points(points))
-    models = clustering.kmeans(points, max_iter=30, blocks=blocks)
+    models = clustering.kmeans(points, blocks=blocks)
     return clustering.select_k(blocks, models).withColumn("silhouette", F.round("silhouette", 5))
 
 
@@ -191,7 +191,7 @@ def _cluster(t: Tables) -> DataFrame:
     """Themes found among every product's reviews from their tf-idf vectors; see the tests."""
     rows = t.scrubbed.withColumn("run_id", F.col("product"))
     with_vectors = vectors.tfidf_vectors(rows, stop_words=STOP_WORDS)
-    _, themes = clustering.cluster_reviews(with_vectors, restarts=3, max_iter=20)
+    _, themes = clustering.cluster_reviews(with_vectors)
     return themes.select("run_id", "cluster_id", "review_count", "avg_rating", "label")
 
 
@@ -203,8 +203,8 @@ def _cluster(t: Tables) -> DataFrame:
 def _cluster_totals(t: Tables) -> DataFrame:
     """What any clustering must give: every review in one theme, three to eight themes per product."""
     rows = t.clustered.withColumn("run_id", F.col("product"))
-    with_vectors = vectors.tfidf_vectors(rows, size=64, stop_words=STOP_WORDS)
-    tagged, themes = clustering.cluster_reviews(with_vectors.drop("cluster_id"), restarts=2, max_iter=10)
+    with_vectors = vectors.tfidf_vectors(rows, stop_words=STOP_WORDS)
+    tagged, themes = clustering.cluster_reviews(with_vectors.drop("cluster_id"))
     totals = themes.groupBy("run_id").agg(
         F.sum("review_count").alias("reviews"), F.count("*").between(3, 8).alias("k_in_range")
     )

@@ -40,12 +40,12 @@ def plain_ratio(a, b):
     return max(scores)
 
 
-REVIEW = "This is a fantastic investment app with zero brokerage"
+REVIEW = "Every platform change at the station was announced in the app early"
 
 
 @pytest.mark.parametrize(
     "quote, passes",
-    [("fantastic investment app", True), ("fantastic investment app zero brokerage", True), ("totally bad support and high fees", False)],
+    [("platform change at the station", True), ("announced early at the platform", True), ("seats were dirty and the heating broken", False)],
 )
 def test_known_verdicts(spark, quote, passes):
     score = spark.createDataFrame([(quote, REVIEW)], "a string, b string").select(token_set_ratio(F.col("a"), F.col("b"))).first()[0]
@@ -88,13 +88,13 @@ def test_matching_finds_the_first_best_review(spark):
 
 def test_totals_and_failures(spark):
     reviews = spark.createDataFrame(
-        [("r", 1, "I love the UI and stock search feature.", 5, "google_play", date(2026, 6, 15)),
-         ("r", 2, "Redemption is very slow, took me 3 days.", 5, "google_play", date(2026, 6, 15))],
+        [("r", 1, "My seat was shown on the train plan, which helps.", 5, "google_play", date(2026, 6, 15)),
+         ("r", 2, "Ticket checks fail underground, every single time.", 5, "google_play", date(2026, 6, 15))],
         "run_id string, ord long, text string, rating int, source string, review_date date",
     )
     asked = spark.createDataFrame(
-        [("r", 0, "love the UI and stock search"), ("r", 1, "Redemption is very slow, took me 3 days"),
-         ("r", 2, "This app is completely garbage and crashes")], "run_id string, pos int, text string",
+        [("r", 0, "seat was shown on the train"), ("r", 1, "Ticket checks fail underground, every single time"),
+         ("r", 2, "the conductor sang songs all night long")], "run_id string, pos int, text string",
     )
     checked = quotes.validate_quotes(asked, reviews)
     totals = quotes.quote_totals(checked).first()

@@ -17,12 +17,12 @@ def column(spark, values, function, schema="v string"):
 
 def test_clean_text(spark):
     cases = {
-        "Best app &amp; service": "Best app & service",
-        "5 &gt; 3 &lt; 10": "5 > 3 < 10",
-        "&#39;quoted&#39;": "'quoted'",
-        "Hello​‍World": "HelloWorld",
-        "Too   many    spaces\n\nand\tnewlines": "Too many spaces and newlines",
-        "  Great app &amp; UI​   works   well  ": "Great app & UI works well",
+        "salt &amp; pepper": "salt & pepper",
+        "a &lt; b, b &gt; a": "a < b, b > a",
+        "it&#39;s": "it's",
+        "zero​‍width": "zerowidth",
+        "one  two\n\n\tthree": "one two three",
+        " tea &amp;​  cake ": "tea & cake",
         "a  b\x1c\x1fc": "a b c",
         "caf&eacute; &#x1F600; &copy 2024": "café 😀 © 2024",
         "": "",
@@ -43,8 +43,8 @@ def test_every_zero_width_character_goes(spark):
 
 def test_ids_match_a_plain_digest(spark):
     day = date(2026, 6, 15)
-    raw = "\n  Great App \t"
-    expected = hashlib.sha256(f"great app|5|{day}".encode()).hexdigest()
+    raw = "\n  Nice Tram \t"
+    expected = hashlib.sha256(f"nice tram|5|{day}".encode()).hexdigest()
     row = spark.createDataFrame([(raw, 5, day)], "t string, r int, d date").select(
         text.review_id(F.col("t"), F.col("r"), F.col("d")).alias("short"),
         text.dedup_key(F.col("t"), F.col("r"), F.col("d")).alias("key"),
@@ -60,22 +60,22 @@ def test_truncate_and_snippet(spark):
 @pytest.mark.parametrize(
     "raw, wanted",
     [
-        ("Contact me at test@example.com", "Contact me at [REDACTED]"),
-        ("Please reach out to user.name+tag@domain.co.in for help", "Please reach out to [REDACTED] for help"),
-        ("Email me at a@b.com or c@d.org", "Email me at [REDACTED] or [REDACTED]"),
-        ("Call 9876543210 now!", "Call [REDACTED] now!"),
-        ("Reach me at +919876543210", "Reach me at +[REDACTED]"),
-        ("Phone: +91-9876543210", "Phone: [REDACTED]"),
-        ("Office: 09876543210", "Office: [REDACTED]"),
-        ("Reference: 1234567890", "Reference: [REDACTED]"),
-        ("My PAN is ABCDE1234F", "My PAN is [REDACTED]"),
-        ("abcde1234f is not a real PAN", "abcde1234f is not a real PAN"),
-        ("Aadhaar: 1234 5678 9012", "Aadhaar: [REDACTED]"),
-        ("ID: 1234-5678-9012", "ID: [REDACTED]"),
-        ("Account 12345678 is blocked", "Account [REDACTED] is blocked"),
-        ("Enter PIN 1234", "Enter PIN 1234"),
+        ("mail ida@example.net soon", "mail [REDACTED] soon"),
+        ("to: o.k+news%1@sub.example.co.uk.", "to: [REDACTED]."),
+        ("x@y.zz,p@q.rr", "[REDACTED],[REDACTED]"),
+        ("ring 6000000001", "ring [REDACTED]"),
+        ("or +916000000001", "or +[REDACTED]"),
+        ("tel +91-7000000002", "tel [REDACTED]"),
+        ("desk 08000000003", "desk [REDACTED]"),
+        ("order 2000000000", "order [REDACTED]"),
+        ("card QWXYZ0918K", "card [REDACTED]"),
+        ("qwxyz0918k in small letters", "qwxyz0918k in small letters"),
+        ("no. 2222 3333 4444", "no. [REDACTED]"),
+        ("no. 2222-3333-4444", "no. [REDACTED]"),
+        ("box 55667788, shelf 2", "box [REDACTED], shelf 2"),
+        ("gate 4411", "gate 4411"),
         ("digits ९८७६५४३२१०१ here", "digits [REDACTED] here"),
-        ("Great app! 5 stars.", "Great app! 5 stars."),
+        ("room 7, 3 beds", "room 7, 3 beds"),
     ],
 )
 def test_scrub_pii(spark, raw, wanted):

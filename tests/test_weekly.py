@@ -17,8 +17,8 @@ NOW = datetime(2026, 6, 22, 9)
 @pytest.fixture(scope="module")
 def result(spark):
     reviews = spark.createDataFrame(
-        [("app", "gp1", "google_play", "The mutual fund tracking is extremely smooth.", 5, date(2026, 6, 15), "Secret Name", 1),
-         ("app", "as1", "app_store", "Redemption takes too long. Please fix. Call 9876543210", 2, date(2026, 6, 16), "Other", 2),
+        [("app", "gp1", "google_play", "Boarding passes show up in the wallet at once.", 5, date(2026, 6, 15), "Quiet Person", 1),
+         ("app", "as1", "app_store", "Refunds crawl along for weeks. Ring 9812345670", 2, date(2026, 6, 16), "Other", 2),
          ("app", "old", "app_store", "Outside of every requested window", 2, date(2025, 6, 16), "Other", 3),
          ("else", "x", "app_store", "Of a product nobody asked for", 2, date(2026, 6, 16), "Other", 4),
          ("mute", "m", "app_store", "The model never answers for this one", 2, date(2026, 6, 16), "Other", 5)],
@@ -35,11 +35,11 @@ def result(spark):
     run_of = {r["product"]: r["run_id"] for r in stage.due.collect()}
     good = {
         "summary": " Good and bad. ",
-        "themes": [{"label": "Tracking", "description": "Smooth.", "review_count": 99, "cluster_id": "Cluster 1"}],
-        "quotes": [{"text": "mutual fund tracking is extremely smooth", "theme_label": "tracking"}],
-        "action_ideas": ["Speed up redemption."],
+        "themes": [{"label": "Boarding", "description": "Quick.", "review_count": 99, "cluster_id": "Cluster 1"}],
+        "quotes": [{"text": "passes show up in the wallet", "theme_label": "boarding"}],
+        "action_ideas": ["Pay refunds sooner."],
     }
-    bad = dict(good, quotes=[{"text": "This app is completely garbage and crashes", "theme_label": "Tracking"}])
+    bad = dict(good, quotes=[{"text": "Nobody ever wrote such words anywhere", "theme_label": "Boarding"}])
     responses = spark.createDataFrame(
         [(run_of["app"], 1, json.dumps(bad), 700), (run_of["app"], 2, json.dumps(good), 500), (run_of["mute"], 1, "sorry", 50)],
         "run_id string, attempt int, report_json string, tokens_used int",
@@ -53,8 +53,8 @@ def test_prompt(result):
     prompt = prompts[run_of["app"]]["prompt"]
     assert "Report week: 2026-W25" in prompt
     assert "Review analysis window: 2026-04-13 to 2026-06-21" in prompt
-    assert "[2★] [app_store] [2026-06-16] Redemption takes too long. Please fix. Call [REDACTED]" in prompt
-    assert "Secret Name" not in prompt and "9876543210" not in prompt
+    assert "[2★] [app_store] [2026-06-16] Refunds crawl along for weeks. Ring [REDACTED]" in prompt
+    assert "Quiet Person" not in prompt and "9812345670" not in prompt
     assert prompts[run_of["app"]]["total_reviews"] == 2 and prompts[run_of["app"]]["max_quotes"] == 5
     assert stage.ledger.where("status = 'running'").count() == 2
 
@@ -89,17 +89,17 @@ def test_report(result):
             "Good and bad.",
             "",
             "## Top Themes",
-            "1. **Tracking** — Smooth. (2 reviews, avg ★3.5)",
+            "1. **Boarding** — Quick. (2 reviews, avg ★3.5)",
             "",
             "## Representative Quotes",
             "_Quotes are drawn from the full analysis window and represent the most illustrative feedback for each theme._",
             "",
-            '> "mutual fund tracking is extremely smooth" — 5★, Google Play, 2026-06-15',
-            "> _Tracking · from analysis window_",
+            '> "passes show up in the wallet" — 5★, Google Play, 2026-06-15',
+            "> _Boarding · from analysis window_",
             "",
             "",
             "## Action Ideas",
-            "- Speed up redemption.",
+            "- Pay refunds sooner.",
             "",
             "---",
             f"_Generated by themeloom · Run ID: {run_of['app']}_",

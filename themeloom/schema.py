@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-# Store names, their append order, and the most raw rows one run may take from each.
+# Store names and their append order.
 GOOGLE_PLAY = "google_play"
 APP_STORE = "app_store"
 SOURCE_RANK = {GOOGLE_PLAY: 0, APP_STORE: 1}
-SOURCE_CAP = {GOOGLE_PLAY: 10_000, APP_STORE: 500}
 
 # Run states.
 PENDING, RUNNING, COMPLETED, FAILED = "pending", "running", "completed", "failed"

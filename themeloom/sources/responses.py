@@ -18,6 +18,8 @@ def read_report_json(responses: DataFrame, json_col: str = "report_json") -> Dat
     is_object = F.rlike(F.trim(F.col(json_col)), F.lit(r"(?s)^\{.*\}$"))
     fields = [F.col("report")[name].isNotNull() for name in REPORT_JSON.fieldNames()]
     some_field = fields[0] | fields[1] | fields[2] | fields[3]
+    # An object without any of the fields is a response that says nothing.
+    other = F.try_parse_json(F.col(json_col)).isNotNull()
     # Numbered over the few responses of one run.
     earlier = (
         Window.partitionBy("run_id")
@@ -26,7 +28,7 @@ def read_report_json(responses: DataFrame, json_col: str = "report_json") -> Dat
     )
     return (
         responses.withColumn("report", report)
-        .withColumn("parsed", F.coalesce(is_object & some_field, F.lit(False)))
+        .withColumn("parsed", F.coalesce(is_object & (some_field | other), F.lit(False)))
         .withColumn(
             "attempt_no",
             F.when(F.col("parsed"), F.count_if("parsed").over(earlier).cast("int")),

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from themeloom.functions.text import review_id, strip_space
 from themeloom.schema import (
@@ -15,7 +16,6 @@ from themeloom.schema import (
     GOOGLE_PLAY,
     GOOGLE_PLAY_RAW,
     REVIEW,
-    SOURCE_CAP,
     SOURCE_RANK,
 )
 from themeloom.session import cut_lineage
@@ -33,6 +33,12 @@ def review_order(source: Column, sequence: Column) -> Column:
     return F.shiftleft(rank, _RANK_SHIFT) + sequence.cast("long")
 
 
+def written_day(at: Column) -> Column:
+    """The day as a timestamp's text gives it, whatever its offset; null unless the whole text is a timestamp with a day."""
+    day = F.regexp_extract(at, r"^\s*(\d{4}-\d{2}-\d{2})", 1).try_cast("date")
+    return F.when(F.try_to_timestamp(at).isNotNull(), day)
+
+
 def _normalize(
     raw: DataFrame,
     source: str,
@@ -51,7 +57,7 @@ def _normalize(
         F.lit(source).alias("source"),
         F.col(text).alias("text"),
         F.col(rating).try_cast("int").alias("rating"),
-        F.to_date(F.try_to_timestamp(F.col(day))).alias("review_date"),
+        written_day(F.col(day)).alias("review_date"),
         title.cast("string").alias("title"),
         F.col(author).cast("string").alias("author"),
         F.col(version).cast("string").alias("app_version"),
@@ -104,18 +110,23 @@ def normalize_app_store(
     )
 
 
+def _landed(spark: SparkSession, schema: T.StructType, path: str | list[str], options: dict[str, str], fetched_at: Column | None):
+    """Raw rows and how to normalise them: the partition columns of the landing folder (its products) are kept."""
+    raw = spark.read.schema(schema).options(mode="PERMISSIVE", **options).json(path)
+    folders = tuple(name for name in raw.columns if name not in schema.fieldNames())
+    return raw, fetched_at, None, folders
+
+
 def read_google_play(
     spark: SparkSession, path: str | list[str], fetched_at: Column | None = None, **options: str
 ) -> DataFrame:
-    raw = spark.read.schema(GOOGLE_PLAY_RAW).options(mode="PERMISSIVE", **options).json(path)
-    return normalize_google_play(raw, fetched_at)
+    return normalize_google_play(*_landed(spark, GOOGLE_PLAY_RAW, path, options, fetched_at))
 
 
 def read_app_store(
     spark: SparkSession, path: str | list[str], fetched_at: Column | None = None, **options: str
 ) -> DataFrame:
-    raw = spark.read.schema(APP_STORE_RAW).options(mode="PERMISSIVE", **options).json(path)
-    return normalize_app_store(raw, fetched_at)
+    return normalize_app_store(*_landed(spark, APP_STORE_RAW, path, options, fetched_at))
 
 
 def union_sources(*reviews: DataFrame) -> DataFrame:
@@ -145,7 +156,7 @@ def read_reviews(
 
 def newest_capped(
     reviews: DataFrame,
-    caps: dict[str, int] = SOURCE_CAP,
+    caps: dict[str, int],
     group_cols: tuple[str, ...] = ("product",),
     at: str = "at",
 ) -> DataFrame:
