@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from checks.adapter import Tables
+from checks.q_reports import _CHOSEN_KEYS_SQL, of_chosen
 from checks.registry import query
 from themeloom.operators import ledger, themes
 from themeloom.sources import tables
@@ -355,14 +356,14 @@ def _write_report(t: Tables) -> DataFrame:
 
 @query(
     "run_metrics",
-    """SELECT run_id, CAST(coalesce(f, 0) AS BIGINT) AS reviews_fetched, CAST(coalesce(p, 0) AS BIGINT) AS reviews_processed,
+    f"""SELECT run_id, CAST(coalesce(f, 0) AS BIGINT) AS reviews_fetched, CAST(coalesce(p, 0) AS BIGINT) AS reviews_processed,
               coalesce(themes_found, 0) AS themes_found, coalesce(ok, 0) AS quotes_validated, coalesce(bad, 0) AS quotes_dropped,
               CAST(coalesce(tokens, 0) AS BIGINT) AS tokens_used
        FROM (SELECT DISTINCT run_id FROM v_run_reviews)
        LEFT JOIN (SELECT run_id, count(*) AS f, count(*) FILTER (rating > 1) AS p FROM v_run_reviews GROUP BY run_id) USING (run_id)
        LEFT JOIN (SELECT run_id, count(*) AS themes_found FROM v_run_themes GROUP BY run_id) USING (run_id)
        LEFT JOIN (SELECT run_id, count(*) FILTER (text NOT LIKE 'zzqx%') AS ok, count(*) FILTER (text LIKE 'zzqx%') AS bad
-                  FROM v_quotes WHERE attempt = 1 GROUP BY run_id) USING (run_id)
+                  FROM v_quotes WHERE (run_id, attempt) IN {_CHOSEN_KEYS_SQL} GROUP BY run_id) USING (run_id)
        LEFT JOIN (SELECT run_id, sum(tokens_used) AS tokens FROM v_parsed GROUP BY run_id) USING (run_id)""",
 )
 def _metrics(t: Tables) -> DataFrame:
@@ -370,6 +371,6 @@ def _metrics(t: Tables) -> DataFrame:
     counts = rows.groupBy("run_id").agg(
         F.count("*").alias("reviews_fetched"), F.count_if(F.col("rating") > 1).alias("reviews_processed")
     )
-    judged = report_quotes(t.parsed).where("attempt = 1").withColumn("passed", ~F.col("text").startswith("zzqx"))
+    judged = of_chosen(t, report_quotes(t.parsed)).withColumn("passed", ~F.col("text").startswith("zzqx"))
     spent = t.parsed.groupBy("run_id").agg(F.sum("tokens_used").alias("tokens_used"))
     return ledger.run_metrics(rows.select("run_id").distinct(), counts, t.run_themes, judged, spent)

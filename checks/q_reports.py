@@ -128,17 +128,25 @@ def _attempt(t: Tables) -> DataFrame:
     return _chosen(t).select("run_id", "attempt", "attempt_no", "valid", "tokens_used")
 
 
-_LABELLED_SQL = """
+#: The checks from here on go on from the response that was chosen, as the job does.
+_CHOSEN_KEYS_SQL = f"(SELECT run_id, attempt FROM ({_CHOSEN_SQL}))"
+
+
+def of_chosen(t: Tables, rows: DataFrame) -> DataFrame:
+    return rows.join(_chosen(t).select("run_id", "attempt"), ["run_id", "attempt"], "left_semi")
+
+
+_LABELLED_SQL = f"""
     SELECT t.run_id, t.cluster_id, t.review_count, t.avg_rating,
            coalesce(trim(n.label), t.label) AS label, coalesce(trim(n.description), t.description) AS description
     FROM v_run_themes t LEFT JOIN (
       SELECT run_id, cluster_id, arg_max(label, pos) AS label, arg_max(description, pos) AS description
-      FROM v_named WHERE attempt = 1 AND cluster_id IS NOT NULL GROUP BY run_id, cluster_id) n
+      FROM v_named WHERE (run_id, attempt) IN {_CHOSEN_KEYS_SQL} AND cluster_id IS NOT NULL GROUP BY run_id, cluster_id) n
     USING (run_id, cluster_id)"""
 
 
 def _labelled(t: Tables) -> DataFrame:
-    return themes.label_themes(t.run_themes, _named(t).where("attempt = 1"))
+    return themes.label_themes(t.run_themes, of_chosen(t, _named(t)))
 
 
 @query("label_themes", _LABELLED_SQL)
@@ -157,17 +165,16 @@ def _with_label(t: Tables) -> DataFrame:
     return filters.labelled_themes(t.run_themes.withColumn("label", blank)).select("run_id", "cluster_id")
 
 
-_RESOLVED_SQL = """
+_RESOLVED_SQL = f"""
     SELECT q.run_id, q.attempt, q.pos, q.text, q.theme_label, n.cluster_id
     FROM v_quotes q LEFT JOIN (
       SELECT run_id, lower(trim(label)) AS k, arg_max(cluster_id, pos) AS cluster_id FROM v_named
-      WHERE attempt = 1 AND cluster_id IS NOT NULL GROUP BY run_id, lower(trim(label))) n
-    ON n.run_id = q.run_id AND n.k = lower(trim(q.theme_label)) WHERE q.attempt = 1"""
+      WHERE (run_id, attempt) IN {_CHOSEN_KEYS_SQL} AND cluster_id IS NOT NULL GROUP BY run_id, lower(trim(label))) n
+    ON n.run_id = q.run_id AND n.k = lower(trim(q.theme_label)) WHERE (q.run_id, q.attempt) IN {_CHOSEN_KEYS_SQL}"""
 
 
 def _resolved(t: Tables) -> DataFrame:
-    first = _quotes(t).where("attempt = 1")
-    return themes.quote_cluster(first, _named(t).where("attempt = 1"))
+    return themes.quote_cluster(of_chosen(t, _quotes(t)), of_chosen(t, _named(t)))
 
 
 @query("quote_cluster", f"SELECT run_id, pos, cluster_id FROM ({_RESOLVED_SQL})")
@@ -252,7 +259,7 @@ def _by_label(t: Tables) -> DataFrame:
     "top_quotes",
     f"""SELECT run_id, CAST(theme_no AS INTEGER) AS theme_no, pos, text FROM (
           SELECT s.run_id, s.theme_no, q.pos, q.text FROM ({_SHOWN_SQL}) s JOIN v_quotes q
-            ON q.run_id = s.run_id AND lower(trim(q.theme_label)) = lower(trim(s.label)) AND q.attempt = 1)
+            ON q.run_id = s.run_id AND lower(trim(q.theme_label)) = lower(trim(s.label)) AND (q.run_id, q.attempt) IN {_CHOSEN_KEYS_SQL})
         QUALIFY row_number() OVER (PARTITION BY run_id, theme_no ORDER BY pos) <= 2""",
 )
 def _top_quotes(t: Tables) -> DataFrame:
@@ -373,11 +380,11 @@ _DRAFT_THEMES_SQL = f"""
 _DRAFT_QUOTES_SQL = f"""
     SELECT run_id, string_agg(pos || ':' || text || ':' || rating || ':' || source || ':' || review_date, ';' ORDER BY pos) AS quotes
     FROM ({_SOURCED_SQL}) GROUP BY run_id"""
-_FIRST_SQL = "SELECT run_id, report_json FROM v_parsed WHERE attempt = 1"
+_FIRST_SQL = f"SELECT run_id, report_json FROM ({_CHOSEN_SQL})"
 
 
 def _draft(t: Tables) -> DataFrame:
-    return report.report_draft(t.parsed.where("attempt = 1"), _labelled(t), _sourced(t))
+    return report.report_draft(of_chosen(t, t.parsed), _labelled(t), _sourced(t))
 
 
 @query(
