@@ -285,16 +285,16 @@ def _write_themes(t: Tables) -> DataFrame:
     return tables.replace_run_rows(t.stored_themes, fresh).select("run_id", "label", "review_count")
 
 
-# Cache of reviews: every other review was saved by an older run; newer runs save again.
+# Cache of reviews: an older run saved every kept review; the runs save theirs again.
 def _cached(t: Tables) -> DataFrame:
-    return t.kept.where("doc_id % 2 = 0").select(
+    return t.kept.select(
         "review_id", "source", F.lit("old").alias("run_id"), F.col("text").alias("text_clean"),
         "rating", "review_date", F.lit(1).alias("cluster_id"),
     ).dropDuplicates(["review_id", "source"])
 
 
 def _saved(t: Tables) -> DataFrame:
-    return t.run_reviews.where("doc_id % 3 = 0").select(
+    return t.run_reviews.select(
         "review_id", "source", "run_id", F.col("text").alias("text_clean"), "rating", "review_date",
         F.lit(None).cast("int").alias("cluster_id"), F.col("week_start").cast("timestamp").alias("started_at"),
     )
