@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themeloom.llm import bpe, lsh_search, mixing, outliers, pii_bootstrap, simhash, token_counts, url_rules, warc, winnow
+from themeloom.llm import bpe, lsh_search, merkle, mixing, outliers, pii_bootstrap, sharded_lloyd, simhash, token_counts, url_rules, warc, winnow
 from themeloom.llm.common import WORD, table, word_count, written
 from themeloom.session import checkpoint_folder
 
@@ -164,3 +164,69 @@ def multiprobe_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_bootstrapped_pii")
 def bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_bootstrap.find(table(spark, sf_dir, "documents"))
+
+
+MANIFEST_COLUMNS = ["doc_id", "source", "lang", "n_chars", "text"]
+#: CRC-32 of a decimal number, bit by bit.
+_SQL_CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+  lambda crc, byte: list_reduce(list_concat([xor(crc, byte)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295)"""
+_SQL_LEAF = "sha256(" + " || ".join(f"coalesce(octet_length(encode({c}::VARCHAR))::VARCHAR || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "{n}", "text")) + ")"
+MANIFEST_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS g, {_SQL_LEAF.replace("{n}", "n_chars")} AS leaf,
+    {_SQL_LEAF.replace("{n}", f"(n_chars + CASE WHEN {_SQL_CRC} % 7 = 0 THEN 1 ELSE 0 END)")} AS altered FROM documents),
+o AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM d),
+t AS (SELECT 0 AS level, g, i, n, leaf AS h FROM o
+  UNION ALL SELECT level + 1, g, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM t WHERE n > 1 GROUP BY level, g, i // 2, n),
+s AS (SELECT g, level AS height, h, row_number() OVER (ORDER BY encode(g)) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (SELECT 0 AS level, i, n, h FROM s
+  UNION ALL SELECT level + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM u WHERE n > 1 GROUP BY level, i // 2, n),
+step AS (
+  SELECT o.g, o.i, t.level AS level, t.i % 2 AS side, x.h AS sibling FROM o JOIN t ON t.g = o.g AND t.i = o.i >> t.level AND t.n > 1
+    LEFT JOIN t x ON x.g = t.g AND x.level = t.level AND x.i = xor(t.i, 1)
+  UNION ALL
+  SELECT o.g, o.i, s.height + u.level, u.i % 2, x.h FROM o JOIN s ON s.g = o.g JOIN u ON u.i = s.i >> u.level AND u.n > 1
+    LEFT JOIN u x ON x.level = u.level AND x.i = xor(u.i, 1)),
+proof AS (SELECT g, i, sha256(coalesce(string_agg(sibling, '' ORDER BY level), '')) AS proof_sha256 FROM o LEFT JOIN step USING (g, i) GROUP BY g, i),
+fold AS (SELECT g, i, 0 AS level, altered AS h FROM o
+  UNION ALL SELECT f.g, f.i, f.level + 1, sha256(CASE WHEN side = 1 THEN coalesce(sibling, '') || f.h ELSE f.h || coalesce(sibling, '') END)
+    FROM fold f JOIN step s ON s.g = f.g AND s.i = f.i AND s.level = f.level),
+folded AS (SELECT g, i, arg_max(h, level) AS folded_root FROM fold GROUP BY g, i)
+SELECT o.doc_id, o.leaf, s.h AS subroot, u.h AS root, proof_sha256, folded_root, folded_root = u.h AS verified
+FROM o JOIN s ON s.g = o.g JOIN u ON u.n = 1 JOIN proof p ON p.g = o.g AND p.i = o.i JOIN folded f ON f.g = o.g AND f.i = o.i
+"""
+
+
+@query("op11_merkle_manifest", MANIFEST_SQL)
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves, roots and proofs of all documents; where 7 divides the checksum of doc_id, n_chars is found one too high."""
+    docs = table(spark, sf_dir, "documents")
+    altered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    found = F.when(altered, F.col("n_chars").cast("decimal(20,0)") + 1).otherwise(F.col("n_chars"))
+    columns = [F.col(name) for name in MANIFEST_COLUMNS]
+    seen = [found if name == "n_chars" else F.col(name) for name in MANIFEST_COLUMNS]
+    proven = merkle.manifest(docs, "doc_id", "lang", columns, seen)
+    return proven.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+CENTROIDS, ROUNDS = 16, 3
+_SQL_NEAREST = """a{r} AS MATERIALIZED (SELECT vec_id, row, v, least.c AS c, least.dist AS dist FROM (SELECT vec_id, row, v,
+    min({{'dist': list_sum(list_transform(list_zip(v, w), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, 'c': c}}) AS least FROM x, c{r} GROUP BY vec_id, row, v))"""
+_SQL_MEANS = """c{n} AS MATERIALIZED (SELECT c, coalesce(m, w) AS w FROM c{r} LEFT JOIN (
+    SELECT c, list(value ORDER BY place) AS m FROM (SELECT c, place, floor_div AS value FROM (
+      SELECT c, place, (sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS floor_div
+      FROM (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS place FROM a{r}) GROUP BY c, place)) GROUP BY c) USING (c))"""
+LLOYD_SQL = f"""
+WITH x AS MATERIALIZED (SELECT vec_id, row_number() OVER () AS row, list_transform(embedding, lambda e: floor(64 * e::DOUBLE)::HUGEINT) AS v FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id::VARCHAR), v) - 1 AS c, v AS w FROM x QUALIFY c < {CENTROIDS}),
+{", ".join(_SQL_NEAREST.format(r=r) + ", " + _SQL_MEANS.format(r=r, n=r + 1) for r in range(ROUNDS))},
+{_SQL_NEAREST.format(r=ROUNDS)}
+SELECT vec_id, c::INT AS cluster, dist AS distance, sum(dist) OVER (PARTITION BY c)::BIGINT AS cluster_inertia, sum(dist) OVER ()::BIGINT AS inertia,
+  sha256(array_to_string(w, ',')) AS centroid_sha256 FROM a{ROUNDS} JOIN c{ROUNDS} USING (c)
+"""
+
+
+@query("op13_sharded_lloyd", LLOYD_SQL)
+def sharded_lloyd_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharded_lloyd.cluster(table(spark, sf_dir, "embeddings"), k=CENTROIDS, rounds=ROUNDS, dims=64, scale=64, seed=1)
