@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themeloom.llm import bpe, lsh_search, merkle, mixing, outliers, pii_bootstrap, sharded_lloyd, simhash, token_counts, url_rules, warc, winnow
+from themeloom.llm import bpe, factorization, lsh_search, merkle, mixing, outliers, pii_bootstrap, sharded_lloyd, simhash, token_counts, url_rules, warc, winnow
 from themeloom.llm.common import WORD, table, word_count, written
 from themeloom.session import checkpoint_folder
 
@@ -230,3 +230,10 @@ SELECT vec_id, c::INT AS cluster, dist AS distance, sum(dist) OVER (PARTITION BY
 @query("op13_sharded_lloyd", LLOYD_SQL)
 def sharded_lloyd_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded_lloyd.cluster(table(spark, sf_dir, "embeddings"), k=CENTROIDS, rounds=ROUNDS, dims=64, scale=64, seed=1)
+
+
+@query("op12_factorization_machine")
+def factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learned from at most 20,000 of the labelled rows that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    return factorization.classify(docs, table(spark, sf_dir, "labels"), folds=5, threshold=0.3, most=20_000)
