@@ -53,7 +53,7 @@ def _parsed(t: Tables) -> DataFrame:
         FROM ({_MATCH_SQL})""",
 )
 def _match(t: Tables) -> DataFrame:
-    matches = quotes.match_quotes(_quotes(t), t.run_reviews)
+    matches = quotes.match_quotes(_quotes(t), t.clustered, t.run_reviews)
     return matches.withColumn("best_score", F.round("best_score", 6))
 
 
@@ -64,7 +64,7 @@ def _match(t: Tables) -> DataFrame:
         FROM v_quotes JOIN (SELECT run_id, text, best_score FROM ({_MATCH_SQL})) USING (run_id, text)""",
 )
 def _validate(t: Tables) -> DataFrame:
-    return quotes.validate_quotes(_quotes(t), t.run_reviews)
+    return quotes.validate_quotes(_quotes(t), t.clustered, t.run_reviews)
 
 
 @query(
@@ -73,7 +73,7 @@ def _validate(t: Tables) -> DataFrame:
         FROM v_quotes JOIN ({_MATCH_SQL}) USING (run_id, text)""",
 )
 def _best(t: Tables) -> DataFrame:
-    matched = quotes.best_match(_quotes(t), t.run_reviews)
+    matched = quotes.best_match(_quotes(t), t.clustered, t.run_reviews)
     return matched.select("run_id", "attempt", "pos", "ord", "rating", "source", "review_date")
 
 
@@ -427,9 +427,8 @@ _QUOTE_LINES_SQL = f"""
 _LONG = "'%B %d, %Y'"
 
 
-@query(
-    "render_markdown",
-    f"""SELECT run_id, product, week_start, '# ' || display_name || ' — Weekly Review Report' || chr(10) || chr(10)
+#: Every run's document.
+MARKDOWN_SQL = f"""SELECT run_id, product, week_start, '# ' || display_name || ' — Weekly Review Report' || chr(10) || chr(10)
         || '**Reporting Week:** ' || strftime(week_start, {_LONG}) || ' – ' || strftime(week_end, {_LONG}) || chr(10)
         || '**Analysis Window:** ' || strftime(window_start, {_LONG}) || ' – ' || strftime(window_end, {_LONG}) || ' (10 weeks)' || chr(10)
         || '**Sources:** Google Play, Apple App Store' || chr(10) || '**Reviews Analyzed:** ' || reviews_count || chr(10) || chr(10)
@@ -442,9 +441,11 @@ _LONG = "'%B %d, %Y'"
         || chr(10) || chr(10) || '---' || chr(10) || '_Generated by themeloom · Run ID: ' || run_id || '_' || chr(10) AS content
         FROM ({_RUN_SQL}) JOIN ({_FIRST_SQL}) USING (run_id)
         LEFT JOIN (SELECT run_id, string_agg(line, chr(10) ORDER BY theme_no) AS theme_text FROM ({_THEME_LINES_SQL}) GROUP BY run_id) USING (run_id)
-        LEFT JOIN (SELECT run_id, string_agg(line, chr(10) ORDER BY theme_no) AS quote_text FROM ({_QUOTE_LINES_SQL}) GROUP BY run_id) USING (run_id)""",
-)
-def _markdown(t: Tables) -> DataFrame:
+        LEFT JOIN (SELECT run_id, string_agg(line, chr(10) ORDER BY theme_no) AS quote_text FROM ({_QUOTE_LINES_SQL}) GROUP BY run_id) USING (run_id)"""
+
+
+@query("render_markdown", MARKDOWN_SQL)
+def markdown(t: Tables) -> DataFrame:
     return report.render_markdown(_draft(t), _run_rows(t), _labelled(t), _sourced(t))
 
 

@@ -86,6 +86,31 @@ def test_matching_finds_the_first_best_review(spark):
         assert row["passed"] == (row["best_score"] >= 90)
 
 
+def test_matching_where_one_run_holds_most_reviews(spark):
+    """Each review is given once, with the runs it counts for; quotes are spans, spellings, blanks and strangers."""
+    rng = random.Random(13)
+    words = ["app", "apps", "fee", "fees", "login", "logins", "crash", "crashed", "slow", "the", "a", "of", "zone", "train"]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    reviews = [(i, text(rng.randint(1, 14)) if i % 9 else ["", " ", "a", "x y"][i % 4], i % 5 + 1, "app_store", date(2026, 1, 1 + i % 20)) for i in range(200)]
+    members = [("hot" if i % 10 else f"r{i % 3}", i) for i in range(200)] + [("both", i) for i in range(0, 200, 7)] + [("hot", 4), ("hot", 4)]
+    span = lambda t: " ".join(t.split()[1:5])
+    asked = [(run, q) for run in ("hot", "r0", "r1", "both", "none") for q in
+             ["", "  ", "unheard words only", "ap fe logn", "xxxx yyyy the", *[span(reviews[i][1]) for i in (3, 5, 11, 120)], *[text(4) + " qq" for _ in range(4)]]]
+    rows = quotes.match_quotes(
+        spark.createDataFrame(asked, "run_id string, text string"),
+        spark.createDataFrame(reviews, "ord long, text string, rating int, source string, review_date date"),
+        spark.createDataFrame(members, "run_id string, ord long"),
+    ).collect()
+    assert len(rows) == len(set(asked))
+    for row in rows:
+        inside = [reviews[i] for i in sorted({o for run, o in members if run == row["run_id"]})]
+        if not inside:
+            assert (row["best_score"], row["ord"], row["source"]) == (0.0, None, None)
+            continue
+        best = min((round(-plain_ratio(row["text"], r[1]), 9), r[0]) for r in inside)
+        assert (round(-row["best_score"], 9), row["ord"]) == best and row["rating"] == reviews[best[1]][2]
+
+
 def test_totals_and_failures(spark):
     reviews = spark.createDataFrame(
         [("r", 1, "My seat was shown on the train plan, which helps.", 5, "google_play", date(2026, 6, 15)),

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -92,27 +93,28 @@ def set_overlap(
     )
 
 
+def _common_length(x: str | None, y: str | None) -> int | None:
+    if x is None or y is None:
+        return None
+    short, long = (x, y) if len(x) <= len(y) else (y, x)
+    # one bit per character of the longer text, one step per character of the shorter
+    chars = np.frombuffer(long.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    places = {c: int.from_bytes(np.packbits(chars == ord(c), bitorder="little").tobytes(), "little") for c in set(short)}
+    full = (1 << len(long)) - 1
+    open_bits = full
+    for c in short:
+        hits = open_bits & places[c]
+        if hits:
+            open_bits = ((open_bits + hits) | (open_bits - hits)) & full
+    return len(long) - open_bits.bit_count()
+
+
 def common_subsequence_length(a: Column, b: Column) -> Column:
     """Length of the longest common subsequence (bit-parallel, Hyyrö 2004), as an Arrow UDF."""
 
     @F.pandas_udf("int")
     def lcs(left: pd.Series, right: pd.Series) -> pd.Series:
-        def one(x, y):
-            if x is None or y is None:
-                return None
-            short, long = (x, y) if len(x) <= len(y) else (y, x)
-            positions: dict[str, int] = {}
-            for i, ch in enumerate(short):
-                positions[ch] = positions.get(ch, 0) | (1 << i)
-            full = (1 << len(short)) - 1
-            open_bits = full
-            for ch in long:
-                hits = open_bits & positions.get(ch, 0)
-                if hits:
-                    open_bits = ((open_bits + hits) | (open_bits - hits)) & full
-            return len(short) - open_bits.bit_count()
-
-        return pd.Series([one(x, y) for x, y in zip(left, right)], dtype="Int32")
+        return pd.Series([_common_length(x, y) for x, y in zip(left, right)], dtype="Int32")
 
     return lcs(a, b)
 

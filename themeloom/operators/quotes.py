@@ -1,13 +1,17 @@
 """Fuzzy check that every quote occurs in a review of its run.
 
-Quotes of a run are few (one model response); reviews may be many. Each review row therefore meets
-the run's quotes as one array, pairs live only inside the task that scores them, and what leaves a
-task is one partial best per quote. Two passes keep the Python helper off nearly all pairs:
-
-1. the part of the score that token sets decide gives every quote a best score so far;
-2. only pairs whose upper bound reaches that best get the exact common-subsequence score.
-
-Shared tokens are not required, since near-identical spellings can match without any.
+Reviews are tokenised once, before they are spread over the runs they count for. From then on only narrow
+rows move: an inverted index of the tokens that occur in quotes, and the reviews' lengths. Best scores are
+exact and come from a threshold algorithm:
+
+1. Each quote meets the reviews that hold its rarest token; the best score that shared tokens give there is
+   its floor in the run.
+2. Closed-form bounds tell which pairs can still reach the floor. A score from shared tokens needs a token
+   of the quote's prefix (its rarest tokens, so many that the others together fall short), or a review
+   short enough; a score from similar spelling needs a review of similar length.
+3. Candidates are scored, and only those whose bound exceeds what token sets give go to the Python helper.
+
+Joins on a run deal the reviews out by a salt, so that one run may hold most rows.
 """
 
 from __future__ import annotations
@@ -15,169 +19,153 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from themeloom.functions.fuzzy import (
-    SetOverlap,
-    common_subsequence_length,
-    joined_length,
-    rest_text,
-    set_overlap,
-    token_set,
-)
+from themeloom.functions.fuzzy import common_subsequence_length, joined_length, rest_text, set_overlap, token_set
 from themeloom.schema import QUOTE_THRESHOLD
+from themeloom.session import cut_lineage
 
-_BEST = ("ord", "rating", "source", "review_date")
-
-
-def _overlap(pair: Column) -> SetOverlap:
-    quote = pair["quote"]
-    return set_overlap(
-        quote["size"], quote["length"], F.col("_size"), F.col("_length"),
-        pair["shared_size"], pair["shared_length"],
-    )
-
+#: Tasks over which the reviews of one run are dealt in a join.
+SALTS = 32
+_FACTS = ("rating", "source", "review_date")
+_SLACK = 1e-6
 
-def _scored_pairs(quotes: Column, seen: Column) -> Column:
-    """A review's quotes with the tokens shared, the score these decide and the bound on the rest.
 
-    Worked out inside the review's row, step by step, so that no expression is evaluated twice and
-    a filter on the result is not pushed into it. ``seen`` are the review's tokens that occur in
-    any quote of the run: a long review is searched once, not once per quote.
-    """
-    # Spark hashes the second array and probes with the first: hash the short one.
-    shared = F.transform(
-        quotes,
-        lambda q: F.struct(q.alias("quote"), F.array_intersect(seen, q["tokens"]).alias("shared")),
-    )
-    sized = F.transform(
-        shared,
-        lambda p: F.struct(
-            p["quote"].alias("quote"),
-            p["shared"].alias("shared"),
-            F.size(p["shared"]).alias("shared_size"),
-            joined_length(p["shared"]).alias("shared_length"),
-        ),
-    )
-    return F.transform(
-        sized,
-        lambda p: F.struct(
-            p["quote"].alias("quote"),
-            p["shared"].alias("shared"),
-            p["shared_size"].alias("shared_size"),
-            p["shared_length"].alias("shared_length"),
-            _overlap(p).set_score().alias("set_score"),
-            _overlap(p).rest_bound().alias("bound"),
-        ),
-    )
+def _salt() -> Column:
+    return F.pmod(F.xxhash64("ord"), F.lit(SALTS))
 
 
-def _meet_quotes(reviews: DataFrame, quotes: DataFrame, keep: list[str]) -> DataFrame:
-    """Reviews with the quotes of their run as scored pairs in ``_pairs``.
+def _salted_join(reviews: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
+    """Join on ``keys``: ``reviews`` (with ``ord``) dealt out by salt, the much smaller ``asked`` once per salt."""
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+    return reviews.withColumn("_salt", _salt()).join(asked.withColumn("_salt", salts), [*keys, "_salt"]).drop("_salt")
 
-    ``quotes`` has one row per run. Reviews are spread by their own key first: the work per row is
-    high and a run may hold most rows.
-    """
-    tasks = int(reviews.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = reviews.select("run_id", "ord", "text", *keep).repartition(tasks, "run_id", "ord")
-    tokens = spread.withColumn("_tokens", token_set(F.col("text"))).drop("text")
-    sized = tokens.withColumns(
-        {"_size": F.size("_tokens"), "_length": joined_length(F.col("_tokens"))}
-    )
-    joined = sized.join(quotes, "run_id").withColumn(
-        "_seen", F.array_intersect("_tokens", "_vocabulary")
-    )
-    return joined.withColumn("_pairs", _scored_pairs(F.col("_quotes"), F.col("_seen")))
 
+def review_tokens(reviews: DataFrame) -> DataFrame:
+    """(ord, tokens, size, length, rating, source, review_date): the one pass over the texts, as a table."""
+    tokens = reviews.select("ord", token_set(F.col("text")).alias("tokens"), *_FACTS)
+    return cut_lineage(tokens.withColumns({"size": F.size("tokens"), "length": joined_length(F.col("tokens"))}))
 
-def _exploded(rows: DataFrame, pairs: Column) -> DataFrame:
-    """One row per pair in ``p``.
 
-    The outer form on purpose: for the plain one Spark adds a filter on the array being non-empty,
-    which evaluates the whole array a second time.
-    """
-    kept = [name for name in rows.columns if name not in ("_pairs", "_quotes", "_vocabulary", "_seen")]
-    return rows.select(*kept, F.explode_outer(pairs).alias("p")).where("p IS NOT NULL")
+def _scored(pairs: DataFrame, quotes: DataFrame, quote_tokens: DataFrame, index: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``pairs`` (qid, ord) with lengths, the score that shared tokens decide and the bound on the rest."""
+    shared = pairs.join(quote_tokens.select("qid", "token", "chars"), "qid").join(index.select("ord", "token"), ["ord", "token"])
+    shared = shared.groupBy("qid", "ord").agg(F.count(F.lit(1)).alias("n"), (F.sum("chars") + F.count(F.lit(1)) - 1).alias("shared"))
+    met = pairs.join(shared, ["qid", "ord"], "left").join(quotes.select("qid", "size", "length"), "qid")
+    met = met.join(sizes.select("ord", F.col("size").alias("rsize"), F.col("length").alias("rlength")), "ord")
+    met = met.withColumns({"n": F.coalesce("n", F.lit(0)), "shared": F.coalesce("shared", F.lit(0))})
+    overlap = _overlap()
+    return met.withColumns({"set_score": overlap.set_score(), "bound": overlap.rest_bound()})
 
 
-def _per_run(quotes: DataFrame, *fields: Column | str) -> DataFrame:
-    """One row per run with its distinct quote texts, bounded by the size of its responses."""
-    grouped = quotes.groupBy("run_id").agg(F.collect_list(F.struct(*fields)).alias("_quotes"))
-    return grouped.withColumn("_vocabulary", F.array_distinct(F.flatten("_quotes.tokens")))
+def _overlap():
+    return set_overlap(*(F.col(name) for name in ("size", "length", "rsize", "rlength", "n", "shared")))
 
 
 def match_quotes(
-    quotes: DataFrame, reviews: DataFrame, threshold: float = QUOTE_THRESHOLD
+    quotes: DataFrame, reviews: DataFrame, members: DataFrame | None = None, threshold: float = QUOTE_THRESHOLD
 ) -> DataFrame:
     """Best score of every distinct quote text of a run, with the first review reaching it.
 
-    Columns: ``run_id, text, best_score, passed`` and the review's ``ord, rating, source,
+    ``reviews`` has a row per review (``ord`` identifies it), ``members`` the ``run_id, ord`` that belong
+    together. Without ``members``, ``reviews`` has a row per run and review and is brought down to one per
+    ``ord`` first. Columns: ``run_id, text, best_score, passed`` and the review's ``ord, rating, source,
     review_date`` (null where the run has no reviews).
     """
-    texts = quotes.select("run_id", "text").distinct()
-    tokens = texts.withColumn("tokens", token_set(F.col("text")))
-    sized = tokens.withColumns(
-        {"size": F.size("tokens"), "length": joined_length(F.col("tokens"))}
-    )
-    fields = ("text", "tokens", "size", "length")
-
-    met = _meet_quotes(reviews, _per_run(sized, *fields), [])
-    scores = F.transform(
-        "_pairs",
-        lambda p: F.struct(p["quote"]["text"].alias("text"), p["set_score"].alias("score")),
-    )
-    decided = (
-        _exploded(met, scores).groupBy("run_id", "p.text").agg(F.max("p.score").alias("floor"))
-    )
-    known = sized.join(decided, ["run_id", "text"])
-
-    def can_win(pair: Column) -> Column:
-        floor = pair["quote"]["floor"]
-        return (pair["set_score"] >= floor) | ((pair["bound"] >= floor) & (floor < 100))
-
-    facts = [name for name in _BEST if name != "ord"]
-    met = _meet_quotes(reviews, _per_run(known, *fields, "floor"), facts)
-    reaching = _exploded(met, F.filter("_pairs", can_win))
-    open_pair = F.col("p.bound") > F.col("p.set_score")
-    common = common_subsequence_length(
-        F.when(open_pair, rest_text(F.col("p.quote.tokens"), F.col("p.shared"))),
-        F.when(open_pair, rest_text(F.col("_tokens"), F.col("p.shared"))),
-    )
-    rest_score = F.coalesce(_overlap(F.col("p")).rest_score(common), F.lit(0.0))
-    best = (
-        reaching.select(
-            "run_id",
-            F.col("p.quote.text").alias("text"),
-            F.greatest("p.set_score", rest_score).alias("score"),
-            *_BEST,
-        )
-        .groupBy("run_id", "text")
-        .agg(F.min_by(F.struct("score", *_BEST), F.struct(-F.col("score"), "ord")).alias("best"))
-    )
-    matched = texts.join(best, ["run_id", "text"], "left")
-    best_score = F.coalesce("best.score", F.lit(0.0))
-    return matched.select(
-        "run_id",
-        "text",
-        best_score.alias("best_score"),
-        (best_score >= threshold).alias("passed"),
-        *[F.col(f"best.{name}").alias(name) for name in _BEST],
+    if members is None:
+        members = reviews.select("run_id", "ord")
+        reviews = reviews.groupBy("ord").agg(F.min(F.struct("text", *_FACTS)).alias("_")).select("ord", "_.*")
+    asked = quotes.select("run_id", F.coalesce("text", F.lit("")).alias("text")).distinct()
+    tokens = F.array_sort(token_set(F.col("text")))
+    texts = asked.select("text").distinct().withColumn("tokens", tokens).withColumn("qid", F.monotonically_increasing_id())
+    texts = cut_lineage(texts.withColumns({"size": F.size("tokens"), "length": joined_length(F.col("tokens"))}))
+    asked = cut_lineage(asked.join(texts.select("qid", "text"), "text").select("run_id", "qid"))
+    members = cut_lineage(members.select("run_id", "ord").join(asked.select("run_id").distinct(), "run_id", "left_semi").distinct())
+
+    tokenised = review_tokens(reviews.join(members.select("ord").distinct(), "ord", "left_semi"))
+    sizes = tokenised.select("ord", "size", "length")
+    words = texts.select("qid", F.explode("tokens").alias("token"))
+    postings = tokenised.select("ord", F.col("length").alias("rlength"), F.explode("tokens").alias("token"))
+    index = cut_lineage(postings.join(words.select("token").distinct(), "token", "left_semi"))
+    held = index.groupBy("token").agg(F.count(F.lit(1)).alias("reviews"))
+    # rarest first; tail: what a review can share that holds none of the tokens before
+    common_first = Window.partitionBy("qid").orderBy(F.col("reviews").desc(), F.col("token").desc())
+    found = words.join(held, "token").withColumn("chars", F.length("token"))
+    tail = F.sum("chars").over(common_first) + F.row_number().over(common_first) - 1
+    quote_tokens = cut_lineage(
+        found.withColumn("tail", tail)
+        .withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("reviews", "token")))
+        .select("qid", "token", "chars", "tail", "rank")
+    )
+
+    def candidates(wanted: DataFrame) -> DataFrame:
+        """(run_id, qid, ord) where the review holds the token and is shorter than ``reach``."""
+        most = wanted.groupBy("token").agg(F.max("reach").alias("most"))
+        near = index.join(most, "token").where("rlength < most").drop("most").join(members, "ord")
+        met = _salted_join(near, wanted, ["run_id", "token"]).where("rlength < reach")
+        return met.select("run_id", "qid", "ord").distinct()
+
+    anywhere = F.lit(float("inf"))
+    rarest = asked.join(quote_tokens.where("rank = 1"), "qid").select("run_id", "qid", "token", anywhere.alias("reach"))
+    first = cut_lineage(candidates(rarest))
+    scored = _scored(first.select("qid", "ord").distinct(), texts, quote_tokens, index, sizes)
+    floors = first.join(scored.select("qid", "ord", "set_score"), ["qid", "ord"]).groupBy("run_id", "qid").agg(F.max("set_score").alias("floor"))
+    floors = asked.join(floors, ["run_id", "qid"], "left").join(texts.select("qid", "length"), "qid")
+    floors = cut_lineage(floors.withColumn("floor", F.coalesce("floor", F.lit(0.0))))
+
+    # 200 s / (s + length) from s shared characters on the quote's side, on the review's side likewise;
+    # 200 min / (sum) of the two lengths at most from spelling
+    floor = F.greatest(F.col("floor") - _SLACK, F.lit(0.0))
+    least_shared = floor * F.col("length") / (200 - floor)
+    low = F.when(floor > 0, least_shared).otherwise(0.0)
+    high = F.when(floor > 0, F.col("length") * (200 - floor) / floor).otherwise(anywhere)
+    bounds = floors.withColumns({"least": least_shared, "low": low, "high": high})
+    reach = F.when(F.col("tail") >= F.col("least"), anywhere).otherwise(F.col("low") + 1)
+    by_token = candidates(bounds.join(quote_tokens, "qid").select("run_id", "qid", "token", reach.alias("reach")))
+
+    step = lambda length: F.floor(F.log2(F.greatest(length, F.lit(1)).cast("double"))).cast("int")
+    open_ones = bounds.where("floor < 100 AND length > 0")
+    longest = sizes.agg(F.max("length")).first()[0] or 0
+    steps = F.explode(F.sequence(step(F.col("low")), step(F.least("high", F.lit(float(longest + 1))))))
+    bands = open_ones.where(F.col("low") <= longest).withColumn("band", steps).select("run_id", "qid", "low", "high", "band")
+    spread = members.join(sizes.where("length > 0"), "ord").select("run_id", "ord", F.col("length").alias("rlength"), step(F.col("length")).alias("band"))
+    by_length = _salted_join(spread, bands, ["run_id", "band"]).where("rlength BETWEEN low AND high").select("run_id", "qid", "ord")
+
+    pairs = cut_lineage(by_token.unionByName(by_length).distinct())
+    lowest = pairs.join(floors.select("run_id", "qid", "floor"), ["run_id", "qid"]).groupBy("qid", "ord").agg(F.min("floor").alias("floor"))
+    scored = cut_lineage(_scored(lowest, texts, quote_tokens, index, sizes).where("greatest(set_score, bound) >= floor"))
+    still = scored.where("bound > set_score AND floor < 100").join(texts.select("qid", F.col("tokens").alias("qtokens")), "qid")
+    still = still.join(tokenised.select("ord", F.col("tokens").alias("rtokens")), "ord").withColumn("both", F.array_intersect("rtokens", "qtokens"))
+    common = common_subsequence_length(rest_text(F.col("qtokens"), F.col("both")), rest_text(F.col("rtokens"), F.col("both")))
+    spelled = still.withColumn("common", common).select("qid", "ord", _overlap().rest_score(F.col("common")).alias("rest_score"))
+    scores = scored.join(spelled, ["qid", "ord"], "left")
+    scores = scores.select("qid", "ord", F.greatest("set_score", F.coalesce("rest_score", F.lit(0.0))).alias("score"))
+
+    order = F.struct((-F.col("score")).alias("s"), F.col("ord").alias("o"))
+    best = pairs.join(scores.where("score > 0"), ["qid", "ord"]).groupBy("run_id", "qid").agg(F.min(order).alias("_"))
+    best = best.select("run_id", "qid", (-F.col("_.s")).alias("score"), F.col("_.o").alias("ord"))
+    start = members.groupBy("run_id").agg(F.min("ord").alias("first"))  # reaches a score of 0
+    matched = asked.join(best, ["run_id", "qid"], "left").join(start, "run_id", "left")
+    matched = matched.withColumn("ord", F.coalesce("ord", "first")).join(tokenised.select("ord", *_FACTS), "ord", "left")
+    best_score = F.coalesce("score", F.lit(0.0))
+    return matched.join(texts.select("qid", "text"), "qid").select(
+        "run_id", "text", best_score.alias("best_score"), (best_score >= threshold).alias("passed"), "ord", *_FACTS
     )
 
 
 def validate_quotes(
-    quotes: DataFrame, reviews: DataFrame, threshold: float = QUOTE_THRESHOLD
+    quotes: DataFrame, reviews: DataFrame, members: DataFrame | None = None, threshold: float = QUOTE_THRESHOLD
 ) -> DataFrame:
     """Every quote with ``passed``; a failed one carries its best score, rounded to one decimal."""
-    matches = match_quotes(quotes, reviews, threshold)
+    matches = match_quotes(quotes, reviews, members, threshold)
     checked = quotes.join(matches.select("run_id", "text", "passed", "best_score"), ["run_id", "text"])
     shown = F.when(~F.col("passed"), F.round("best_score", 1))
     return checked.withColumn("best_score", shown)
 
 
 def best_match(
-    quotes: DataFrame, reviews: DataFrame, threshold: float = QUOTE_THRESHOLD
+    quotes: DataFrame, reviews: DataFrame, members: DataFrame | None = None, threshold: float = QUOTE_THRESHOLD
 ) -> DataFrame:
     """Every quote with rating, source and date of its first highest-scoring review."""
-    return quotes.join(match_quotes(quotes, reviews, threshold), ["run_id", "text"])
+    return quotes.join(match_quotes(quotes, reviews, members, threshold), ["run_id", "text"])
 
 
 def drop_failed_quotes(quotes: DataFrame, failed: DataFrame) -> DataFrame:
