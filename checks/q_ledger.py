@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from checks.adapter import Tables
-from checks.q_reports import _CHOSEN_KEYS_SQL, of_chosen
+from checks.q_reports import _CHOSEN_KEYS_SQL, MARKDOWN_SQL, markdown, of_chosen
 from checks.registry import query
 from themeloom.operators import ledger, themes
+from themeloom.session import checkpoint_folder, cut_lineage
 from themeloom.sources import tables
 from themeloom.sources.responses import report_quotes
 
@@ -272,32 +275,26 @@ def _by_count(t: Tables) -> DataFrame:
     return themes.themes_by_count(t.stored_themes).select("run_id", "label", "review_count", "avg_rating")
 
 
+def _kept_at(t: Tables, name: str) -> str:
+    return f"{checkpoint_folder(t.spark)}/{name}-{uuid.uuid4().hex}"
+
+
 @query(
     "write_themes",
-    f"""SELECT run_id, label, review_count FROM v_stored_themes WHERE run_id NOT IN (SELECT run_id FROM v_runs WHERE {_K} % 4 = 1)
-        UNION ALL SELECT run_id, 'fresh', CAST(7 AS BIGINT) FROM v_runs WHERE {_K} % 4 = 1""",
+    """SELECT run_id, week_start, label, description, review_count, avg_rating FROM v_stored_themes JOIN v_runs USING (run_id)
+       WHERE status <> 'completed'
+       UNION ALL SELECT run_id, week_start, 'fresh', '', CAST(7 AS BIGINT), 1.0 FROM v_runs WHERE status = 'completed'""",
 )
 def _write_themes(t: Tables) -> DataFrame:
-    fresh = t.runs.where(_number() % 4 == 1).select(
-        "run_id", F.lit("fresh").alias("label"), F.lit("").alias("description"),
+    """All themes are written, then those of completed runs anew, and the whole table is read back."""
+    path = _kept_at(t, "themes")
+    tables.write_themes(path, t.stored_themes.join(t.runs.select("run_id", "week_start"), "run_id"), buckets=1)
+    fresh = t.runs.where("status = 'completed'").select(
+        "run_id", "week_start", F.lit("fresh").alias("label"), F.lit("").alias("description"),
         F.lit(7).cast("long").alias("review_count"), F.lit(1.0).alias("avg_rating"),
     )
-    return tables.replace_run_rows(t.stored_themes, fresh).select("run_id", "label", "review_count")
-
-
-# Cache of reviews: an older run saved every kept review; the runs save theirs again.
-def _cached(t: Tables) -> DataFrame:
-    return t.kept.select(
-        "review_id", "source", F.lit("old").alias("run_id"), F.col("text").alias("text_clean"),
-        "rating", "review_date", F.lit(1).alias("cluster_id"),
-    ).dropDuplicates(["review_id", "source"])
-
-
-def _saved(t: Tables) -> DataFrame:
-    return t.run_reviews.select(
-        "review_id", "source", "run_id", F.col("text").alias("text_clean"), "rating", "review_date",
-        F.lit(None).cast("int").alias("cluster_id"), F.col("week_start").cast("timestamp").alias("started_at"),
-    )
+    tables.write_themes(path, fresh, buckets=1)  # hundreds of weeks, few rows in each
+    return tables.read_table(t.spark, path)
 
 
 _RID = r"""substr(sha256(lower(regexp_replace(regexp_replace(o.text, '^\s+', ''), '\s+$', '')) || '|' || o.rating || '|' || o.review_date), 1, 16)"""
@@ -305,16 +302,25 @@ _RID = r"""substr(sha256(lower(regexp_replace(regexp_replace(o.text, '^\s+', '')
 
 @query(
     "write_reviews",
-    f"""SELECT review_id, source, run_id, cluster_id FROM (
-          SELECT {_RID} AS review_id, o.source, 'old' AS run_id, 1 AS cluster_id, NULL AS started
-          FROM v_kept k JOIN v_reviews o USING (doc_id) WHERE doc_id % 2 = 0
-          UNION ALL SELECT {_RID}, o.source, k.run_id, NULL, k.week_start
-          FROM v_run_reviews k JOIN v_reviews o USING (doc_id) WHERE doc_id % 3 = 0)
-        QUALIFY row_number() OVER (PARTITION BY review_id, source ORDER BY started DESC NULLS LAST, run_id DESC) = 1""",
+    f"""SELECT review_id, source, w.run_id, w.cluster_id, CASE WHEN w.run_id = 'old' THEN o.text ELSE n.text END AS text_clean, o.rating, o.review_date
+        FROM (SELECT * FROM (SELECT {_RID} AS review_id, o.source, 'old' AS run_id, 1 AS cluster_id, NULL AS started FROM v_reviews o
+              UNION ALL SELECT {_RID}, o.source, k.run_id, k.cluster_id, k.week_start FROM v_run_reviews k JOIN v_reviews o USING (doc_id))
+              QUALIFY row_number() OVER (PARTITION BY review_id, source ORDER BY started DESC NULLS LAST, run_id DESC, cluster_id DESC) = 1) w
+        JOIN (SELECT {_RID} AS review_id, o.source, min(k.text) AS text, any_value(o.rating) AS rating, any_value(o.review_date) AS review_date
+              FROM v_keyed k JOIN v_reviews o USING (doc_id) GROUP BY ALL) o USING (review_id, source)
+        LEFT JOIN (SELECT {_RID} AS review_id, o.source, min(k.text) AS text
+                   FROM v_clustered k JOIN v_reviews o USING (doc_id) GROUP BY ALL) n USING (review_id, source)""",
 )
 def _write_reviews(t: Tables) -> DataFrame:
-    after = tables.upsert_reviews(_cached(t), _saved(t))
-    return after.select("review_id", "source", "run_id", "cluster_id")
+    """An older run saved every landed review; the runs save all they count; the whole cache is read back."""
+    path = _kept_at(t, "reviews")
+    facts = ["review_id", "source", F.col("text").alias("text_clean"), "rating", "review_date"]
+    landed = t.keyed.select(*facts)
+    old = landed.select("review_id", "source", F.lit("old").alias("run_id"), F.lit(None).cast("timestamp").alias("started_at"), F.lit(1).alias("cluster_id"))
+    tables.write_reviews(path, landed, old)
+    saved = t.run_reviews.select("review_id", "source", "run_id", F.col("week_start").alias("started_at"), "cluster_id")
+    tables.write_reviews(path, t.clustered.select(*facts), saved)
+    return tables.read_table(t.spark, path)
 
 
 @query(
@@ -344,14 +350,14 @@ def _load(t: Tables) -> DataFrame:
 
 @query(
     "write_report",
-    "SELECT product, week_start, product || '-' || week_start || '.md' AS report_name FROM v_runs",
+    f"SELECT product, week_start, product || '-' || week_start || '.md' AS report_name, run_id, content FROM ({MARKDOWN_SQL})",
 )
 def _write_report(t: Tables) -> DataFrame:
-    """The name under which each product-week's document is kept; the sink itself is unit-tested."""
-    return t.runs.select(
-        "product", "week_start",
-        tables.report_name(F.col("product"), F.col("week_start")).alias("report_name"),
-    )
+    """Every run's document, written twice over a first draft and read back whole."""
+    path, reports = _kept_at(t, "reports"), cut_lineage(markdown(t))
+    tables.write_report(path, reports.withColumn("content", F.lit("draft")))
+    tables.write_report(path, reports)
+    return tables.read_table(t.spark, path)
 
 
 @query(

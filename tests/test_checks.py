@@ -7,15 +7,15 @@ import checks.q_ledger  # noqa: F401
 SMALL = "/root/testdata/sf0.001"
 
 
-def test_write_reviews_covers_every_kept_review(spark):
+def test_write_reviews_covers_every_landed_review(spark):
     t = Tables(spark, SMALL)
     rows = QUERIES["write_reviews"](spark, SMALL).collect()
-    kept = {(r["review_id"], r["source"]) for r in t.kept.select("review_id", "source").collect()}
+    landed = {(r["review_id"], r["source"]) for r in t.reviews.select("review_id", "source").collect()}
     newest = {}
-    for r in t.run_reviews.select("review_id", "source", "run_id", "week_start").collect():
-        key = (r["review_id"], r["source"])
-        newest[key] = max(newest.get(key, (r["week_start"], r["run_id"])), (r["week_start"], r["run_id"]))
-    assert len(rows) == len(kept) and {(r["review_id"], r["source"]) for r in rows} == kept | set(newest)
+    for r in t.run_reviews.select("review_id", "source", "run_id", "week_start", "cluster_id").collect():
+        key, run = (r["review_id"], r["source"]), (r["week_start"], r["run_id"], r["cluster_id"])
+        newest[key] = max(newest.get(key, run), run)
+    assert len(rows) == len(landed) and {(r["review_id"], r["source"]) for r in rows} == landed
     for r in rows:
         owner = newest.get((r["review_id"], r["source"]))
-        assert (r["run_id"], r["cluster_id"]) == ((owner[1], None) if owner else ("old", 1))
+        assert (r["run_id"], r["cluster_id"]) == ((owner[1], owner[2]) if owner else ("old", 1))

@@ -136,30 +136,48 @@ def test_report_json_numbers_parsable_attempts(spark):
     assert rows[1]["report"]["themes"][0]["cluster_id"] == "1"
 
 
-def test_tables_round_trip(spark, tmp_path):
-    cached = spark.createDataFrame(
-        [("x", "google_play", "run1", "t", 5, date(2026, 1, 1), 3)],
-        "review_id string, source string, run_id string, text_clean string, rating int, review_date date, cluster_id int",
-    )
-    saved = cached.withColumns(
-        {"run_id": F.lit("run2"), "cluster_id": F.lit(None).cast("int"), "started_at": F.lit(datetime(2026, 1, 2))}
-    )
-    tables.write_reviews(cached, saved, str(tmp_path / "reviews"))
-    row = tables.load_reviews_for_run(tables.read_table(spark, str(tmp_path / "reviews")), "run2").first()
-    assert (row["review_id"], row["cluster_id"]) == ("x", None)
+def files(path):
+    return {str(file): file.stat().st_mtime_ns for file in path.rglob("*.parquet")}
 
+
+def test_reviews_change_owners_in_place(spark, tmp_path):
+    path = tmp_path / "reviews"
+    days = [(f"id{i}", "google_play", f"text {i}", 5, date(2026, 1, 5 + i % 20)) for i in range(200)] + [("id1", "app_store", "other", 1, date(2026, 1, 6))]
+    reviews = spark.createDataFrame(days, "review_id string, source string, text_clean string, rating int, review_date date")
+    owned = lambda run, start, cluster: reviews.select(
+        "review_id", "source", F.lit(run).alias("run_id"), F.lit(start).cast("timestamp").alias("started_at"), F.lit(cluster).cast("int").alias("cluster_id")
+    )
+    tables.write_reviews(str(path), reviews, owned("run1", None, 3), buckets=8)
+    before = files(path)
+    some = F.col("review_id").isin("id1", "id21") & (F.col("source") == "google_play")
+    later = owned("run2", datetime(2026, 2, 2), None).unionByName(owned("run3", datetime(2026, 2, 3), 4)).unionByName(owned("run0", None, 9))
+    tables.write_reviews(str(path), reviews, later.where(some), buckets=8)
+    rows = tables.read_table(spark, str(path)).collect()
+    assert len(rows) == 201
+    assert {(r["review_id"], r["source"]) for r in rows if r["run_id"] == "run3" and r["cluster_id"] == 4} == {("id1", "google_play"), ("id21", "google_play")}
+    assert sum(r["run_id"] == "run1" for r in rows) == 199 and all(r["text_clean"] == f"text {r['review_id'][2:]}" for r in rows if r["source"] == "google_play")
+    after = files(path)
+    assert 1 <= len(set(before) - set(after)) <= 2 and all(after[name] == stamp for name, stamp in before.items() if name in after)
+    assert [r["review_id"] for r in tables.load_reviews_for_run(tables.read_table(spark, str(path)), "run3").collect()] in (["id1", "id21"], ["id21", "id1"])
+    tables.write_reviews(str(path), reviews.limit(0), later.limit(0), buckets=8)
+    assert files(path) == after
+
+
+def test_themes_and_reports_give_way_by_run_and_week(spark, tmp_path):
+    week = date(2026, 3, 30)
     themes = spark.createDataFrame(
-        [("run1", "a", "", 2, 1.0), ("run2", "b", "", 1, 2.0)],
-        "run_id string, label string, description string, review_count long, avg_rating double",
+        [("run1", week, "a", "", 2, 1.0), ("run1", week, "c", "", 1, 1.0), ("run2", week, "b", "", 1, 2.0)],
+        "run_id string, week_start date, label string, description string, review_count long, avg_rating double",
     )
     path = str(tmp_path / "themes")
-    tables.write_themes(themes, path)
-    tables.write_themes(themes.where("run_id = 'run1'").withColumn("label", F.lit("new")), path)
+    tables.write_themes(path, themes, buckets=1)  # both runs share a bucket
+    tables.write_themes(path, themes.where("label = 'a'").withColumn("label", F.lit("new")), buckets=1)
     assert {(r["run_id"], r["label"]) for r in tables.read_table(spark, path).collect()} == {("run1", "new"), ("run2", "b")}
 
-    reports = spark.createDataFrame([("app", date(2026, 3, 30), "r", "# text")], "product string, week_start date, run_id string, content string")
-    tables.write_report(reports, str(tmp_path / "reports"))
-    assert tables.read_table(spark, str(tmp_path / "reports")).first()["report_name"] == "app-2026-03-30.md"
+    reports = spark.createDataFrame([("app", week, "r", "# text"), ("b", week, "s", "# b")], "product string, week_start date, run_id string, content string")
+    tables.write_report(str(tmp_path / "reports"), reports, buckets=1)
+    tables.write_report(str(tmp_path / "reports"), reports.where("product = 'b'").withColumn("content", F.lit("new")), buckets=1)
+    assert {(r["report_name"], r["content"]) for r in tables.read_table(spark, str(tmp_path / "reports")).collect()} == {("app-2026-03-30.md", "# text"), ("b-2026-03-30.md", "new")}
 
 
 def test_plan_runs_verdicts(spark):

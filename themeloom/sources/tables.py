@@ -1,35 +1,77 @@
-"""Parquet tables the jobs keep: review cache, themes, vectors and reports."""
+"""Parquet tables the jobs keep: review cache, themes and reports.
+
+A table is dealt out by week and by a hash of its key into buckets. A merge reads only the partitions its
+rows fall into, drops from them what it replaces and rewrites just these; all other files stay as they are.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from themeloom.functions.labels import iso_date
+from themeloom.functions.weeks import week_of
+from themeloom.session import cut_lineage
+
+#: Buckets of a week, fixed when a table is first written.
+BUCKETS = 16
+_PLACE = ["week", "bucket"]
+
 
-_PARTITION_MODE = "dynamic"
+def _stored(spark: SparkSession, path: str, schema) -> DataFrame | None:
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as problem:
+        if problem.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
-def upsert_reviews(cached: DataFrame, saved: DataFrame) -> DataFrame:
-    """Review cache after saving runs: per (review_id, source) the last started run owns the row.
+def merge_rows(path: str, fresh: DataFrame, week: Column, keys: list[str], buckets: int = BUCKETS) -> None:
+    """Put ``fresh`` into the table at ``path``; stored rows of the same week and ``keys`` give way to it.
 
-    ``saved`` carries ``started_at`` of its run; rows already cached lose against any saved row.
+    ``week`` is a Monday and must not be null; rows of one key are expected in one week. The partitions
+    touched are replaced together when all of them are written, so a lost executor costs its tasks only.
+    Not for two writers at a time.
     """
-    columns = cached.columns
-    rows = cached.withColumn("_started", F.lit(None).cast("timestamp")).unionByName(
-        saved.select(*columns, F.col("started_at").cast("timestamp").alias("_started"))
-    )
-    newest = Window.partitionBy("review_id", "source").orderBy(
-        F.col("_started").desc_nulls_last(), F.col("run_id").desc()
-    )
-    return (
-        rows.withColumn("_rn", F.row_number().over(newest)).where("_rn = 1").select(*columns)
+    spark = fresh.sparkSession
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+    placed = cut_lineage(fresh.withColumns({"week": week, "bucket": bucket}))
+    rows, stored = placed, _stored(spark, path, placed.schema)
+    if stored is not None:
+        weeks = [row[0] for row in placed.select("week").distinct().collect()]  # calendar weeks: few
+        touched = stored.where(F.col("week").isin(weeks)).join(placed.select(*_PLACE).distinct(), _PLACE, "left_semi")
+        rows = touched.join(placed.select(*_PLACE, *keys).distinct(), [*_PLACE, *keys], "left_anti").unionByName(placed)
+    (
+        rows.repartition(*_PLACE)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(*_PLACE)
+        .parquet(path)
     )
 
 
-def write_reviews(cached: DataFrame, saved: DataFrame, path: str) -> None:
-    """Write the cache after the upsert to a fresh ``path``; the snapshot being read is not touched."""
-    upsert_reviews(cached, saved).write.mode("errorifexists").parquet(path)
+def review_owners(saved: DataFrame) -> DataFrame:
+    """Per (review_id, source) the run that owns the cached row: the last started, then the greater id.
+
+    ``saved``: ``review_id, source, run_id, started_at, cluster_id``. Only these narrow rows are ranked, one
+    per task and key leaves a task. A run without a start gives way to any other.
+    """
+    last = F.max(F.struct(F.col("started_at").cast("timestamp").alias("started_at"), "run_id", "cluster_id"))
+    return saved.groupBy("review_id", "source").agg(last.alias("_")).select("review_id", "source", "_.run_id", "_.cluster_id")
+
+
+def write_reviews(path: str, reviews: DataFrame, saved: DataFrame, buckets: int = BUCKETS) -> None:
+    """Merge what runs save into the review cache at ``path``; they take over rows of earlier merges.
+
+    ``reviews`` holds each review once, however many runs count it: ``review_id, source, text_clean, rating,
+    review_date``. Reviews that share an id are one row, the least by text.
+    """
+    facts = reviews.groupBy("review_id", "source").agg(F.min(F.struct("text_clean", "rating", "review_date")).alias("_"))
+    owned = review_owners(saved).join(facts.select("review_id", "source", "_.*"), ["review_id", "source"])
+    columns = ["review_id", "source", "run_id", "text_clean", "rating", "review_date", "cluster_id"]
+    merge_rows(path, owned.select(*columns), week_of(F.col("review_date")), ["review_id", "source"], buckets)
 
 
 def load_reviews_for_run(cache: DataFrame, run_id: str | Column) -> DataFrame:
@@ -40,33 +82,17 @@ def load_reviews_for_run(cache: DataFrame, run_id: str | Column) -> DataFrame:
     )
 
 
-def replace_run_rows(stored: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Rows of the runs in ``fresh`` replaced, all others kept."""
-    runs = fresh.select("run_id").distinct()
-    return stored.join(runs, "run_id", "left_anti").unionByName(fresh)
-
-
-def _overwrite_partitions(df: DataFrame, path: str, *keys: str) -> None:
-    (
-        df.repartition(*keys)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", _PARTITION_MODE)
-        .partitionBy(*keys)
-        .parquet(path)
-    )
-
-
-def write_themes(themes: DataFrame, path: str) -> None:
-    """Replace the themes of exactly the runs in ``themes``."""
-    columns = ("run_id", "label", "description", "review_count", "avg_rating")
-    _overwrite_partitions(themes.select(*columns), path, "run_id")
+def write_themes(path: str, themes: DataFrame, buckets: int = BUCKETS) -> None:
+    """Replace the themes of exactly the runs in ``themes``: ``run_id, week_start`` and the themes' columns."""
+    columns = ("run_id", "week_start", "label", "description", "review_count", "avg_rating")
+    merge_rows(path, themes.select(*columns), week_of(F.col("week_start")), ["run_id"], buckets)
 
 
 def report_name(product: Column, week_start: Column) -> Column:
     return F.concat(product, F.lit("-"), iso_date(week_start), F.lit(".md"))
 
 
-def write_report(reports: DataFrame, path: str) -> None:
+def write_report(path: str, reports: DataFrame, buckets: int = BUCKETS) -> None:
     """One document per product-week, replacing an earlier one."""
     named = reports.select(
         "product",
@@ -75,8 +101,9 @@ def write_report(reports: DataFrame, path: str) -> None:
         "run_id",
         "content",
     )
-    _overwrite_partitions(named, path, "product", "week_start")
+    merge_rows(path, named, week_of(F.col("week_start")), ["product", "week_start"], buckets)
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """A kept table as its writer was given it."""
+    return spark.read.parquet(path).drop(*_PLACE)
