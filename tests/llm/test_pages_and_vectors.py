@@ -19,7 +19,7 @@ def archive(spark, tmp_path, rows, **options):
 
 @pytest.mark.parametrize("chunk", [7, 64, 1 << 16])
 def test_archives_read_back(spark, tmp_path, chunk):
-    texts = [None, "", "a", "same " * 40, "same " * 40, "WARC/1.1\r\nWARC-Type: x\r\n\r\n", "é漢😀" * 30, "\r\n\r\n", "x" * 5000, "", "WARC-Segment-Number: 3\r\n"]
+    texts = [None, "", "a", "same " * 40, "same " * 40, "WARC/1.1\r\nWARC-Type: x\r\n\r\n", "é漢😀" * 30, "\r\n\r\n", "x" * 5000, "", "WARC-Segment-Number: 3\r\n", "WARC/1.1", "x" * 56 + "WARC/1.1", "x" * 120 + "WARC/1.1\r", "x" * 56 + "WARC/1.1\r\ny" + "z" * 100, "WARC/1.1" * 40]
     rows = [(i, f"http://a/{i}\r\nX: %", text) for i, text in enumerate(texts)] + [(50, None, "same " * 40)]
     path = archive(spark, tmp_path, rows, chunk=chunk)
     found = {int(row["record_id"]): row for row in warc.verified(warc.read_records(spark, path)).collect()}
@@ -44,6 +44,20 @@ def test_small_payloads_may_all_be_responses(spark, tmp_path):
     assert kinds == {"1": "response", "2": "response", "3": "response", "4": "revisit"}
 
 
+@pytest.mark.parametrize("chunk", [9, 1 << 16])
+def test_rows_that_share_a_key(spark, tmp_path, chunk):
+    long = "long payload " * 5
+    rows = [(1, "u", "a"), (1, "u", "a"), (1, "v", "a"), (1, "w", "b"), (2, None, "a"), (None, "n", long), (None, "n", long), (None, "m", "c"), (7, "x", long), (7, "x", long), (7, "y", None)]
+    path = archive(spark, tmp_path, rows, chunk=chunk)
+    found = sorted((r["record_id"], r["payload_bytes"], r["record_type"], r["refers_to"] or "") for r in warc.verified(warc.read_records(spark, path)).collect())
+    assert found == sorted(
+        [("1", 1, "response", ""), ("1", 1, "revisit", "1"), ("1", 1, "revisit", "1"), ("1", 1, "response", ""), ("2", 1, "revisit", "1"), ("", 1, "response", ""),
+         ("7", len(long), "response", ""), ("7", len(long), "revisit", "7"), ("", len(long), "revisit", "7"), ("", len(long), "revisit", "7"), ("7", 0, "response", "")]
+    )
+    whole = archive(spark, tmp_path / "small", rows, chunk=chunk, least=1000)
+    assert sorted(r["record_id"] for r in warc.verified(warc.read_records(spark, whole)).collect()) == sorted(str(r[0]) if r[0] else "" for r in rows)
+
+
 def test_empty_archive(spark, tmp_path):
     path = archive(spark, tmp_path, [])
     assert warc.verified(warc.read_records(spark, path)).count() == 0
