@@ -1,14 +1,17 @@
 """Quality, line dedup, SimHash, mixing and the pipeline: against plain versions, with odd inputs."""
 
 import itertools
+import random
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from themeloom.llm import components, mixing, near_copies, outliers, simhash, winnow
+from themeloom.llm import common, components, mixing, near_copies, outliers, simhash, winnow
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -151,27 +154,112 @@ def test_lines_deleted(spark):
     docs = odd_docs(spark).withColumn("n_lines", F.lit("clash"))
     rows = {row["doc_id"]: row for row in winnow.dedup_lines(docs).collect()}
     line = prose(1, 60)
-    assert rows[4]["text"] == line and rows[5]["text"] == "" and rows[5]["n_deleted"] == 1
+    assert rows[4]["text"] == line and rows[5]["text"] == "" and rows[5]["n_deleted"] == rows[5]["n_lines"] > 8
     assert rows[6]["text"] == "one\nshort tail"
-    assert rows[7]["text"] == "two\nshort tail"  # the first with this line is document 4, which ends with it
+    assert rows[7]["text"] == "two"  # document 6 holds the run with its tail
     assert rows[None]["text"] == "three"
-    assert rows[1]["text"] is None and rows[1]["n_lines"] == 0 and rows[2]["n_lines"] == 1
+    assert rows[1]["text"] is None and rows[1]["n_lines"] == 0 and rows[3]["n_lines"] == 0 and rows[3]["text"] == " \n "
     assert winnow.dedup_lines(docs).count() == 12
     assert winnow.dedup_lines(docs.limit(0)).count() == 0
 
 
+def deduped(spark, texts, **options):
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r["text"] for r in sorted(winnow.dedup_lines(frame, **options).collect(), key=lambda r: r["doc_id"])]
+
+
 def test_match_is_extended_to_short_lines_around(spark):
     run = ["a b", prose(5, 55), "c d e"]
-    docs = [(1, "\n".join(["first", *run, "end"])), (2, "\n".join(["second", *run, "other"]))]
-    rows = {r["doc_id"]: r for r in winnow.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert rows[1]["n_deleted"] == 0 and rows[2]["text"] == "second\nother"
+    assert deduped(spark, ["\n".join(["first", *run, "end"]), "\n".join(["second", *run, "other"])])[1] == "second\nother"
+
+
+def test_passages_inside_long_lines_go(spark):
+    texts = [f"{prose(30 + i, 40)} {prose(29, 51)} {prose(60 + i, 40)}\nlast" for i in range(6)]
+    passage = prose(29, 51).split()
+    for i, text in enumerate(deduped(spark, texts)):
+        chance = sum(word in set(passage) for word in f"{prose(30 + i, 40)} {prose(60 + i, 40)}".split())
+        left = sum(word in set(passage) for word in text.split()) - chance
+        assert left == 51 if i == 0 else left <= winnow.LOST
+        assert set(prose(30 + i, 40).split()[:-4]) <= set(text.split()) and text.endswith("\nlast")
 
 
 def test_repeats_inside_one_text_keep_the_first(spark):
     line = prose(6, 20)
-    docs = spark.createDataFrame([(1, "\n".join([line] * 9))], "doc_id long, text string")
-    row = winnow.dedup_lines(docs).first()
-    assert row["text"] == "\n".join([line] * 3) and row["n_deleted"] == 6
+    (text,) = deduped(spark, ["\n".join([line] * 9)])
+    assert text == "\n".join([line] * 2)
+
+
+def test_a_long_text_of_equal_lines_is_walked_once(spark):
+    line = "one line of eight words that comes again"
+    begin = time.perf_counter()
+    (text, other) = deduped(spark, ["\n".join([line] * 40_000), "\n".join(["x", *[line] * 40_000, "y"])])
+    assert len(text.split("\n")) <= 6 and other == "x\ny"
+    assert time.perf_counter() - begin < 60  # both texts, Spark's own time included
+
+
+def units(text):
+    raw = np.frombuffer(text.encode(), dtype=np.uint8)
+    _, _, hashes, sizes = winnow.units_of(raw, np.array([len(raw)]))
+    return hashes.tolist(), sizes.tolist()
+
+
+def plain_dedup(texts, words):
+    """Units that go, by document: every window against the first one like it, then grown unit by unit."""
+    tables, first, gone = [units(t) for t in texts], {}, [set() for _ in texts]
+    spans = []
+    for doc, (hashes, sizes) in enumerate(tables):
+        for begin in range(len(hashes)):
+            end = next((e for e in range(begin, len(hashes) + 1) if sum(sizes[begin:e]) >= words), None)
+            if end is not None:
+                spans.append((doc, begin, end, first.setdefault(tuple(hashes[begin:end]), (doc, begin, end))))
+    for doc, begin, end, (held, at, stop) in spans:
+        own, theirs, shift = tables[doc][0], tables[held][0], begin - at
+        if (doc == held and begin < stop) or (doc, begin) == (held, at):
+            continue
+        gone[doc].update(range(begin, end))
+        left, right = begin, end
+        while left > max(0, shift) and own[left - 1] == theirs[left - 1 - shift] and not (doc == held and left - 1 < stop) and begin - left < words:
+            left -= 1
+        while right < min(len(own), len(theirs) + shift) and own[right] == theirs[right - shift] and not (doc == held and right - shift >= begin) and right - end < words:
+            right += 1
+        gone[doc].update(range(left, right))
+    return gone
+
+
+def test_random_line_tables_agree_with_plain_version(spark):
+    rng = random.Random(4)
+    pool = [prose(i, rng.randint(1, 14)) for i in range(100, 112)]
+    texts = ["\n".join(rng.choice(pool) for _ in range(rng.randint(0, 14))) for _ in range(40)] + [texts_of_one(pool, rng) for _ in range(6)]
+    want = plain_dedup(texts, 30 - winnow.LOST)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    _, deleted = winnow.repeated_units(frame, min_words=30)
+    got = {row["key"]: set(row["units"]) for row in deleted.collect()}
+    assert any(want) and got == {doc: gone for doc, gone in enumerate(want) if gone}
+    shown = deduped(spark, texts, min_words=30)
+    for text, short, gone in zip(texts, shown, want):
+        assert len(units(short)[0]) <= len(units(text)[0]) - len(gone) + 2 * len(gone) and sum(units(short)[1]) == sum(s for i, s in enumerate(units(text)[1]) if i not in gone)
+
+
+def texts_of_one(pool, rng):
+    return " ".join(rng.choice(pool) for _ in range(9))
+
+
+def test_minima_are_selected_and_shared():
+    hashes = np.random.default_rng(8).integers(0, 1 << 63, 3000, dtype=np.uint64)
+    begins, ends, places = winnow._selected(hashes, np.full(3000, 4), 36)
+    assert all(hashes[p] == hashes[b:e].min() and b <= p < e for b, e, p in zip(begins, ends, places))
+    assert len(np.unique(places)) < 3000 / 4  # about 2 in (units of a window + 1)
+
+
+def test_long_texts_are_cut_at_line_ends(monkeypatch):
+    text = "\n".join(prose(i, 9) for i in range(60))
+    whole = units(text)
+    monkeypatch.setattr(common, "PIECE", 500)
+    parts = list(common.text_pieces(pa.array([None, text, "a b"]), lambda raw, sizes: [("whole", len(sizes))], lambda found: found))
+    assert parts[0] == [("whole", 1)] and parts[2] == [("whole", 1)]
+    cut = [winnow.units_of(part, np.array([len(part)])) for part in parts[1]]
+    assert len(cut) > 5 and np.concatenate([c[2] for c in cut]).tolist() == whole[0]
+    assert winnow._without(text, np.arange(len(whole[0]))) == ""
 
 
 def test_short_repeats_stay(spark):

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +27,74 @@ def word_list(text: str) -> list[bytes]:
     return text.encode("utf-8").split()
 
 
+#: Bytes of text taken in hand at once by the functions below.
+PIECE = 1 << 20
+_SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+_WEIGHTS = np.random.default_rng(42).integers(1, 1 << 63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def mixed(values: np.ndarray) -> np.ndarray:
+    """64-bit numbers with their bits spread."""
+    values = (values ^ (values >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return values ^ (values >> np.uint64(29))
+
+
+def runs_hash(values: np.ndarray, begins: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A hash of each run of ``values``; runs begin at ``begins``, ``place`` counts from 0 in each."""
+    return mixed(np.add.reduceat(values * _WEIGHTS[place & 4095], begins))
+
+
+def word_hashes(raw: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first byte, end and hash of every word of consecutive texts of ``sizes`` bytes in ``raw``."""
+    space = _SPACE[raw]
+    fresh = np.zeros(len(raw) + 1, dtype=bool)
+    fresh[np.cumsum(sizes) - sizes] = True
+    begin = ~space & (np.r_[True, space[:-1]] | fresh[:-1]) if len(raw) else space
+    at, inside = np.flatnonzero(begin), np.flatnonzero(~space)
+    if not len(at):
+        return at, at, at, np.empty(0, dtype=np.uint64)
+    place = inside - at[np.cumsum(begin)[inside] - 1]
+    first = np.flatnonzero(place == 0)
+    last = np.r_[first[1:], len(inside)] - 1
+    row = np.repeat(np.arange(len(sizes)), sizes)[at]
+    return row, at, inside[last] + 1, runs_hash(raw[inside].astype(np.uint64) + np.uint64(1), first, place)
+
+
+def text_pieces(texts: pa.Array, whole: Callable, cut: Callable) -> Iterator:
+    """``whole(raw, sizes)`` for runs of texts that fit a piece, in order; null texts count as empty.
+
+    A longer text goes to ``cut`` as a list of its pieces, which end after the last line end in them, else
+    after the last white space, else anywhere.
+    """
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    _, ends, data = texts.buffers()
+    ends = np.frombuffer(ends, dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.empty(0, np.uint8)
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(ends, ends[at] + PIECE, side="right")) - 1)
+        part = raw[ends[at] : ends[end]]
+        if len(part) <= PIECE:
+            yield whole(part, np.diff(ends[at : end + 1]))
+        else:
+            yield cut(list(_pieces(part)))
+        at = end
+
+
+def _pieces(raw: np.ndarray) -> Iterator[np.ndarray]:
+    at = 0
+    while at < len(raw):
+        end = min(len(raw), at + PIECE)
+        if end < len(raw):
+            for stops in (raw[at:end] == 10, _SPACE[raw[at:end]]):
+                found = np.flatnonzero(stops)
+                if len(found):
+                    end = at + int(found[-1]) + 1
+                    break
+        yield raw[at:end]
+        at = end
+
+
 def word_count(text: Column) -> Column:
     """Number of words, null counting as empty."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -1,10 +1,12 @@
 """Line dedup by winnowing over line hashes.
 
-A window is the shortest run of whole lines from some line on that holds ``min_words`` words; its
-fingerprint is its least line hash with the hash of the window. Equal runs of at least that many words
-hold equal windows, so they share fingerprints for certain. The first window with a fingerprint is its
-holder; windows after it are matches, which are extended line by line in both directions as long as
-holder and match agree. Lines of matches are deleted; what the holder has stays.
+Lines longer than a few words are cut after the words with the least hash of those around them, so that copies
+inside long lines are cut alike; a line or such a part is a unit. A window is the shortest run of units from some unit on that holds
+enough words. Of each window the least unit hash is selected; positions selected by several windows count
+once. Equal runs hold equal windows and select equal minima, so only positions whose hash was selected more
+than once in the corpus are followed up: their windows are hashed whole, the first window with a hash is its
+holder, and later ones are matches. Matches are extended unit by unit in both directions as long as holder and
+match agree. Units of matches are deleted; what the holder has stays.
 """
 
 from __future__ import annotations
@@ -15,140 +17,240 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from themeloom.llm.common import written
+from themeloom.llm.common import runs_hash, text_pieces, word_hashes, written
 
 SEED = 42
+#: A line is cut after the least word hash of every so many consecutive words; no part is longer than this.
+SPAN = 4
+#: Words of a passage inside longer lines that whole units may lack at its two ends together.
+LOST = 4 * SPAN - 3
+
+
+def units_of(raw: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first byte, hash and number of words of every unit of consecutive texts of ``sizes`` bytes."""
+    row, begin, _, value = word_hashes(raw, sizes)
+    n = len(row)
+    if not n:
+        return row, begin, value, row
+    line = np.cumsum(raw == 10)[begin] + row * (len(raw) + 1)  # rows are parted too
+    full = np.flatnonzero(line[SPAN - 1 :] == line[: n - SPAN + 1]) if n >= SPAN else np.empty(0, dtype=np.int64)
+    least = full
+    for step in range(1, SPAN):
+        least = np.where(value[full + step] <= value[least], full + step, least)
+    cut = np.r_[True, line[1:] != line[:-1], True]
+    cut[least + 1] = True
+    cut = cut[:n]
+    first = np.flatnonzero(cut)
+    return row[first], begin[first], runs_hash(value, first, np.arange(n) - np.repeat(first, np.diff(np.r_[first, n]))), np.diff(np.r_[first, n])
 
 
 def line_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, body, hashes, sizes): per document a hash of its text, and of each line a hash and its number of words.
+    """(key, body, hashes, sizes): per document a hash of its text, and of each unit a hash and its number of words.
 
-    Lines are parted by ``\\n``; white space inside and around a line counts.
+    Lines are parted by ``\\n``; white space parts words and counts for nothing else.
     """
 
+    def whole(raw, sizes):
+        row, _, value, words = units_of(raw, sizes)
+        return np.bincount(row, minlength=len(sizes)), value, words
+
+    def cut(parts):
+        found = [units_of(part, np.array([len(part)])) for part in parts]
+        return np.array([sum(len(f[0]) for f in found)]), np.concatenate([f[2] for f in found]), np.concatenate([f[3] for f in found])
+
     @F.arrow_udf("struct<body: long, hashes: array<long>, sizes: array<int>>")
     def of(texts: pa.Array) -> pa.Array:
-        bodies, hashes, sizes, ends = [], [], [], [0]
-        for value in texts:
-            raw = (value.as_py() or "").encode("utf-8")
-            bodies.append(xxhash.xxh64_intdigest(raw, SEED))
-            lines = raw.split(b"\n")
-            hashes += [xxhash.xxh64_intdigest(line, SEED) for line in lines]
-            sizes += [len(line.split()) for line in lines]
-            ends.append(len(hashes))
-        offsets = pa.array(ends, pa.int32())
-        signed = lambda values: pa.array(np.array(values, dtype=np.uint64).view(np.int64))
-        parts = [signed(bodies), pa.ListArray.from_arrays(offsets, signed(hashes)), pa.ListArray.from_arrays(offsets, pa.array(sizes, pa.int32()))]
+        bodies = [xxhash.xxh64_intdigest((value.as_py() or "").encode("utf-8"), SEED) for value in texts]
+        counts, values, words = (np.concatenate(side) for side in zip(*text_pieces(texts, whole, cut)))
+        offsets = pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32))
+        parts = [
+            pa.array(np.array(bodies, dtype=np.uint64).view(np.int64)),
+            pa.ListArray.from_arrays(offsets, pa.array(values.view(np.int64))),
+            pa.ListArray.from_arrays(offsets, pa.array(words.astype(np.int32))),
+        ]
         return pa.StructArray.from_arrays(parts, ["body", "hashes", "sizes"])
 
     return docs.select(F.col(key).alias("key"), of(F.col(text)).alias("_")).select("key", "_.body", "_.hashes", "_.sizes")
 
 
-def _window_arrays(hashes: np.ndarray, sizes: np.ndarray, min_words: int):
-    """Begin, end (exclusive), least line hash and window hash of every full window."""
+def _selected(hashes: np.ndarray, sizes: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin and end of every window, and the place of its least hash, the last of equal ones."""
     total = np.r_[0, np.cumsum(sizes)]
-    begins = np.flatnonzero(sizes > 0)  # a window begins at a line with words; empty lines would only repeat it
-    ends = np.searchsorted(total, total[begins] + min_words)
-    begins, ends = begins[ends < len(total)], ends[ends < len(total)]
-    least, whole = [], []
-    for b, e in zip(begins, ends):
-        part = hashes[b:e]
-        least.append(part.min())
-        whole.append(xxhash.xxh64_intdigest(part.tobytes(), SEED))
-    return begins, ends, np.array(least, dtype=np.uint64), np.array(whole, dtype=np.uint64)
+    ends = np.searchsorted(total, total[:-1] + words)
+    begins = np.flatnonzero(ends < len(total))
+    ends = ends[begins]
+    place = begins.copy()
+    for step in range(1, int((ends - begins).max(initial=0))):  # a window has at most as many units as words
+        at = np.minimum(begins + step, ends - 1)
+        place = np.where(hashes[at] <= hashes[place], at, place)
+    return begins, ends, place
+
+
+def _numbers(scalar) -> np.ndarray:
+    return scalar.values.to_numpy(zero_copy_only=False) if scalar.is_valid else np.array([], dtype=np.int64)
 
 
-def windows(lines: DataFrame, min_words: int) -> DataFrame:
-    """(key, body, least, whole, start, stop): one row per window of each document of ``lines``."""
+def fingerprints(lines: DataFrame, words: int) -> DataFrame:
+    """(key, body, least, n): the hashes that windows of a document select, and how many places of each."""
 
     def run(batches):
         for batch in batches:
-            columns = {name: [] for name in ("row", "least", "whole", "start", "stop")}
+            rows, least, counts = [], [], []
             for row, (hashes, sizes) in enumerate(zip(batch.column("hashes"), batch.column("sizes"))):
-                found = _window_arrays(_numbers(hashes).view(np.uint64), _numbers(sizes), min_words)
-                columns["row"].append(np.full(len(found[0]), row))
-                for name, values in zip(("start", "stop", "least", "whole"), found):
-                    columns[name].append(values)
-            flat = {name: np.concatenate(values) if values else np.array([], dtype=np.int64) for name, values in columns.items()}
-            at = pa.array(flat["row"].astype(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("key").take(at), batch.column("body").take(at)]
-                + [pa.array(flat[name].astype(np.uint64).view(np.int64)) for name in ("least", "whole")]
-                + [pa.array(flat[name].astype(np.int32)) for name in ("start", "stop")],
-                names=["key", "body", "least", "whole", "start", "stop"],
-            )
+                hashes = _numbers(hashes).view(np.uint64)
+                places = np.unique(_selected(hashes, _numbers(sizes), words)[2])
+                found, n = np.unique(hashes[places], return_counts=True)
+                rows.append(np.full(len(found), row))
+                least.append(found)
+                counts.append(n)
+            at = pa.array(np.concatenate(rows) if rows else [], pa.int64())
+            least = np.concatenate(least).view(np.int64) if rows else []
+            columns = [batch.column("key").take(at), batch.column("body").take(at), pa.array(least, pa.int64()), pa.array(np.concatenate(counts) if rows else [], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "body", "least", "n"])
 
     kind = dict(lines.dtypes)["key"]
-    return lines.select("key", "body", "hashes", "sizes").mapInArrow(run, f"key {kind}, body long, least long, whole long, start int, stop int")
+    return lines.select("key", "body", "hashes", "sizes").mapInArrow(run, f"key {kind}, body long, least long, n long")
 
 
-def _numbers(scalar) -> np.ndarray:
-    return scalar.values.to_numpy(zero_copy_only=False) if scalar.is_valid else np.array([], dtype=np.int64)
+def windows(lines: DataFrame, words: int) -> DataFrame:
+    """(key, body, whole, start, stop): the windows of ``lines`` that select one of the row's hashes ``wanted``."""
+
+    def run(batches):
+        for batch in batches:
+            rows, whole, spans = [], [], []
+            for row, (hashes, sizes, wanted) in enumerate(zip(*(batch.column(name) for name in ("hashes", "sizes", "wanted")))):
+                hashes = _numbers(hashes).view(np.uint64)
+                begins, ends, places = _selected(hashes, _numbers(sizes), words)
+                for at in np.flatnonzero(np.isin(hashes[places], _numbers(wanted).view(np.uint64))):
+                    begin, end = int(begins[at]), int(ends[at])
+                    rows.append(row)
+                    whole.append(xxhash.xxh64_intdigest(hashes[begin:end].tobytes(), SEED))
+                    spans.append((begin, end))
+            at = pa.array(rows, pa.int64())
+            starts, stops = zip(*spans) if spans else ((), ())
+            columns = [batch.column("key").take(at), batch.column("body").take(at), pa.array(np.array(whole, dtype=np.uint64).view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(starts, pa.int32()), pa.array(stops, pa.int32())], names=["key", "body", "whole", "start", "stop"])
+
+    kind = dict(lines.dtypes)["key"]
+    return lines.select("key", "body", "hashes", "sizes", "wanted").mapInArrow(run, f"key {kind}, body long, whole long, start int, stop int")
 
 
 def _place(prefix: str = "") -> Column:
-    """Order of places in the corpus: by key, nulls last, then by text and line."""
+    """Order of places in the corpus: by key, nulls last, then by text and unit."""
     return F.struct(F.col(prefix + "key").isNull().alias("none"), F.col(prefix + "key").alias("key"), F.col(prefix + "body").alias("body"), F.col(prefix + "start").alias("start"), F.col(prefix + "stop").alias("stop"))
 
 
-def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 50) -> tuple[DataFrame, DataFrame]:
-    """The line table, and (key, body, lines): sorted numbers of the lines to delete, for documents that have any."""
+def _of_same(left: DataFrame, right: DataFrame, key: str = "key", body: str = "body") -> DataFrame:
+    """``left`` joined with the columns of ``right`` for the same document."""
+    named = right.withColumnsRenamed({"key": "_k", "body": "_b"})
+    return left.join(named, F.col(key).eqNullSafe(F.col("_k")) & (F.col(body) == F.col("_b"))).drop("_k", "_b")
+
+
+def repeated_units(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 50) -> tuple[DataFrame, DataFrame]:
+    """The line table, and (key, body, units): sorted numbers of the units to delete, for documents that have any."""
+    if min_words <= LOST:
+        raise ValueError(f"min_words must exceed {LOST}")
+    words = min_words - LOST  # a run of min_words words holds whole units of as many at least
     lines = written(line_table(docs, key, text).dropDuplicates(["key", "body"]))
-    found = written(windows(lines, min_words))
-    holders = found.groupBy("least", "whole").agg(F.min(_place()).alias("holder"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    selected = written(fingerprints(lines, words))
+    repeated = selected.groupBy("least").agg(F.sum("n").alias("n")).filter("n > 1").select("least")
+    # at most one entry for each unit of one document
+    wanted = selected.join(repeated, "least", "left_semi").groupBy("key", "body").agg(F.collect_list("least").alias("wanted"))
+    found = written(windows(_of_same(lines, wanted), words))
+    holders = found.groupBy("whole").agg(F.min(_place()).alias("holder"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     same = F.col("key").eqNullSafe(F.col("holder.key")) & (F.col("body") == F.col("holder.body"))
     # inside one document a window repeats another only if they don't overlap
-    later = ~same | (F.col("start") >= F.col("holder.stop"))
-    matches = found.join(holders, ["least", "whole"]).filter(later)
+    matches = found.join(holders, "whole").filter(~same | (F.col("start") >= F.col("holder.stop")))
     pairs = matches.groupBy("key", "body", F.col("holder.key").alias("hkey"), F.col("holder.body").alias("hbody")).agg(
         F.collect_list(F.struct("start", "stop", F.col("holder.start").alias("at"))).alias("spans")
-    )  # at most one entry for each line of one document
-    mine = lines.select("key", "body", F.col("hashes").alias("own"))
-    held = lines.select(F.col("key").alias("hkey"), F.col("body").alias("hbody"), F.col("hashes").alias("theirs"))
-    pairs = pairs.join(mine, pairs.key.eqNullSafe(mine.key) & (pairs.body == mine.body)).drop(mine.key).drop(mine.body)
-    pairs = pairs.join(held, pairs.hkey.eqNullSafe(held.hkey) & (pairs.hbody == held.hbody)).drop(held.hkey).drop(held.hbody)
+    )  # at most one entry for each unit of one document
+    pairs = _of_same(pairs, lines.select("key", "body", F.col("hashes").alias("own")))
+    pairs = _of_same(pairs, lines.select("key", "body", F.col("hashes").alias("theirs")), "hkey", "hbody")
     pairs = pairs.withColumn("itself", F.col("key").eqNullSafe(F.col("hkey")) & (F.col("body") == F.col("hbody")))
 
     @F.arrow_udf("array<int>")
     def extended(own: pa.Array, theirs: pa.Array, spans: pa.Array, itself: pa.Array) -> pa.Array:
-        return pa.array([_extend(_numbers(a), _numbers(b), s.as_py(), i.as_py()) for a, b, s, i in zip(own, theirs, spans, itself)], pa.list_(pa.int32()))
+        return pa.array([_extend(_numbers(a), _numbers(b), _spans(s), i.as_py(), words) for a, b, s, i in zip(own, theirs, spans, itself)], pa.list_(pa.int32()))
+
+    deleted = pairs.select("key", "body", F.explode(extended("own", "theirs", "spans", "itself")).alias("unit"))
+    return lines, deleted.groupBy("key", "body").agg(F.sort_array(F.collect_set("unit")).alias("units"))
 
-    deleted = pairs.select("key", "body", F.explode(extended("own", "theirs", "spans", "itself")).alias("line"))
-    return lines, deleted.groupBy("key", "body").agg(F.sort_array(F.collect_set("line")).alias("lines"))
 
+def _spans(scalar) -> np.ndarray:
+    fields = scalar.values
+    return np.stack([fields.field(name).to_numpy(zero_copy_only=False) for name in ("start", "stop", "at")], axis=1)
 
-def _extend(own: np.ndarray, theirs: np.ndarray, spans: list[dict], itself: bool) -> list[int]:
-    """Lines of ``own`` in matches with ``theirs``, each match grown both ways while the lines agree.
 
-    A match inside one document grows no further than the holder's own lines.
+def _extend(own: np.ndarray, theirs: np.ndarray, spans: np.ndarray, itself: bool, most: int) -> np.ndarray:
+    """Units of ``own`` in matches with ``theirs``: the spans, and beyond them as long as units agree.
+
+    Only spans at the edge of what all of them cover can add units, and fewer than ``most``: with more the
+    run would hold another window. A match inside one document grows no further than the holder's own units.
     """
-    gone: set[int] = set()
-    for span in spans:
-        shift = span["start"] - span["at"]
-        begin, end = span["start"], span["stop"]
-        while begin > 0 and begin - shift > 0 and own[begin - 1] == theirs[begin - 1 - shift] and not (itself and begin - 1 < span["stop"] - shift):
+    depth = np.zeros(len(own) + 1, dtype=np.int64)
+    np.add.at(depth, spans[:, 0], 1)
+    np.add.at(depth, spans[:, 1], -1)
+    gone = np.cumsum(depth)[:-1] > 0
+    edge = np.r_[False, gone, False]
+    for start, stop, at in spans[~edge[spans[:, 0]] | ~edge[spans[:, 1] + 1]].tolist():
+        shift = start - at
+        begin, end = start, stop
+        while begin > max(0, shift, start - most) and own[begin - 1] == theirs[begin - 1 - shift] and not (itself and begin - 1 < stop - shift):
             begin -= 1
-        while end < len(own) and end - shift < len(theirs) and own[end] == theirs[end - shift] and not (itself and end - shift >= span["start"]):
+        while end < min(len(own), len(theirs) + shift, stop + most) and own[end] == theirs[end - shift] and not (itself and end - shift >= start):
             end += 1
-        gone.update(range(begin, end))
-    return sorted(gone)
+        gone[begin:end] = True
+    return np.flatnonzero(gone)
+
+
+def _without(text: str, units: np.ndarray) -> str:
+    """``text`` without the given units. A line that loses all its units goes with its end."""
+    raw = text.encode("utf-8")
+    begins, at = [], 0
+    for found in text_pieces(pa.array([text]), lambda part, sizes: [(part, units_of(part, sizes)[1])], lambda parts: [(part, units_of(part, np.array([len(part)]))[1]) for part in parts]):
+        for part, begin in found:
+            begins.append(begin + at)
+            at += len(part)
+    begins = np.concatenate(begins)
+    gone = np.zeros(len(begins), dtype=bool)
+    gone[units] = True
+    stops = np.r_[np.flatnonzero(np.frombuffer(raw, dtype=np.uint8) == 10), len(raw)]
+    first = np.searchsorted(begins, np.r_[0, stops[:-1] + 1])
+    kept, start = [], 0
+    for unit, following, stop in zip(first.tolist(), np.r_[first[1:], len(begins)].tolist(), stops.tolist()):
+        if not gone[unit:following].any():
+            kept.append(raw[start:stop])
+        elif not gone[unit:following].all():
+            edges = [start, *begins[unit + 1 : following].tolist(), stop]
+            kept.append(b"".join(raw[a:b] for a, b, out in zip(edges, edges[1:], gone[unit:following]) if not out))
+        start = stop + 1
+    return b"\n".join(kept).decode("utf-8")
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 50) -> DataFrame:
-    """``docs`` with repeated runs of lines taken out of ``text``, and n_lines, n_deleted.
+    """``docs`` with repeated runs taken out of ``text``, and n_lines, n_deleted.
 
-    A run counts if it holds ``min_words`` words or more. The copy that stays is the first by key (null
-    last), then by a hash of the text, then by line. Rows equal in key and text are one document read
-    more than once: each gets the same result. Null texts stay null and count no lines, an empty text is
-    one empty line. Columns named body, lines, n_lines or n_deleted are replaced.
+    Every repeated run of ``min_words`` words is found, as far as whole units go: a passage that begins or
+    ends inside lines keeps up to ``LOST`` words there. Runs whose whole units hold less than ``min_words`` -
+    ``LOST`` words stay. The copy that stays is the first by key (null last), then by a hash of the
+    text, then by unit. Rows equal in key and text are one document read more than once: each gets the same
+    result. ``n_lines`` counts units, so a long line counts several times; blank lines have none and stay.
+    Null texts stay null, texts without words have no units. A line beyond ``PIECE`` bytes is cut once more
+    where the piece ends. Columns named n_lines or n_deleted are replaced; names that begin with an underscore
+    are reserved.
     """
-    _, deleted = repeated_lines(docs, key, text, min_words)
-    deleted = deleted.select(F.col("key").alias("_key"), F.col("body").alias("_body"), F.col("lines").alias("_gone"))
+    lines, deleted = repeated_units(docs, key, text, min_words)
+    counts = lines.select("key", "body", F.size("hashes").alias("_n"))
+    facts = counts.join(deleted.withColumnsRenamed({"key": "_k", "body": "_b"}), F.col("key").eqNullSafe(F.col("_k")) & (F.col("body") == F.col("_b")), "left")
+    facts = facts.select(F.col("key").alias("_key"), F.col("body").alias("_body"), "_n", F.col("units").alias("_gone"))
     body = F.xxhash64(F.coalesce(F.col(text), F.lit("")))  # as in line_table: XXH64 of the UTF-8 bytes, seed 42
-    joined = docs.withColumn("_own", body).join(deleted, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_own") == F.col("_body")), "left")
-    parts = F.split(F.col(text), "\n", -1)
-    kept = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains(F.col("_gone"), i)), "\n")
-    joined = joined.withColumn("n_lines", F.coalesce(F.size(parts), F.lit(0)).cast("long")).withColumn("n_deleted", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
-    joined = joined.withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(F.col("n_lines")).cast("long"))
-    joined = joined.withColumn("n_deleted", F.when(F.col("_gone").isNull(), 0).otherwise(F.col("n_deleted")).cast("long"))
-    return joined.withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(kept)).drop("_own", "_key", "_body", "_gone")
+    joined = docs.withColumn("_own", body).join(facts, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_own") == F.col("_body")))
+
+    @F.arrow_udf("string")
+    def cut(texts: pa.Array, units: pa.Array) -> pa.Array:
+        return pa.array([_without(t.as_py(), _numbers(u)) if u.is_valid else None for t, u in zip(texts, units)], pa.string())
+
+    touched = F.col("_gone").isNotNull()
+    shorter = cut(F.when(touched, F.col(text)), F.col("_gone"))  # Python sees the texts that change
+    joined = joined.withColumns({"n_lines": F.col("_n").cast("long"), "n_deleted": F.coalesce(F.array_size("_gone"), F.lit(0)).cast("long")})
+    return joined.withColumn("_cut", shorter).withColumn(text, F.when(touched, F.col("_cut")).otherwise(F.col(text))).drop("_own", "_key", "_body", "_gone", "_n", "_cut")
