@@ -8,11 +8,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from themeloom.llm import mixing, near_copies, outliers, winnow
+from themeloom.llm import mixing, outliers, simhash, winnow
 from themeloom.llm.common import word_count, written
 from themeloom.llm.queries import MIX_MOST, MIX_SHARE, MIX_WEIGHTS, bpe_digests
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+SIMHASH_WORDS, SIMHASH_BITS = 3, 3
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +32,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that pairs of similarity 0.8 or more connect: Jaccard over shingles of five words."""
-    return near_copies.one_of_each(docs.select(*COLUMNS))
+    """One document of each component of fingerprints over three-word shingles that differ in at most three bits."""
+    return simhash.one_of_each(docs.select(*COLUMNS), distance=SIMHASH_BITS, shingle=SIMHASH_WORDS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
