@@ -1,12 +1,16 @@
 """Line dedup by winnowing over line hashes.
 
 Lines longer than a few words are cut after the words with the least hash of those around them, so that copies
-inside long lines are cut alike; a line or such a part is a unit. A window is the shortest run of units from some unit on that holds
-enough words. Of each window the least unit hash is selected; positions selected by several windows count
-once. Equal runs hold equal windows and select equal minima, so only positions whose hash was selected more
-than once in the corpus are followed up: their windows are hashed whole, the first window with a hash is its
-holder, and later ones are matches. Matches are extended unit by unit in both directions as long as holder and
-match agree. Units of matches are deleted; what the holder has stays.
+inside long lines are cut alike; a line or such a part is a unit. A window is the shortest run of units from
+some unit on that holds enough words. Of each window the least hash of two units in a row is selected;
+positions selected by several windows count once. Equal runs hold equal windows and select equal minima. The
+first position with a hash is its holder, and the others are joined with it: a match is the run around both
+in which their units agree, extended in both directions. Units of matches that hold enough words are deleted;
+what the holder has stays.
+
+A holder may share no more than the minimum with a later position that repeats a third one. Positions left
+with too short a run are therefore followed up, with all positions of the same hash: the windows that selected
+them are hashed whole, and the first window with a hash is the holder.
 """
 
 from __future__ import annotations
@@ -14,16 +18,16 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from themeloom.llm.common import runs_hash, text_pieces, word_hashes, written
+from themeloom.llm.common import mixed, runs_hash, text_pieces, word_hashes, written
 
 SEED = 42
 #: A line is cut after the least word hash of every so many consecutive words; no part is longer than this.
-SPAN = 4
-#: Words of a passage inside longer lines that whole units may lack at its two ends together.
-LOST = 4 * SPAN - 3
+SPAN = 8
+#: Words of a passage inside longer lines that whole units lack at its two ends together: as a rule, and at most.
+LOST, MOST_LOST = SPAN + 5, 4 * SPAN - 3
 
 
 def units_of(raw: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -58,86 +62,80 @@ def line_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         found = [units_of(part, np.array([len(part)])) for part in parts]
         return np.array([sum(len(f[0]) for f in found)]), np.concatenate([f[2] for f in found]), np.concatenate([f[3] for f in found])
 
-    @F.arrow_udf("struct<body: long, hashes: array<long>, sizes: array<int>>")
+    @F.arrow_udf("struct<body: long, hashes: array<int>, sizes: array<tinyint>>")
     def of(texts: pa.Array) -> pa.Array:
         bodies = [xxhash.xxh64_intdigest((value.as_py() or "").encode("utf-8"), SEED) for value in texts]
         counts, values, words = (np.concatenate(side) for side in zip(*text_pieces(texts, whole, cut)))
         offsets = pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32))
         parts = [
             pa.array(np.array(bodies, dtype=np.uint64).view(np.int64)),
-            pa.ListArray.from_arrays(offsets, pa.array(values.view(np.int64))),
-            pa.ListArray.from_arrays(offsets, pa.array(words.astype(np.int32))),
+            pa.ListArray.from_arrays(offsets, pa.array((values >> np.uint64(32)).astype(np.uint32).view(np.int32))),
+            pa.ListArray.from_arrays(offsets, pa.array(words.astype(np.int8))),
         ]
         return pa.StructArray.from_arrays(parts, ["body", "hashes", "sizes"])
 
     return docs.select(F.col(key).alias("key"), of(F.col(text)).alias("_")).select("key", "_.body", "_.hashes", "_.sizes")
 
 
-def _selected(hashes: np.ndarray, sizes: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Begin and end of every window, and the place of its least hash, the last of equal ones."""
-    total = np.r_[0, np.cumsum(sizes)]
+def _numbers(scalar) -> np.ndarray:
+    return scalar.values.to_numpy(zero_copy_only=False) if scalar.is_valid else np.array([], dtype=np.int32)
+
+
+def _selected(hashes: np.ndarray, sizes: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Begin and end of every window, the place of its least hash of two units, the last of equal ones, and these hashes."""
+    wide = hashes.view(np.uint32).astype(np.uint64)
+    pairs = mixed(mixed(wide[:-1] + np.uint64(1)) * np.uint64(3) + wide[1:])
+    total = np.r_[0, np.cumsum(sizes, dtype=np.int64)]
     ends = np.searchsorted(total, total[:-1] + words)
     begins = np.flatnonzero(ends < len(total))
-    ends = ends[begins]
+    ends = ends[begins]  # a window has two units at least, as it holds more words than one can
     place = begins.copy()
-    for step in range(1, int((ends - begins).max(initial=0))):  # a window has at most as many units as words
-        at = np.minimum(begins + step, ends - 1)
-        place = np.where(hashes[at] <= hashes[place], at, place)
-    return begins, ends, place
-
-
-def _numbers(scalar) -> np.ndarray:
-    return scalar.values.to_numpy(zero_copy_only=False) if scalar.is_valid else np.array([], dtype=np.int64)
+    for step in range(1, int((ends - begins).max(initial=0)) - 1):  # a window has at most as many units as words
+        at = np.minimum(begins + step, ends - 2)
+        place = np.where(pairs[at] <= pairs[place], at, place)
+    return begins, ends, place, pairs
 
 
-def fingerprints(lines: DataFrame, words: int) -> DataFrame:
-    """(key, body, least, n): the hashes that windows of a document select, and how many places of each."""
+def positions(lines: DataFrame, words: int) -> DataFrame:
+    """(key, body, least, at): the positions that windows of each document select, and their hashes."""
 
     def run(batches):
         for batch in batches:
-            rows, least, counts = [], [], []
-            for row, (hashes, sizes) in enumerate(zip(batch.column("hashes"), batch.column("sizes"))):
-                hashes = _numbers(hashes).view(np.uint64)
-                places = np.unique(_selected(hashes, _numbers(sizes), words)[2])
-                found, n = np.unique(hashes[places], return_counts=True)
-                rows.append(np.full(len(found), row))
-                least.append(found)
-                counts.append(n)
-            at = pa.array(np.concatenate(rows) if rows else [], pa.int64())
-            least = np.concatenate(least).view(np.int64) if rows else []
-            columns = [batch.column("key").take(at), batch.column("body").take(at), pa.array(least, pa.int64()), pa.array(np.concatenate(counts) if rows else [], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "body", "least", "n"])
+            found = []
+            for hashes, sizes in zip(batch.column("hashes"), batch.column("sizes")):
+                _, _, place, pairs = _selected(_numbers(hashes), _numbers(sizes), words)
+                place = np.unique(place)
+                found.append((place, pairs[place]))
+            row = pa.array(np.repeat(np.arange(len(found)), [len(place) for place, _ in found]))
+            empty = np.empty(0, dtype=np.uint64)
+            least = np.concatenate([empty, *(pairs for _, pairs in found)]).view(np.int64)
+            at = np.concatenate([empty.view(np.int64), *(place for place, _ in found)]).astype(np.int32)
+            columns = [batch.column("key").take(row), batch.column("body").take(row), pa.array(least), pa.array(at)]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "body", "least", "at"])
 
     kind = dict(lines.dtypes)["key"]
-    return lines.select("key", "body", "hashes", "sizes").mapInArrow(run, f"key {kind}, body long, least long, n long")
+    return lines.select("key", "body", "hashes", "sizes").mapInArrow(run, f"key {kind}, body long, least long, at int")
 
 
 def windows(lines: DataFrame, words: int) -> DataFrame:
-    """(key, body, whole, start, stop): the windows of ``lines`` that select one of the row's hashes ``wanted``."""
+    """(key, body, least, at): the windows of ``lines`` that selected one of the positions ``wanted``, by whole hash and begin."""
 
     def run(batches):
         for batch in batches:
-            rows, whole, spans = [], [], []
+            rows, whole, starts = [], [], []
             for row, (hashes, sizes, wanted) in enumerate(zip(*(batch.column(name) for name in ("hashes", "sizes", "wanted")))):
-                hashes = _numbers(hashes).view(np.uint64)
-                begins, ends, places = _selected(hashes, _numbers(sizes), words)
-                for at in np.flatnonzero(np.isin(hashes[places], _numbers(wanted).view(np.uint64))):
-                    begin, end = int(begins[at]), int(ends[at])
+                hashes = _numbers(hashes)
+                begins, ends, place, _ = _selected(hashes, _numbers(sizes), words)
+                for number in np.flatnonzero(np.isin(place, _numbers(wanted))):
                     rows.append(row)
-                    whole.append(xxhash.xxh64_intdigest(hashes[begin:end].tobytes(), SEED))
-                    spans.append((begin, end))
-            at = pa.array(rows, pa.int64())
-            starts, stops = zip(*spans) if spans else ((), ())
-            columns = [batch.column("key").take(at), batch.column("body").take(at), pa.array(np.array(whole, dtype=np.uint64).view(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(starts, pa.int32()), pa.array(stops, pa.int32())], names=["key", "body", "whole", "start", "stop"])
+                    whole.append(xxhash.xxh64_intdigest(hashes[begins[number] : ends[number]].tobytes(), SEED))
+                    starts.append(int(begins[number]))
+            row = pa.array(rows, pa.int64())
+            columns = [batch.column("key").take(row), batch.column("body").take(row), pa.array(np.array(whole, dtype=np.uint64).view(np.int64)), pa.array(starts, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "body", "least", "at"])
 
     kind = dict(lines.dtypes)["key"]
-    return lines.select("key", "body", "hashes", "sizes", "wanted").mapInArrow(run, f"key {kind}, body long, whole long, start int, stop int")
-
-
-def _place(prefix: str = "") -> Column:
-    """Order of places in the corpus: by key, nulls last, then by text and unit."""
-    return F.struct(F.col(prefix + "key").isNull().alias("none"), F.col(prefix + "key").alias("key"), F.col(prefix + "body").alias("body"), F.col(prefix + "start").alias("start"), F.col(prefix + "stop").alias("stop"))
+    return lines.select("key", "body", "hashes", "sizes", "wanted").mapInArrow(run, f"key {kind}, body long, least long, at int")
 
 
 def _of_same(left: DataFrame, right: DataFrame, key: str = "key", body: str = "body") -> DataFrame:
@@ -146,61 +144,95 @@ def _of_same(left: DataFrame, right: DataFrame, key: str = "key", body: str = "b
     return left.join(named, F.col(key).eqNullSafe(F.col("_k")) & (F.col(body) == F.col("_b"))).drop("_k", "_b")
 
 
-def repeated_units(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 50) -> tuple[DataFrame, DataFrame]:
-    """The line table, and (key, body, units): sorted numbers of the units to delete, for documents that have any."""
-    if min_words <= LOST:
-        raise ValueError(f"min_words must exceed {LOST}")
-    words = min_words - LOST  # a run of min_words words holds whole units of as many at least
-    lines = written(line_table(docs, key, text).dropDuplicates(["key", "body"]))
-    selected = written(fingerprints(lines, words))
-    repeated = selected.groupBy("least").agg(F.sum("n").alias("n")).filter("n > 1").select("least")
-    # at most one entry for each unit of one document
-    wanted = selected.join(repeated, "least", "left_semi").groupBy("key", "body").agg(F.collect_list("least").alias("wanted"))
-    found = written(windows(_of_same(lines, wanted), words))
-    holders = found.groupBy("whole").agg(F.min(_place()).alias("holder"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+def _matches(lines: DataFrame, found: DataFrame, words: int) -> DataFrame:
+    """(key, body, units, failed): units of matches of ``found`` (key, body, least, at) with their holders, and the
+    hashes of positions that are in no match of enough words."""
+    place = F.struct(F.col("key").isNull().alias("none"), "key", "body", "at")
+    holders = found.groupBy("least").agg(F.min(place).alias("holder"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     same = F.col("key").eqNullSafe(F.col("holder.key")) & (F.col("body") == F.col("holder.body"))
-    # inside one document a window repeats another only if they don't overlap
-    matches = found.join(holders, "whole").filter(~same | (F.col("start") >= F.col("holder.stop")))
-    pairs = matches.groupBy("key", "body", F.col("holder.key").alias("hkey"), F.col("holder.body").alias("hbody")).agg(
-        F.collect_list(F.struct("start", "stop", F.col("holder.start").alias("at"))).alias("spans")
-    )  # at most one entry for each unit of one document
-    pairs = _of_same(pairs, lines.select("key", "body", F.col("hashes").alias("own")))
+    met = found.join(holders, "least").filter(~(same & (F.col("at") == F.col("holder.at"))))
+    pairs = met.groupBy("key", "body", F.col("holder.key").alias("hkey"), F.col("holder.body").alias("hbody")).agg(
+        F.collect_set(F.struct("at", F.col("holder.at").alias("held"), "least")).alias("spans")
+    )  # at most one entry for each position of one document
+    pairs = _of_same(pairs, lines.select("key", "body", F.col("hashes").alias("own"), "sizes"))
     pairs = _of_same(pairs, lines.select("key", "body", F.col("hashes").alias("theirs")), "hkey", "hbody")
     pairs = pairs.withColumn("itself", F.col("key").eqNullSafe(F.col("hkey")) & (F.col("body") == F.col("hbody")))
 
-    @F.arrow_udf("array<int>")
-    def extended(own: pa.Array, theirs: pa.Array, spans: pa.Array, itself: pa.Array) -> pa.Array:
-        return pa.array([_extend(_numbers(a), _numbers(b), _spans(s), i.as_py(), words) for a, b, s, i in zip(own, theirs, spans, itself)], pa.list_(pa.int32()))
-
-    deleted = pairs.select("key", "body", F.explode(extended("own", "theirs", "spans", "itself")).alias("unit"))
-    return lines, deleted.groupBy("key", "body").agg(F.sort_array(F.collect_set("unit")).alias("units"))
-
-
-def _spans(scalar) -> np.ndarray:
-    fields = scalar.values
-    return np.stack([fields.field(name).to_numpy(zero_copy_only=False) for name in ("start", "stop", "at")], axis=1)
-
+    @F.arrow_udf("struct<units: array<int>, failed: array<long>>")
+    def extended(own: pa.Array, sizes: pa.Array, theirs: pa.Array, spans: pa.Array, itself: pa.Array) -> pa.Array:
+        units, failed = [], []
+        for a, n, b, span, alone in zip(own, sizes, theirs, spans, itself):
+            at, held, least = (span.values.field(name).to_numpy(zero_copy_only=False) for name in ("at", "held", "least"))
+            gone, short = _extend(_numbers(a), _numbers(n), _numbers(b), at, held, alone.as_py(), words)
+            units.append(gone)
+            failed.append(np.unique(least[short]))
+        return pa.StructArray.from_arrays([pa.array(units, pa.list_(pa.int32())), pa.array(failed, pa.list_(pa.int64()))], ["units", "failed"])
+
+    return pairs.select("key", "body", extended("own", "sizes", "theirs", "spans", "itself").alias("_")).select("key", "body", "_.units", "_.failed")
+
+
+def _agree(own: np.ndarray, theirs: np.ndarray) -> int:
+    """How many units agree from the beginning on; looks at little more than those."""
+    n, at, step = min(len(own), len(theirs)), 0, 16
+    while at < n:
+        end = min(n, at + step)
+        differ = own[at:end] != theirs[at:end]
+        if differ.any():
+            return at + int(differ.argmax())
+        at, step = end, step * 2
+    return n
+
+
+def _extend(
+    own: np.ndarray, sizes: np.ndarray, theirs: np.ndarray, at: np.ndarray, held: np.ndarray, itself: bool, words: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Units of ``own`` in matches with ``theirs``, and which positions ``at`` are in none of ``words`` words.
+
+    Positions with one shift are in one run as long as units agree, which is walked once. A position inside
+    units that are deleted already is passed over unless its run goes on at their edge. Inside one document
+    a match and what it repeats don't overlap.
+    """
+    total = np.r_[0, np.cumsum(sizes, dtype=np.int64)]
+    gone, failed = np.zeros(len(own), dtype=bool), np.zeros(len(at), dtype=bool)
+    walked: dict[int, int] = {}  # end of the last run by shift
+    begin, end = 0, 0  # the stretch of deleted units reached last
+    for number in np.lexsort((held, at)).tolist():
+        here, shift = int(at[number]), int(at[number]) - int(held[number])
+        if here < walked.get(shift, 0):
+            failed[number] = not gone[here]
+            continue
+        if begin <= here < end:
+            after = end < min(len(own), len(theirs) + shift) and own[end] == theirs[end - shift]
+            before = begin > max(0, shift) and own[begin - 1] == theirs[begin - 1 - shift]
+            if not after and not before:
+                continue
+        left = here - _agree(own[:here][::-1], theirs[: here - shift][::-1])
+        right = here + _agree(own[here:], theirs[here - shift :])
+        if itself:
+            right = min(right, max(left + shift, here))
+        walked[shift] = right
+        if total[right] - total[left] >= words:
+            gone[left:right] = True
+            begin, end = (min(begin, left), max(end, right)) if left <= end and right >= begin and end else (left, right)
+        else:
+            failed[number] = not gone[here]
+    return np.flatnonzero(gone), failed
 
-def _extend(own: np.ndarray, theirs: np.ndarray, spans: np.ndarray, itself: bool, most: int) -> np.ndarray:
-    """Units of ``own`` in matches with ``theirs``: the spans, and beyond them as long as units agree.
 
-    Only spans at the edge of what all of them cover can add units, and fewer than ``most``: with more the
-    run would hold another window. A match inside one document grows no further than the holder's own units.
-    """
-    depth = np.zeros(len(own) + 1, dtype=np.int64)
-    np.add.at(depth, spans[:, 0], 1)
-    np.add.at(depth, spans[:, 1], -1)
-    gone = np.cumsum(depth)[:-1] > 0
-    edge = np.r_[False, gone, False]
-    for start, stop, at in spans[~edge[spans[:, 0]] | ~edge[spans[:, 1] + 1]].tolist():
-        shift = start - at
-        begin, end = start, stop
-        while begin > max(0, shift, start - most) and own[begin - 1] == theirs[begin - 1 - shift] and not (itself and begin - 1 < stop - shift):
-            begin -= 1
-        while end < min(len(own), len(theirs) + shift, stop + most) and own[end] == theirs[end - shift] and not (itself and end - shift >= start):
-            end += 1
-        gone[begin:end] = True
-    return np.flatnonzero(gone)
+def repeated_units(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 50) -> tuple[DataFrame, DataFrame]:
+    """The line table, and (key, body, units): sorted numbers of the units to delete, for documents that have any."""
+    words = min_words - LOST
+    if words <= 2 * SPAN:
+        raise ValueError(f"min_words must exceed {LOST + 2 * SPAN}")
+    lines = written(line_table(docs, key, text).dropDuplicates(["key", "body"]))
+    first = written(_matches(lines, positions(lines, words), words))
+    failed = written(first.select(F.explode("failed").alias("least")).distinct())
+    # positions of the same hash, whatever became of them: any may be what a failed one repeats
+    again = positions(lines, words).join(failed, "least", "left_semi").groupBy("key", "body").agg(F.collect_list("at").alias("wanted"))
+    followed = written(windows(_of_same(lines, written(again)), words))
+    second = _matches(lines, followed, words)
+    units = first.select("key", "body", "units").unionByName(second.select("key", "body", "units")).filter("size(units) > 0")
+    return lines, units.groupBy("key", "body").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("units")))).alias("units"))
 
 
 def _without(text: str, units: np.ndarray) -> str:
@@ -230,9 +262,9 @@ def _without(text: str, units: np.ndarray) -> str:
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 50) -> DataFrame:
     """``docs`` with repeated runs taken out of ``text``, and n_lines, n_deleted.
 
-    Every repeated run of ``min_words`` words is found, as far as whole units go: a passage that begins or
-    ends inside lines keeps up to ``LOST`` words there. Runs whose whole units hold less than ``min_words`` -
-    ``LOST`` words stay. The copy that stays is the first by key (null last), then by a hash of the
+    Runs are found by whole units: every repeated run whose units hold ``min_words`` - ``LOST`` words goes,
+    shorter ones stay. A passage of ``min_words`` words that begins and ends inside lines has as many words in
+    whole units as a rule, one longer by ``MOST_LOST`` - ``LOST`` words for certain. The copy that stays is the first by key (null last), then by a hash of the
     text, then by unit. Rows equal in key and text are one document read more than once: each gets the same
     result. ``n_lines`` counts units, so a long line counts several times; blank lines have none and stay.
     Null texts stay null, texts without words have no units. A line beyond ``PIECE`` bytes is cut once more
