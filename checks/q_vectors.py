@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from checks.adapter import Tables
+from checks.adapter import Tables, with_run_id
 from checks.registry import query
 from themeloom.operators import clustering, vectors
 from themeloom.session import cut_lineage
@@ -60,6 +60,25 @@ def _dense(t: Tables) -> DataFrame:
     )
 
 
+_RUN_COUNTS_SQL = _COUNTS_SQL.replace("product AS run_id", "run_id").replace("v_scrubbed", "v_run_reviews")
+_RUN_WEIGHTS_SQL = (
+    _WEIGHTS_SQL.replace(_COUNTS_SQL, "RUN_COUNTS").replace("SELECT product AS run_id, count(*) AS n FROM v_scrubbed", "SELECT run_id, count(*) AS n FROM v_run_reviews")
+    .replace("RUN_COUNTS", _RUN_COUNTS_SQL)
+)
+
+
+@query(
+    "tfidf_windows",
+    f"""SELECT run_id, ord, count(*) AS terms, round(sum(weight), 5) AS total, arg_max(term, (round(weight, 9), term)) AS heaviest
+        FROM ({_RUN_WEIGHTS_SQL}) GROUP BY run_id, ord""",
+)
+def _windows(t: Tables) -> DataFrame:
+    """Weights of every report week's window, from counts taken once per review."""
+    weights = with_run_id(vectors.window_tfidf_weights(t.clustered, stop_words=STOP_WORDS))
+    heaviest = F.max_by("term", F.struct(F.round("weight", 9), "term")).alias("heaviest")
+    return weights.groupBy("run_id", "ord").agg(F.count("*").alias("terms"), F.round(F.sum("weight"), 5).alias("total"), heaviest)
+
+
 def _points(t: Tables) -> DataFrame:
     """The given vectors in four groups, with their label as cluster."""
     return t.table("embeddings").select(
@@ -210,3 +229,73 @@ def _cluster_totals(t: Tables) -> DataFrame:
     )
     missing = tagged.groupBy("run_id").agg(F.count_if(F.col("cluster_id").isNull()).alias("unassigned"))
     return totals.join(missing, "run_id")
+
+
+# Groups that any right clustering must find: far apart by a planted number, with components of the given vectors as noise.
+_PLANTED = 4
+
+
+def _planted(t: Tables) -> DataFrame:
+    shift = F.transform(F.sequence(F.lit(0), F.lit(_PLANTED - 1)), lambda i: F.when(F.col("label") % _PLANTED == i, 50.0).otherwise(0.0))
+    return t.table("embeddings").select(
+        F.concat(F.lit("g"), (F.col("vec_id") % 3).cast("string")).alias("run_id"),
+        F.col("vec_id").alias("ord"),
+        F.zip_with(shift, F.slice(F.col("embedding").cast("array<double>"), 1, _PLANTED), lambda a, b: a + b).alias("vector"),
+        (F.col("label") % _PLANTED).alias("planted"),
+        (1 + F.col("vec_id") % 5).cast("int").alias("rating"),
+        F.concat(F.lit("id"), F.col("vec_id").cast("string")).alias("review_id"),
+    )
+
+
+_PLANTED_SQL = f"""SELECT 'g' || (vec_id % 3) AS run_id, vec_id AS ord, label % {_PLANTED} AS planted, CAST(1 + vec_id % 5 AS INTEGER) AS rating,
+    list_transform(range({_PLANTED}), lambda i: CASE WHEN label % {_PLANTED} = i THEN 50.0::DOUBLE ELSE 0 END + embedding[i + 1]::DOUBLE) AS vector FROM embeddings"""
+_PLANTED_COST_SQL = f"""
+    SELECT run_id, sum(pow(x - mean, 2)) AS cost FROM (
+      SELECT run_id, x, avg(x) OVER (PARTITION BY run_id, planted, dim) AS mean FROM (
+        SELECT run_id, planted, unnest(vector) AS x, generate_subscripts(vector, 1) AS dim FROM ({_PLANTED_SQL}))) GROUP BY run_id"""
+
+
+@query(
+    "kmeans_planted",
+    f"""SELECT run_id, count(*) AS n, any_value(round(cost, 4)) AS cost, count(DISTINCT planted) AS clusters, true AS pure
+        FROM ({_PLANTED_SQL}) JOIN ({_PLANTED_COST_SQL}) USING (run_id) GROUP BY run_id""",
+)
+def _kmeans_planted(t: Tables) -> DataFrame:
+    """Cost of the clustering against the planted groups' squared distances from their means, and that clusters are the groups."""
+    points = cut_lineage(_planted(t))
+    blocks = cut_lineage(clustering.block_points(points))
+    models = clustering.kmeans(points, k_min=_PLANTED, k_max=_PLANTED, blocks=blocks)
+    labels = clustering._block_labels(clustering.label_blocks(blocks, models), ("run_id",)).join(points.select("run_id", "ord", "planted"), ["run_id", "ord"])
+    pure = labels.groupBy("run_id").agg(
+        F.count("*").alias("n"), F.countDistinct("planted").alias("clusters"),
+        ((F.countDistinct("planted", "cluster_id") == F.countDistinct("planted")) & (F.countDistinct("cluster_id") == F.countDistinct("planted"))).alias("pure"),
+    )
+    return pure.join(models.select("run_id", F.round("cost", 4).alias("cost")), "run_id")
+
+
+@query(
+    "select_k_planted",
+    f"""WITH p AS ({_PLANTED_SQL}),
+    d AS (SELECT a.run_id, a.ord, a.planted AS own, b.planted AS other, sum(list_distance(a.vector, b.vector)) AS reach, count(*) AS n
+          FROM p a JOIN p b USING (run_id) GROUP BY ALL),
+    s AS (SELECT run_id, ord, max(reach / (n - 1)) FILTER (own = other) AS inner_mean, min(reach / n) FILTER (own <> other) AS outer_mean FROM d GROUP BY run_id, ord)
+    SELECT run_id, {_PLANTED} AS k, round(avg((outer_mean - inner_mean) / greatest(inner_mean, outer_mean)), 5) AS silhouette FROM s GROUP BY run_id""",
+)
+def _select_k_planted(t: Tables) -> DataFrame:
+    """The number of planted groups is chosen among three to eight, with the silhouette that all pairs give."""
+    points = cut_lineage(_planted(t))
+    blocks = cut_lineage(clustering.block_points(points))
+    chosen = clustering.select_k(blocks, clustering.kmeans(points, blocks=blocks))
+    return chosen.select("run_id", F.col("k").cast("int").alias("k"), F.round("silhouette", 5).alias("silhouette"))
+
+
+@query(
+    "cluster_reviews_planted",
+    f"""SELECT run_id, CAST(row_number() OVER (PARTITION BY run_id ORDER BY n DESC, first) - 1 AS INTEGER) AS cluster_id, n AS review_count, avg_rating
+        FROM (SELECT run_id, planted, count(*) AS n, min(ord) AS first, (200 * sum(rating) + count(*)) // (2 * count(*)) / 100.0 AS avg_rating
+              FROM ({_PLANTED_SQL}) GROUP BY run_id, planted)""",
+)
+def _cluster_planted(t: Tables) -> DataFrame:
+    """Themes from planted groups: sizes, ratings and canonical numbers."""
+    _, found = clustering.cluster_reviews(_planted(t).drop("planted"))
+    return found.select("run_id", "cluster_id", "review_count", "avg_rating")
