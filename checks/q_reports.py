@@ -156,6 +156,20 @@ def _label(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "label_memory",
+    f"""SELECT t.run_id, t.cluster_id, coalesce(trim(n.label), t.label) AS label, coalesce(trim(n.description), t.description) AS description
+        FROM v_run_themes t LEFT JOIN (
+          SELECT v.run_id, cluster_id, arg_max(label, (v.attempt, pos)) AS label, arg_max(description, (v.attempt, pos)) AS description
+          FROM v_named v JOIN {_CHOSEN_KEYS_SQL} c ON c.run_id = v.run_id AND v.attempt <= c.attempt
+          WHERE cluster_id IS NOT NULL GROUP BY v.run_id, cluster_id) n USING (run_id, cluster_id)""",
+)
+def _memory(t: Tables) -> DataFrame:
+    """Labels as all responses up to the chosen one leave them."""
+    rows = themes.label_themes(t.run_themes, themes.named_so_far(_named(t), _chosen(t)))
+    return rows.select("run_id", "cluster_id", "label", "description")
+
+
 @query(
     "labelled_themes",
     "SELECT run_id, cluster_id FROM v_run_themes WHERE cluster_id % 3 <> 0",
@@ -345,6 +359,10 @@ def _run_rows(t: Tables) -> DataFrame:
     return named.withColumn("iso_week", iso_week_of(F.col("week_start")))
 
 
+def _text_sql(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
 _RUN_SQL = f"""
     SELECT r.*, c.* EXCLUDE (product), strftime(r.week_start, '%G-W%V') AS iso_week
     FROM (SELECT run_id, product, week_start, week_end, window_start, window_end, count(*) AS reviews_count
@@ -356,8 +374,11 @@ _PROMPT_SQL = f"""
       || 'Review analysis window: ' || window_start || ' to ' || window_end || chr(10)
       || 'Total reviews: ' || total_reviews || chr(10) || 'Number of theme clusters: ' || num_clusters || chr(10) || '</config>'
       || chr(10) || chr(10) || '<clusters>' || chr(10) || cluster_summaries || chr(10) || '</clusters>'
-      || chr(10) || chr(10) || '<reviews>' || chr(10) || review_texts || chr(10) || '</reviews>' AS body,
-      'up to ' || max_themes || '/' || max_quotes_per_theme AS limits
+      || chr(10) || chr(10) || '<reviews>' || chr(10) || review_texts || chr(10) || '</reviews>'
+      || chr(10) || chr(10) || {_text_sql(report.REPLY_FORMAT)} || chr(10) || chr(10)
+      || 'At most ' || max_themes || ' themes, most reviewed first; at most ' || max_themes * max_quotes_per_theme || ' quotes, spread over the themes; at most '
+      || max_action_ideas || ' action ideas. Take quotes only from the reviews above, dated within ' || window_start || ' to ' || window_end || '.' AS prompt,
+      replace({_text_sql(report.SYSTEM_TEXT)}, '{{product}}', display_name) AS system_text
     FROM ({_RUN_SQL}) JOIN (SELECT run_id, count(*) AS total_reviews FROM v_numbered GROUP BY run_id) USING (run_id)
       JOIN (SELECT run_id, count(*) AS num_clusters FROM v_run_themes GROUP BY run_id) USING (run_id)
       JOIN ({_SUMMARIES_SQL}) USING (run_id) JOIN ({_TEXTS_SQL}) USING (run_id)"""
@@ -365,13 +386,11 @@ _PROMPT_SQL = f"""
 
 @query(
     "prompt_pack",
-    f"SELECT run_id, total_reviews, num_clusters, max_quotes, body FROM ({_PROMPT_SQL})",
+    f"""SELECT *, CAST(length(prompt) + length(system_text) AS INTEGER) AS prompt_chars,
+               (length(prompt) + length(system_text)) / 4.0::DOUBLE AS est_tokens FROM ({_PROMPT_SQL})""",
 )
 def _prompt(t: Tables) -> DataFrame:
-    """The data part of every prompt; the fixed wording after it is left to the tests."""
-    packs = report.prompt_pack(_run_rows(t), t.run_themes, _sample(t))
-    body = F.substring_index("prompt", "\n\n" + report.REPLY_FORMAT[:20], 1)
-    return packs.select("run_id", "total_reviews", "num_clusters", "max_quotes", body.alias("body"))
+    return report.prompt_pack(_run_rows(t), t.run_themes, _sample(t))
 
 
 _DRAFT_THEMES_SQL = f"""

@@ -7,8 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from themeloom.plans import report
-from themeloom.plans.weekly import prompt_stage, report_stage
+from themeloom.operators.themes import label_themes, named_so_far
+from themeloom.plans.weekly import prompt_stage, publish, report_stage
 from themeloom.schema import RUNS
+from themeloom.sources import tables
 from themeloom.sources.config import product_config
 
 NOW = datetime(2026, 6, 22, 9)
@@ -25,13 +27,15 @@ def result(spark):
         "product string, review_id string, source string, text string, rating int, review_date date, author string, ord long",
     )
     configs = product_config(
-        spark.createDataFrame([("app", "The App"), ("mute", "Mute")], "product string, display_name string")
+        spark.createDataFrame([("app", "The App"), ("mute", "Mute"), ("calm", "Calm")], "product string, display_name string")
     )
     requests = spark.createDataFrame(
-        [("app", date(2026, 6, 15), True), ("mute", date(2026, 6, 15), False)],
+        [("app", date(2026, 6, 15), True), ("mute", date(2026, 6, 15), False), ("calm", date(2026, 6, 15), False)],
         "product string, week_start date, force boolean",
     )
-    stage = prompt_stage(requests, spark.createDataFrame([], RUNS), reviews, configs, F.lit(NOW))
+    before = datetime(2026, 6, 21, 9)
+    known = [("again", "app", date(2026, 6, 15), date(2026, 6, 21), "completed", 7, 7, "reports/x.md", "doc", True, 900, "old", before, before)]
+    stage = prompt_stage(requests, spark.createDataFrame(known, RUNS), reviews, configs, F.lit(NOW))
     run_of = {r["product"]: r["run_id"] for r in stage.due.collect()}
     good = {
         "summary": " Good and bad. ",
@@ -39,9 +43,10 @@ def result(spark):
         "quotes": [{"text": "passes show up in the wallet", "theme_label": "boarding"}],
         "action_ideas": ["Pay refunds sooner."],
     }
-    bad = dict(good, quotes=[{"text": "Nobody ever wrote such words anywhere", "theme_label": "Boarding"}])
+    bad = dict(good, themes=[{"label": "Flying", "description": "All of it.", "cluster_id": "1"}, {"label": "No such", "cluster_id": 9}], quotes=[{"text": "Nobody ever wrote such words anywhere", "theme_label": "Boarding"}])
     responses = spark.createDataFrame(
-        [(run_of["app"], 1, json.dumps(bad), 700), (run_of["app"], 2, json.dumps(good), 500), (run_of["mute"], 1, "sorry", 50)],
+        [(run_of["app"], 1, json.dumps(bad), 700), (run_of["app"], 2, json.dumps(good), 500), (run_of["mute"], 1, "sorry", 50),
+         (run_of["calm"], 1, json.dumps({"summary": "Nothing came in.", "themes": [], "quotes": [], "action_ideas": []}), 20)],
         "run_id string, attempt int, report_json string, tokens_used int",
     )
     return run_of, stage, report_stage(stage, responses, F.lit(NOW))
@@ -56,7 +61,56 @@ def test_prompt(result):
     assert "[2★] [app_store] [2026-06-16] Refunds crawl along for weeks. Ring [REDACTED]" in prompt
     assert "Quiet Person" not in prompt and "9812345670" not in prompt
     assert prompts[run_of["app"]]["total_reviews"] == 2 and prompts[run_of["app"]]["max_quotes"] == 5
-    assert stage.ledger.where("status = 'running'").count() == 2
+    assert stage.ledger.where("status = 'running'").count() == 3
+    calm = prompts[run_of["calm"]]
+    assert (calm["total_reviews"], calm["num_clusters"]) == (0, 0) and "<reviews>\n\n</reviews>" in calm["prompt"]
+
+
+def test_a_run_done_again_is_emptied_first(result):
+    run_of, stage, _ = result
+    row = stage.ledger.where("product = 'app'").first()
+    assert run_of["app"] == "again" and (row["status"], row["started_at"]) == ("running", NOW)
+    assert (row["reviews_fetched"], row["tokens_used"], row["report_path"], row["doc_id"], row["email_sent"], row["error_message"], row["completed_at"]) == (0, 0, None, None, False, None, None)
+
+
+def test_a_run_without_reviews_completes_with_zeros(result):
+    run_of, _, done = result
+    row = done.ledger.where("product = 'calm'").first()
+    assert (row["status"], row["reviews_fetched"], row["reviews_processed"], row["tokens_used"]) == ("completed", 0, 0, 20)
+    content = done.reports.where("product = 'calm'").first()["content"]
+    assert "**Reviews Analyzed:** 0" in content and "Nothing came in." in content
+    metrics = {r["run_id"]: r.asDict() for r in done.metrics.collect()}[run_of["calm"]]
+    assert sum(v for k, v in metrics.items() if k not in ("run_id", "tokens_used")) == 0
+
+
+def test_labels_of_an_earlier_attempt_are_remembered(spark):
+    named = spark.createDataFrame(
+        [("r", 1, 0, "First", "one", "1"), ("r", 1, 1, "Second", "two", "2"), ("r", 2, 0, " Later ", "three", "Cluster 1"), ("r", 3, 0, "Unused", "x", "2"), ("s", 1, 0, "Own", "", "1")],
+        "run_id string, attempt int, pos int, label string, description string, cluster_ref string",
+    )
+    rows = spark.createDataFrame([("r", c, f"Theme {c + 1}", "") for c in range(3)], "run_id string, cluster_id int, label string, description string")
+    chosen = spark.createDataFrame([("r", 2), ("s", 1)], "run_id string, attempt int")
+    found = label_themes(rows, named_so_far(named, chosen)).orderBy("cluster_id").collect()
+    assert [(r["label"], r["description"]) for r in found] == [("Later", "three"), ("Second", "two"), ("Theme 3", "")]
+
+
+def test_publish_keeps_tables_and_lists_deliveries(spark, result, tmp_path):
+    run_of, stage, done = result
+    settings = spark.createDataFrame(
+        [("app", "doc-1", "a@b.example", False), ("calm", "", None, False), ("mute", "doc-2", "x@y.example", False)],
+        "product string, doc_id string, recipients string, dry_run boolean",
+    )
+    for _ in range(2):  # writing again changes nothing
+        due = publish(stage, done, str(tmp_path), settings, F.concat(F.lit("https://a.example/"), F.col("run_id")), stage.due.select("run_id"))
+    rows = due.collect()
+    assert [(r["run_id"], r["doc_due"], r["mail_due"], r["target_doc"]) for r in rows] == [(run_of["app"], True, True, "doc-1")]
+    assert "https://a.example/again" in rows[0]["body"] and rows[0]["content"].startswith("# The App")
+    cache = tables.read_table(spark, f"{tmp_path}/reviews")
+    owners = {(r["review_id"], r["run_id"], r["cluster_id"]) for r in cache.collect()}
+    assert owners == {("gp1", "again", 0), ("as1", "again", 0), ("m", run_of["mute"], 0)}
+    assert [r["text_clean"] for r in tables.load_reviews_for_run(cache, "again").collect()][0].endswith("[REDACTED]")
+    assert {(r["run_id"], r["label"]) for r in tables.read_table(spark, f"{tmp_path}/themes").collect()} == {("again", "Boarding"), (run_of["mute"], "Theme 1")}
+    assert {r["report_name"] for r in tables.read_table(spark, f"{tmp_path}/reports").collect()} == {"app-2026-06-15.md", "calm-2026-06-15.md"}
 
 
 def test_metrics_and_ledger(result):
@@ -75,7 +129,7 @@ def test_metrics_and_ledger(result):
 
 def test_report(result):
     run_of, _, done = result
-    content = done.reports.first()["content"]
+    content = done.reports.where("product = 'app'").first()["content"]
     assert content == "\n".join(
         [
             "# The App — Weekly Review Report",

@@ -14,21 +14,27 @@ def label_key(label: Column) -> Column:
 
 
 def _last_wins(rows: DataFrame, *keys: str) -> DataFrame:
-    """Last row per key in the model's order; a response has few rows."""
-    last = Window.partitionBy(*keys).orderBy(F.col("pos").desc())
+    """Last row per key in the model's order, a later attempt after an earlier one; responses have few rows."""
+    order = [name for name in ("attempt", "pos") if name in rows.columns]
+    last = Window.partitionBy(*keys).orderBy(*[F.col(name).desc() for name in order])
     return rows.withColumn("_rn", F.row_number().over(last)).where("_rn = 1").drop("_rn")
 
 
 def label_themes(themes: DataFrame, named: DataFrame) -> DataFrame:
-    """Replace label and description of the clusters a response names; others keep theirs."""
+    """Replace label and description of the clusters that responses name; others keep theirs.
+
+    ``named`` may hold several responses of a run, told apart by ``attempt``: a cluster has the label that
+    the last of them gave it, whether or not that response was chosen.
+    """
     refs = named.select(
         "run_id",
+        *[name for name in ("attempt",) if name in named.columns],
         "pos",
         parse_cluster_ref(F.col("cluster_ref")).alias("cluster_id"),
         strip_space(F.col("label")).alias("_label"),
         strip_space(F.col("description")).alias("_description"),
     ).where("cluster_id IS NOT NULL")
-    labels = _last_wins(refs, "run_id", "cluster_id").drop("pos")
+    labels = _last_wins(refs, "run_id", "cluster_id").drop("pos", "attempt")
     return (
         themes.join(labels, ["run_id", "cluster_id"], "left")
         .withColumn("label", F.coalesce("_label", "label"))
@@ -37,6 +43,12 @@ def label_themes(themes: DataFrame, named: DataFrame) -> DataFrame:
     )
 
 
+def named_so_far(named: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Themes of a run's responses up to the chosen attempt: what labels are remembered from."""
+    upto = chosen.select("run_id", F.col("attempt").alias("_upto"))
+    return named.join(upto, "run_id").where(F.col("attempt") <= F.col("_upto")).drop("_upto")
+
+
 def quote_cluster(quotes: DataFrame, named: DataFrame) -> DataFrame:
     """Resolve each quote's theme label to a cluster id, null where no theme carries it."""
     labels = named.select(

@@ -102,18 +102,20 @@ def _tagged(tag: str, body: Column) -> Column:
 
 
 def prompt_pack(runs: DataFrame, themes: DataFrame, sampled: DataFrame) -> DataFrame:
-    """The full prompt of every run that has reviews.
+    """The full prompt of every run; one without reviews has empty parts and counts of zero.
 
     ``runs``: ``run_id, display_name, iso_week, week_start, week_end, window_start, window_end``
     and the three limits of the product's settings.
     """
     sizes = sampled.groupBy("run_id").agg(F.count("*").alias("total_reviews"))
     clusters = themes.groupBy("run_id").agg(F.count("*").alias("num_clusters"))
+    parts = {"total_reviews": F.lit(0), "num_clusters": F.lit(0), "cluster_summaries": F.lit(""), "review_texts": F.lit("")}
     rows = (
-        runs.join(sizes, "run_id")
-        .join(clusters, "run_id")
-        .join(cluster_summaries(themes, sampled), "run_id")
-        .join(review_texts(sampled), "run_id")
+        runs.join(sizes, "run_id", "left")
+        .join(clusters, "run_id", "left")
+        .join(cluster_summaries(themes, sampled), "run_id", "left")
+        .join(review_texts(sampled), "run_id", "left")
+        .withColumns({name: F.coalesce(name, empty) for name, empty in parts.items()})
         .withColumn("max_quotes", F.col("max_themes") * F.col("max_quotes_per_theme"))
         .withColumn("week_range", F.concat_ws(" to ", "week_start", "week_end"))
         .withColumn("window_range", F.concat_ws(" to ", "window_start", "window_end"))

@@ -16,26 +16,30 @@ from themeloom.functions.weeks import iso_week_of, week_end_of, window_start_of
 from themeloom.operators.clustering import cluster_reviews
 from themeloom.operators.dedup import clean_reviews, dedup_reviews
 from themeloom.operators.filters import min_length
-from themeloom.operators.ledger import finish_runs, plan_runs, register_runs, run_metrics, run_outcomes
+from themeloom.operators.ledger import delivery_outbox, finish_runs, plan_runs, register_runs, reset_runs, run_metrics, run_outcomes
 from themeloom.operators.quotes import match_quotes, select_attempt
 from themeloom.operators.sampling import sample_for_prompt
-from themeloom.operators.themes import label_themes
-from themeloom.operators.vectors import Encoder, embed_texts, text_key, tfidf_vectors
+from themeloom.operators.themes import label_themes, named_so_far
+from themeloom.operators.vectors import Encoder, embed_texts, text_key, window_tfidf_vectors
 from themeloom.operators.windows import lookback_windows, window_counts
-from themeloom.plans.report import prompt_pack, render_markdown, report_draft, verified_quotes
+from themeloom.plans.report import prompt_pack, render_html_summary, render_markdown, report_draft, verified_quotes
 from themeloom.schema import MAX_ATTEMPTS, WINDOW_WEEKS
 from themeloom.session import cut_lineage
 from themeloom.sources.config import run_config
 from themeloom.sources.responses import read_report_json, report_quotes, report_themes
-from themeloom.sources.tables import report_name
+from themeloom.sources.tables import report_name, write_report, write_reviews, write_themes
 
 
 @dataclass(frozen=True)
 class PromptStage:
-    """Everything known before the model is asked. All frames are keyed by ``run_id``."""
+    """Everything known before the model is asked. All frames but ``kept`` are keyed by ``run_id``.
+
+    ``kept`` has each cleaned review once, ``reviews`` once per run that counts it.
+    """
 
     due: DataFrame
     ledger: DataFrame
+    kept: DataFrame
     reviews: DataFrame
     themes: DataFrame
     counts: DataFrame
@@ -59,9 +63,13 @@ class ReportStage:
 def due_runs(
     requests: DataFrame, ledger: DataFrame, configs: DataFrame, now: Column, weeks: int = WINDOW_WEEKS
 ) -> tuple[DataFrame, DataFrame]:
-    """(runs to do, with window and settings; ledger with them marked running)."""
-    planned = plan_runs(requests, ledger, now)
-    after = cut_lineage(register_runs(ledger, planned, now))
+    """(runs to do, with window and settings; ledger with them marked running).
+
+    A run that is done again, by request or for want of a result, is emptied first.
+    """
+    planned = cut_lineage(plan_runs(requests, ledger, now))
+    again = planned.where("verdict IN ('rerun', 'recover')")
+    after = cut_lineage(reset_runs(register_runs(ledger, planned, now), again, now))
     todo = planned.where("verdict <> 'skip'").select("product", "week_start")
     week = F.col("week_start")
     due = after.join(todo, ["product", "week_start"]).select(
@@ -108,7 +116,7 @@ def prompt_stage(
     wanted = due.select("run_id", "product", "week_start")
     run_rows = lookback_windows(scrubbed, weeks).join(wanted, ["product", "week_start"])
     if encoder is None:
-        with_vectors = tfidf_vectors(run_rows, stop_words=stop_words)
+        with_vectors = window_tfidf_vectors(run_rows, scrubbed, weeks=weeks, stop_words=stop_words)
     else:
         vectors = embed_texts(scrubbed.select("text"), encoder, encoder_name, vector_cache)
         keyed = run_rows.withColumn("text_key", text_key(F.col("text")))
@@ -129,6 +137,7 @@ def prompt_stage(
     return PromptStage(
         due=due,
         ledger=after,
+        kept=scrubbed,
         reviews=tagged,
         themes=themes,
         counts=counts,
@@ -143,20 +152,20 @@ def report_stage(
     """From model responses (``run_id, attempt, report_json, tokens_used``) to reports and ledger."""
     parsed = cut_lineage(read_report_json(responses))
     all_quotes = report_quotes(parsed.where(F.col("attempt_no") <= max_attempts))
-    matches = cut_lineage(match_quotes(all_quotes, stage.reviews))
+    matches = cut_lineage(match_quotes(all_quotes, stage.kept, stage.reviews))
     checked = all_quotes.join(matches.select("run_id", "text", "passed"), ["run_id", "text"])
     chosen = cut_lineage(select_attempt(parsed, checked, max_attempts))
 
     picked = chosen.select("run_id", "attempt")
     used = parsed.join(picked, ["run_id", "attempt"], "left_semi")
     named, quotes = report_themes(used), report_quotes(used)
-    themes = label_themes(stage.themes, named)
+    themes = label_themes(stage.themes, named_so_far(report_themes(parsed), chosen))
     windows = stage.due.select("run_id", "window_start", "window_end")
     verified = cut_lineage(verified_quotes(quotes, matches, named, windows))
     drafts = report_draft(chosen, themes, verified)
 
     sizes = stage.reviews.groupBy("run_id").agg(F.count("*").alias("reviews_count"))
-    runs = stage.due.join(sizes, "run_id")
+    runs = stage.due.join(sizes, "run_id", "left").withColumn("reviews_count", F.coalesce("reviews_count", F.lit(0)))
     reports = render_markdown(
         drafts, runs, themes, verified,
         F.col("max_themes"), F.col("max_quotes_per_theme"), F.col("max_action_ideas"),
@@ -182,3 +191,27 @@ def report_stage(
         metrics=metrics,
         ledger=ledger,
     )
+
+
+def publish(
+    stage: PromptStage, done: ReportStage, folder: str, settings: DataFrame, report_url: Column | None = None,
+    delivered: DataFrame | None = None, title: str = "Weekly Review Report", generator: str = "themeloom",
+) -> DataFrame:
+    """Keep what the runs found in the tables under ``folder`` and return the deliveries that are due.
+
+    The review cache takes over the runs' reviews with their clusters, themes and reports replace those of
+    the same runs and weeks; writing again changes nothing. ``settings`` per product: ``doc_id, recipients,
+    dry_run``; ``delivered`` lists runs whose document went out. ``report_url`` is a column over
+    ``run_id, product, week_start``.
+    """
+    started = done.ledger.select("run_id", "started_at")
+    saved = stage.reviews.select("run_id", "review_id", "source", "cluster_id").join(started, "run_id")
+    write_reviews(f"{folder}/reviews", stage.kept.withColumnRenamed("text", "text_clean"), saved)
+    weeks = stage.due.select("run_id", "week_start")
+    write_themes(f"{folder}/themes", done.themes.join(weeks, "run_id"))
+    write_report(f"{folder}/reports", done.reports)
+
+    url = F.lit(None).cast("string") if report_url is None else report_url
+    mails = render_html_summary(done.drafts, stage.due.withColumn("report_url", url), title, generator)
+    reports = done.reports.select("run_id", "content").join(mails, "run_id")
+    return delivery_outbox(done.ledger, reports, settings, delivered)
