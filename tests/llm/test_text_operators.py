@@ -4,6 +4,7 @@ import array
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -156,3 +157,46 @@ def test_few_slots_are_not_enough(spark):
     found = pii_bootstrap.find(spark.createDataFrame(docs, "doc_id long, text string"))
     assert found.filter("doc_id = 9").first()["spans"] == ""
     assert found.agg(F.sum("n_email")).first()[0] == 3
+
+
+def test_a_piece_of_millions_of_letters_takes_linear_time_and_bounded_states(library):
+    draw = random.Random(5)
+    letters = "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(400_000))
+    transducer = bpe.Transducer(bpe.load_ranks(RANKS), 20_000)
+    took = []
+    for n in (len(letters) // 4, len(letters)):
+        begin = time.perf_counter()
+        ids = transducer.encode(letters[:n].encode())
+        took.append(time.perf_counter() - begin)
+        assert len(transducer._states) <= 20_001 and len(transducer._pairs) < 200_000
+        if n < len(letters):
+            # the library takes the square of a piece's length: compare the part it can do
+            short = letters[:3000].encode()
+            assert list(array.array("I", transducer.encode(short))) == library._core_bpe.encode_single_piece(short)
+    assert took[1] < 12 * took[0]
+    assert b"".join(transducer.bytes_of[i] for i in array.array("I", ids)) == letters.encode()
+    pieces = bpe._Pieces(transducer, 100)
+    assert pieces[letters[:2000]] == pieces[letters[:2000]] and not pieces
+
+
+def test_contexts_hold_two_words_of_any_length():
+    long = "w" * 5000
+    text = f"{long} tel: 0151-12345 {long} {long} x1 a  b y2"
+    found = {value: contexts for _, _, _, value, contexts in pii_bootstrap.slots(text, [])}
+    assert found["x1"] == [" ".join([pii_bootstrap._short(long)] * 2)] and found["y2"] == ["a b"]
+    assert found["0151-12345"] == [f"{pii_bootstrap._short(long)} tel:", "tel:"]
+    giant = "7" + "q" * 2_000_000
+    ((_, end, _, value, _),) = pii_bootstrap.slots(f"is it {giant}", [])
+    assert end == 6 + len(giant) and len(value) < 100
+
+
+def test_many_spans_are_passed_in_proportion():
+    took = []
+    for n in (5_000, 20_000):
+        text = " ".join(f"mail a{i}@b.cc or id{i}" for i in range(n))
+        base = pii_bootstrap.base_spans(text)
+        begin = time.perf_counter()
+        found = pii_bootstrap.slots(text, base)
+        took.append(time.perf_counter() - begin)
+        assert sum(kind < 0 for _, _, kind, _, _ in found) == n
+    assert took[1] < 8 * took[0] + 0.5

@@ -172,13 +172,13 @@ class Transducer:
         whole = self.ranks.get(piece)
         if whole is not None:
             return array.array("I", (whole,)).tobytes()
-        if len(self._states) > self.most:
-            self._forget()
-        out = b""
+        out = bytearray()
         state, moves = 0, self._moves
         for byte in piece:
             move = moves.get(state << 8 | byte)
             if move is None:
+                if len(self._states) >= self.most:
+                    state, moves = self._start_anew(state), self._moves
                 move = self._determinise(state, byte)
             if move < 0:
                 out += self._emits[state << 8 | byte]
@@ -188,7 +188,23 @@ class Transducer:
         if left is None:
             _, ending, begin, _ = self._states[state]
             left = self._ends[state] = self._path(ending, begin, len(ending) - 1)
-        return out + left
+        return bytes(out + left)
+
+    def _start_anew(self, state: int) -> int:
+        """Forget all states but ``state``, wherever in a piece that is, and with them pairs beyond the bound."""
+        kept = self._states[state]
+        self._forget()
+        if len(self._pairs) > 4 * self.most:
+            self._pairs.clear()
+        if state == 0:
+            return 0
+        self._states.append(kept)
+        self._names[kept[1][0], kept[0]] = 1
+        return 1
+
+
+#: Longer pieces are encoded each time they are met: few come again, and what is remembered stays bounded in bytes.
+LONG = 256
 
 
 class _Pieces(dict):
@@ -200,6 +216,8 @@ class _Pieces(dict):
         self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
+        if len(piece) > LONG:
+            return self.transducer.encode(piece.encode("utf-8"))
         if len(self) >= self.most // 2:
             self.older = dict(self)
             self.clear()

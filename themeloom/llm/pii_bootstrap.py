@@ -68,22 +68,31 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def _short(word: str) -> str:
+    """``word``, or a digest of it where it is too long to be sent about."""
+    return word if len(word) <= 64 else "sha256:" + hashlib.sha256(word.encode("utf-8", "surrogatepass")).hexdigest()
+
+
 def _contexts(text: str, start: int) -> list[str]:
     """What stands before a slot: its last two words, and its last one if that announces something (``tel:``)."""
-    low = max(0, start - 80)
-    words = _BEFORE.findall(text, low, start)
-    if low and words and not text[low - 1].isspace():
-        words = words[1:]  # cut by the limit
+    low = start
+    while True:
+        low = max(0, min(start - 80, low - 3 * (start - low)))
+        words = _BEFORE.findall(text, low, start)
+        if low == 0 or len(words) > 2 or len(words) == 2 and text[low] in _SPACE:
+            break  # whole words, at least two where there are as many
     words = [re.sub("[0-9]", "0", word.lower()) for word in words[-2:]]
+    announces = bool(words) and words[-1][-1] in ":=#" and any(c.isalpha() for c in words[-1])
+    words = [_short(word) for word in words]
     out = [" ".join(words)] if len(words) == 2 else []
-    if words and words[-1][-1] in ":=#" and any(c.isalpha() for c in words[-1]):
+    if announces:
         out.append(words[-1])
     return out
 
 
 def slots(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, str, list[str]]]:
     """(start, end, kind or -1, instance, contexts): the base spans, and tokens apart from them with a digit or an @."""
-    out = [(b, e, k, text[b:e].lower(), _contexts(text, b)) for b, k, e in base]
+    out = [(b, e, k, _short(text[b:e].lower()), _contexts(text, b)) for b, k, e in base]
     if "@" in text or any(d in text for d in "0123456789"):
         place = 0
         ends = sorted((b, e) for b, _, e in base)
@@ -97,9 +106,9 @@ def slots(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, i
                 continue
             while place < len(ends) and ends[place][1] <= begin:
                 place += 1
-            if any(b < end and begin < e for b, e in ends[place:][:8]):
+            if place < len(ends) and ends[place][0] < end:  # spans further on begin later still
                 continue
-            out.append((begin, end, -1, value.lower(), _contexts(text, begin)))
+            out.append((begin, end, -1, _short(value.lower()), _contexts(text, begin)))
     return [slot for slot in out if slot[4]]
 
 
