@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +27,8 @@ from themeloom.llm.common import mixed, runs_hash, text_pieces, word_hashes, wri
 SEED = 42
 #: A line is cut after the least word hash of every so many consecutive words; no part is longer than this.
 SPAN = 8
+#: Windows hashed at once.
+SLICE = 1 << 17
 #: Words of a passage inside longer lines that whole units lack at its two ends together: as a rule, and at most.
 LOST, MOST_LOST = SPAN + 5, 4 * SPAN - 3
 
@@ -81,37 +84,54 @@ def _numbers(scalar) -> np.ndarray:
     return scalar.values.to_numpy(zero_copy_only=False) if scalar.is_valid else np.array([], dtype=np.int32)
 
 
-def _selected(hashes: np.ndarray, sizes: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Begin and end of every window, the place of its least hash of two units, the last of equal ones, and these hashes."""
+def _selected(hashes: np.ndarray, sizes: np.ndarray, words: int, ends_of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Begin and end of every window, the place of its least hash of two units, the last of equal ones, and these hashes.
+
+    ``ends_of`` are the ends of consecutive documents, which windows don't cross; without it there is one.
+    """
     wide = hashes.view(np.uint32).astype(np.uint64)
     pairs = mixed(mixed(wide[:-1] + np.uint64(1)) * np.uint64(3) + wide[1:])
     total = np.r_[0, np.cumsum(sizes, dtype=np.int64)]
     ends = np.searchsorted(total, total[:-1] + words)
-    begins = np.flatnonzero(ends < len(total))
+    last = np.full(len(hashes), len(hashes)) if ends_of is None else np.repeat(ends_of, np.diff(np.r_[0, ends_of]))
+    begins = np.flatnonzero(ends <= last)
     ends = ends[begins]  # a window has two units at least, as it holds more words than one can
-    place = begins.copy()
-    for step in range(1, int((ends - begins).max(initial=0)) - 1):  # a window has at most as many units as words
-        at = np.minimum(begins + step, ends - 2)
-        place = np.where(pairs[at] <= pairs[place], at, place)
+    place, open_ = begins.copy(), np.arange(len(begins))
+    for step in range(1, words):  # a window has at most as many units as words
+        open_ = open_[begins[open_] + step < ends[open_] - 1]
+        if not len(open_):
+            break
+        at = begins[open_] + step
+        place[open_] = np.where(pairs[at] <= pairs[place[open_]], at, place[open_])
     return begins, ends, place, pairs
 
 
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unit hashes and sizes of all documents of ``batch`` in a row, and where each document ends."""
+    column = batch.column("hashes")
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))
+    flat = lambda name: batch.column(name).flatten().to_numpy(zero_copy_only=False)
+    return flat("hashes"), flat("sizes"), ends.astype(np.int64)
+
+
+def _rows(batch: pa.RecordBatch, places: np.ndarray, hashes: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+    row = np.searchsorted(ends, places, side="right")
+    at = (places - np.r_[0, ends][row]).astype(np.int32)
+    taken = pa.array(row)
+    columns = [batch.column("key").take(taken), batch.column("body").take(taken), pa.array(hashes.view(np.int64)), pa.array(at)]
+    return pa.RecordBatch.from_arrays(columns, names=["key", "body", "least", "at"])
+
+
 def positions(lines: DataFrame, words: int) -> DataFrame:
     """(key, body, least, at): the positions that windows of each document select, and their hashes."""
 
     def run(batches):
         for batch in batches:
-            found = []
-            for hashes, sizes in zip(batch.column("hashes"), batch.column("sizes")):
-                _, _, place, pairs = _selected(_numbers(hashes), _numbers(sizes), words)
-                place = np.unique(place)
-                found.append((place, pairs[place]))
-            row = pa.array(np.repeat(np.arange(len(found)), [len(place) for place, _ in found]))
-            empty = np.empty(0, dtype=np.uint64)
-            least = np.concatenate([empty, *(pairs for _, pairs in found)]).view(np.int64)
-            at = np.concatenate([empty.view(np.int64), *(place for place, _ in found)]).astype(np.int32)
-            columns = [batch.column("key").take(row), batch.column("body").take(row), pa.array(least), pa.array(at)]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "body", "least", "at"])
+            hashes, sizes, ends = _flat(batch)
+            if len(hashes) > 1:
+                _, _, place, pairs = _selected(hashes, sizes, words, ends)
+                place = np.flatnonzero(np.bincount(place, minlength=len(hashes)))
+                yield _rows(batch, place, pairs[place], ends)
 
     kind = dict(lines.dtypes)["key"]
     return lines.select("key", "body", "hashes", "sizes").mapInArrow(run, f"key {kind}, body long, least long, at int")
@@ -122,17 +142,22 @@ def windows(lines: DataFrame, words: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            rows, whole, starts = [], [], []
-            for row, (hashes, sizes, wanted) in enumerate(zip(*(batch.column(name) for name in ("hashes", "sizes", "wanted")))):
-                hashes = _numbers(hashes)
-                begins, ends, place, _ = _selected(hashes, _numbers(sizes), words)
-                for number in np.flatnonzero(np.isin(place, _numbers(wanted))):
-                    rows.append(row)
-                    whole.append(xxhash.xxh64_intdigest(hashes[begins[number] : ends[number]].tobytes(), SEED))
-                    starts.append(int(begins[number]))
-            row = pa.array(rows, pa.int64())
-            columns = [batch.column("key").take(row), batch.column("body").take(row), pa.array(np.array(whole, dtype=np.uint64).view(np.int64)), pa.array(starts, pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "body", "least", "at"])
+            hashes, sizes, ends = _flat(batch)
+            if len(hashes) < 2:
+                continue
+            begins, stops, place, _ = _selected(hashes, sizes, words, ends)
+            row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column("wanted")).to_numpy(zero_copy_only=False))
+            wanted = np.zeros(len(hashes), dtype=bool)
+            wanted[np.r_[0, ends][row] + batch.column("wanted").flatten().to_numpy(zero_copy_only=False)] = True
+            taken = wanted[place]
+            begins, stops = begins[taken], stops[taken]
+            units = mixed(hashes.view(np.uint32).astype(np.uint64) + np.uint64(1))
+            for part in range(0, len(begins), SLICE):
+                begin = begins[part : part + SLICE]
+                length = stops[part : part + SLICE] - begin
+                first = np.cumsum(length) - length
+                step = np.arange(int(length.sum())) - np.repeat(first, length)
+                yield _rows(batch, begin, runs_hash(units[np.repeat(begin, length) + step], first, step), ends)
 
     kind = dict(lines.dtypes)["key"]
     return lines.select("key", "body", "hashes", "sizes", "wanted").mapInArrow(run, f"key {kind}, body long, least long, at int")
@@ -193,6 +218,24 @@ def _extend(
     a match and what it repeats don't overlap.
     """
     total = np.r_[0, np.cumsum(sizes, dtype=np.int64)]
+    shifts = at.astype(np.int64) - held
+    several = np.unique(shifts)
+    if len(several) <= 4:  # as a rule; all runs of a shift at once
+        depth, long = np.zeros(len(own) + 1, dtype=np.int64), np.zeros(len(at), dtype=bool)
+        for shift in several.tolist():
+            low, high, mine = max(0, shift), min(len(own), len(theirs) + shift), np.flatnonzero(shifts == shift)
+            breaks = np.flatnonzero(own[low:high] != theirs[low - shift : high - shift]) + low
+            edges, here = np.r_[low, breaks + 1], at[mine]
+            run = np.searchsorted(breaks, here)
+            left, right = edges[run], np.r_[breaks, high][run]
+            if itself:
+                right = np.minimum(right, np.maximum(left + shift, here))
+            enough = total[right] - total[left] >= words
+            long[mine] = enough
+            np.add.at(depth, left[enough], 1)
+            np.add.at(depth, right[enough], -1)
+        gone = np.cumsum(depth)[:-1] > 0
+        return np.flatnonzero(gone), ~long & ~gone[at]
     gone, failed = np.zeros(len(own), dtype=bool), np.zeros(len(at), dtype=bool)
     walked: dict[int, int] = {}  # end of the last run by shift
     begin, end = 0, 0  # the stretch of deleted units reached last
@@ -225,10 +268,11 @@ def repeated_units(docs: DataFrame, key: str = "doc_id", text: str = "text", min
     if words <= 2 * SPAN:
         raise ValueError(f"min_words must exceed {LOST + 2 * SPAN}")
     lines = written(line_table(docs, key, text).dropDuplicates(["key", "body"]))
-    first = written(_matches(lines, positions(lines, words), words))
+    selected = written(positions(lines, words))
+    first = written(_matches(lines, selected, words))
     failed = written(first.select(F.explode("failed").alias("least")).distinct())
     # positions of the same hash, whatever became of them: any may be what a failed one repeats
-    again = positions(lines, words).join(failed, "least", "left_semi").groupBy("key", "body").agg(F.collect_list("at").alias("wanted"))
+    again = selected.join(failed, "least", "left_semi").groupBy("key", "body").agg(F.collect_list("at").alias("wanted"))
     followed = written(windows(_of_same(lines, written(again)), words))
     second = _matches(lines, followed, words)
     units = first.select("key", "body", "units").unionByName(second.select("key", "body", "units")).filter("size(units) > 0")
