@@ -19,10 +19,11 @@ from themeloom.functions.text import review_id
 from themeloom.functions.weeks import iso_week_of
 from themeloom.operators.dedup import clean_reviews, dedup_reviews
 from themeloom.operators.filters import min_length
+from themeloom.operators.quotes import select_attempt
 from themeloom.operators.sampling import placeholder_themes, theme_stats
 from themeloom.operators.windows import lookback_windows
 from themeloom.session import configure, cut_lineage
-from themeloom.sources.responses import read_report_json
+from themeloom.sources.responses import read_report_json, report_quotes
 from themeloom.sources.stores import review_order
 
 LOST = "zzqx qqzz wwvv kkjj xxyy vvww jjkk yyzz "
@@ -87,9 +88,10 @@ class Tables:
         """Kept reviews once per report week they count for, with ``run_id``."""
         return with_run_id(lookback_windows(self.clustered))
 
-    @property
+    @cached_property
     def run_themes(self) -> DataFrame:
-        return placeholder_themes(theme_stats(self.run_reviews))
+        """A table, as the weekly job has it: one row per run and cluster."""
+        return cut_lineage(placeholder_themes(theme_stats(self.run_reviews)))
 
     @cached_property
     def responses(self) -> DataFrame:
@@ -156,9 +158,15 @@ class Tables:
             )
         )
 
-    @property
+    @cached_property
     def parsed(self) -> DataFrame:
-        return read_report_json(self.responses)
+        return cut_lineage(read_report_json(self.responses))
+
+    @cached_property
+    def chosen(self) -> DataFrame:
+        """The response each run goes on with; quotes are judged by the invented words they start with."""
+        judged = report_quotes(self.parsed).withColumn("passed", ~F.col("text").startswith("zzqx"))
+        return cut_lineage(select_attempt(self.parsed, judged))
 
     @property
     def runs(self) -> DataFrame:

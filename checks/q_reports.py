@@ -77,33 +77,29 @@ def _best(t: Tables) -> DataFrame:
     return matched.select("run_id", "attempt", "pos", "ord", "rating", "source", "review_date")
 
 
-_FAILED_SQL = "SELECT run_id, text FROM v_quotes WHERE text LIKE 'zzqx%'"
+_VERDICTS_SQL = f"(SELECT run_id, text, best_score >= 90 AS passed FROM ({_MATCH_SQL}))"
+
+
+def _verdicts(t: Tables) -> DataFrame:
+    return quotes.match_quotes(_quotes(t), t.clustered, t.run_reviews).select("run_id", "text", "passed")
 
 
 @query(
     "drop_failed_quotes",
-    f"""SELECT run_id, attempt, pos, text, theme_label FROM v_quotes
-        WHERE (run_id, text) NOT IN ({_FAILED_SQL})""",
+    f"SELECT run_id, attempt, pos, text, theme_label FROM v_quotes JOIN {_VERDICTS_SQL} USING (run_id, text) WHERE passed",
 )
 def _drop_failed(t: Tables) -> DataFrame:
-    rows = _quotes(t)
-    return quotes.drop_failed_quotes(rows, rows.where(F.col("text").startswith("zzqx")))
-
-
-# The checks below judge a quote by the invented words it starts with, not by its score, so that
-# they stand on their own.
-def _judged(t: Tables) -> DataFrame:
-    return _quotes(t).withColumn("passed", ~F.col("text").startswith("zzqx"))
+    return quotes.drop_failed_quotes(_quotes(t), _verdicts(t).where("NOT passed"))
 
 
 @query(
     "quote_totals",
-    """SELECT run_id, attempt, count(*) AS total_quotes, count(*) FILTER (text NOT LIKE 'zzqx%') AS passed_quotes,
-              count(*) FILTER (text LIKE 'zzqx%') AS failed_quotes, bool_and(text NOT LIKE 'zzqx%') AS valid
-       FROM v_quotes GROUP BY run_id, attempt""",
+    f"""SELECT run_id, attempt, count(*) AS total_quotes, count(*) FILTER (passed) AS passed_quotes,
+              count(*) FILTER (NOT passed) AS failed_quotes, bool_and(passed) AS valid
+       FROM v_quotes JOIN {_VERDICTS_SQL} USING (run_id, text) GROUP BY run_id, attempt""",
 )
 def _totals(t: Tables) -> DataFrame:
-    return quotes.quote_totals(_judged(t), ("run_id", "attempt"))
+    return quotes.quote_totals(_quotes(t).join(_verdicts(t), ["run_id", "text"]), ("run_id", "attempt"))
 
 
 _CHOSEN_SQL = """
@@ -117,7 +113,7 @@ _CHOSEN_SQL = """
 
 
 def _chosen(t: Tables) -> DataFrame:
-    return quotes.select_attempt(t.parsed, _judged(t))
+    return t.chosen
 
 
 @query(

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks.adapter import MEAN_RATING_SQL, Tables
 from checks.registry import query
 from themeloom.operators import dedup, sampling, windows
-from themeloom.schema import APP_STORE_RAW, GOOGLE_PLAY_RAW
+from themeloom.session import checkpoint_folder
 from themeloom.sources import stores
 
 _START, _END = "2024-01-08", "2024-03-17"
@@ -51,47 +53,44 @@ _LANDED_SQL = """SELECT doc_id, text, CAST(1 + n_chars % 5 AS INTEGER) AS rating
 _ID_SQL = r"""substr(sha256(lower(regexp_replace(regexp_replace(text, '^\s+', ''), '\s+$', '')) || '|' || rating || '|' || review_date), 1, 16)"""
 
 
+def _land(t: Tables, *fields: str, **more: str) -> str:
+    """Write the records as JSON lines in one folder per product, as fetchers leave them; the folder's path."""
+    path = f"{checkpoint_folder(t.spark)}/landing-{uuid.uuid4().hex}"
+    lines = _raw_json(t, *fields, **more).join(t.table("documents").select("doc_id", F.col("source").alias("product")), "doc_id")
+    lines.select("product", F.col("line").alias("value")).write.partitionBy("product").text(path)
+    return path
+
+
 @query(
     "read_google_play",
-    f"""SELECT doc_id, {_ID_SQL} AS review_id, 'google_play' AS source, text, rating, review_date,
-               lang AS author, origin AS app_version FROM ({_LANDED_SQL})""",
+    f"""SELECT origin AS product, {_ID_SQL} AS review_id, 'google_play' AS source, text, rating, review_date,
+               CAST(doc_id AS VARCHAR) AS author, lang AS app_version FROM ({_LANDED_SQL})""",
 )
 def _google(t: Tables) -> DataFrame:
-    lines = _raw_json(t, "content", "at", "score", userName="lang", reviewCreatedVersion="source")
-    raw = lines.select("doc_id", F.from_json("line", GOOGLE_PLAY_RAW).alias("r")).select("doc_id", "r.*")
-    rows = stores.normalize_google_play(raw, keep=("doc_id",))
-    return rows.drop("title", "fetched_at", "ord")
+    path = _land(t, "content", "at", "score", userName="doc_id", reviewCreatedVersion="lang")
+    return stores.read_google_play(t.spark, path).drop("title", "fetched_at", "ord")
 
 
 @query(
     "read_app_store",
-    f"""SELECT doc_id, {_ID_SQL} AS review_id, 'app_store' AS source, text, rating, review_date,
-               lang AS title, origin AS author FROM ({_LANDED_SQL})""",
+    f"""SELECT origin AS product, {_ID_SQL} AS review_id, 'app_store' AS source, text, rating, review_date,
+               lang AS title, CAST(doc_id AS VARCHAR) AS author FROM ({_LANDED_SQL})""",
 )
 def _app_store(t: Tables) -> DataFrame:
-    lines = _raw_json(t, "review", "date", "rating", title="lang", userName="source")
-    raw = lines.select("doc_id", F.from_json("line", APP_STORE_RAW).alias("r")).select("doc_id", "r.*")
-    rows = stores.normalize_app_store(raw, keep=("doc_id",))
-    return rows.drop("app_version", "fetched_at", "ord")
+    path = _land(t, "review", "date", "rating", title="lang", userName="doc_id")
+    return stores.read_app_store(t.spark, path).drop("app_version", "fetched_at", "ord")
 
 
 @query(
     "read_reviews",
-    f"""SELECT s.source, count(*) AS n, count(DISTINCT {_ID_SQL}) AS ids, CAST(sum(length(text)) AS BIGINT) AS chars
-        FROM ({_LANDED_SQL}), (VALUES ('google_play'), ('app_store')) AS s(source) GROUP BY s.source""",
+    f"""SELECT s.source, origin AS product, {_ID_SQL} AS review_id, text, rating, review_date, CAST(doc_id AS VARCHAR) AS author
+        FROM ({_LANDED_SQL}), (VALUES ('google_play'), ('app_store')) AS s(source)""",
 )
 def _read_reviews(t: Tables) -> DataFrame:
-    google = _raw_json(t, "content", "at", "score").select(F.from_json("line", GOOGLE_PLAY_RAW).alias("r"))
-    apple = _raw_json(t, "review", "date", "rating").select(F.from_json("line", APP_STORE_RAW).alias("r"))
-    both = stores.union_sources(
-        stores.normalize_google_play(google.select("r.*")),
-        stores.normalize_app_store(apple.select("r.*")),
-    )
-    return both.groupBy("source").agg(
-        F.count("*").alias("n"),
-        F.countDistinct("review_id").alias("ids"),
-        F.sum(F.length("text")).alias("chars"),
-    )
+    google = _land(t, "content", "at", "score", userName="doc_id")
+    apple = _land(t, "review", "date", "rating", userName="doc_id")
+    rows = stores.read_reviews(t.spark, google, apple)
+    return rows.select("source", "product", "review_id", "text", "rating", "review_date", "author")
 
 
 @query(

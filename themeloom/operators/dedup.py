@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from themeloom.functions.text import clean_text, dedup_key
 from themeloom.operators.filters import long_enough
 from themeloom.schema import MIN_TEXT_LENGTH
+from themeloom.session import cut_lineage
 
 
 def clean_reviews(reviews: DataFrame) -> DataFrame:
@@ -54,9 +55,10 @@ def drop_reason(
     """Label every row ``short``, ``out_of_window``, ``duplicate`` or ``kept``; first hit wins.
 
     Survivors are found by a partial minimum per fingerprint and joined back on the unique order
-    key, so no task ever holds all copies of one text.
+    key, so no task ever holds all copies of one text. The cleaned rows are written first: source and
+    cleaning are passed once, and survivors are found from three narrow columns of the table.
     """
-    rows = cleaned.withColumn("_rejected", _rejection(start, end, minimum))
+    rows = cut_lineage(cleaned.withColumn("_rejected", _rejection(start, end, minimum)))
     survivors = (
         rows.groupBy(*group_cols, "dedup_key")
         .agg(F.min(F.when(F.col("_rejected").isNull(), F.col("ord"))).alias("ord"))
