@@ -3,11 +3,12 @@
 import base64
 import hashlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from themeloom.llm import lsh_search, url_rules, warc
+from themeloom.llm import lsh_search, queries, url_rules, warc
 
 
 def archive(spark, tmp_path, rows, **options):
@@ -100,6 +101,37 @@ def test_blocks_reach_aliases_and_allow_goes_first(spark):
     assert judged(spark, []).count() == 0
 
 
+PAGE = "http://a.com/dir/page?x=1#f"
+
+
+@pytest.mark.parametrize(
+    "target, base, want",
+    [
+        ("https://b.org/", PAGE, "https://b.org/"), ("//b.org/x", PAGE, "http://b.org/x"), ("/new", PAGE, "http://a.com/new"), ("page2", PAGE, "http://a.com/dir/page2"),
+        ("?y=2", PAGE, "http://a.com/dir/page?y=2"), ("#top", PAGE, None), ("mailto:x@b.org", PAGE, None), ("", PAGE, None), ("n", "http://a.com", "http://a.com/n"),
+        ("n", "http://a.com?q", "http://a.com/n"), ("/n", "no scheme", None), ("/n", None, None), ("a?b=1&amp;c=2", PAGE, "http://a.com/dir/a?b=1&c=2"), ("http://b.org/?a&amp;b", None, "http://b.org/?a&b"),
+    ],
+)
+def test_targets_are_resolved(spark, target, base, want):
+    row = spark.createDataFrame([(target, base)], "t string, b string").select(url_rules.resolved(F.col("t"), F.col("b"))).first()
+    assert row[0] == want
+
+
+def test_blocks_reach_relative_aliases_and_sql_agrees(spark, tmp_path):
+    rows = [
+        (1, "http://example.org/es/1", '<link rel="canonical" href="/plain">'), (2, "http://example.org/plain", None), (3, "http://example.org/other", "<META http-equiv=refresh content='0; url=plain'>"),
+        (4, "http://example.org/far", '<link href="//b.com/de/x" rel=canonical>'), (5, "http://q.net/a/b", '<link rel="canonical" href="c?d=1&amp;e=2">'), (6, "http://q.net/a/c?d=1&e=2", "<meta http-equiv='refresh' content='1;url=http://b.com/de/'>"),
+        (7, None, '<link rel="canonical" href="/x">'), (8, "http://q.net/lone", "<link rel=canonical href=#here>"),
+    ]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    frame.coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    found = {row["page_id"]: row["verdict"] for row in queries.redirect_equivalence(spark, str(tmp_path)).collect()}
+    assert {key for key, verdict in found.items() if verdict == "block"} == {1, 5, 6}
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert {row[0]: row[-1] for row in duck.execute(queries.URL_SQL).fetchall()} == found
+
+
 def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<double>, dim string")
 

@@ -104,19 +104,25 @@ def mcd_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 _SQL_RULES = ", ".join(f"('{host}', '{path}', '{action}')" for host, path, action in URL_RULES)
 URL_SQL = rf"""
-WITH RECURSIVE p AS (SELECT page_id, url, html, lower(ascii_host) AS host, path FROM (
+WITH RECURSIVE c AS (SELECT url AS a, regexp_extract(unnest(regexp_extract_all(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>')), '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS t FROM pages
+  UNION ALL SELECT url, regexp_extract(unnest(regexp_extract_all(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>')), '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1) FROM pages),
+g AS (SELECT a, replace(t, '&amp;', '&') AS t, regexp_extract(a, '^([^:/?#]+://[^/?#]*)', 1, 's') AS site, regexp_extract(a, '^([^?#]*)', 1, 's') AS page FROM c WHERE a IS NOT NULL),
+e AS (SELECT DISTINCT a, CASE WHEN contains(t, '://') THEN t
+  WHEN t = '' OR starts_with(t, '#') OR regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') OR site = '' THEN NULL
+  WHEN starts_with(t, '//') THEN split_part(a, '://', 1) || ':' || t WHEN starts_with(t, '/') THEN site || t WHEN starts_with(t, '?') THEN page || t
+  ELSE site || CASE WHEN contains(substr(page, length(site) + 1), '/') THEN regexp_extract(substr(page, length(site) + 1), '^(.*/)', 1, 's') ELSE '/' END || t END AS b FROM g),
+p AS (SELECT url, lower(ascii_host) AS host, path FROM (
     SELECT *, CASE WHEN contains(url, '://') THEN regexp_extract(substr(url, instr(url, '://') + 3), '^([^/?#]*)', 1, 's') ELSE '' END AS ascii_host,
-      CASE WHEN contains(url, '://') THEN regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*([^?#]*)', 1, 's') ELSE '' END AS path FROM pages)),
+      CASE WHEN contains(url, '://') THEN regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*([^?#]*)', 1, 's') ELSE '' END AS path
+    FROM (SELECT url FROM pages UNION SELECT b FROM e WHERE b IS NOT NULL))),
 r AS (SELECT * FROM (VALUES {_SQL_RULES}) v(rhost, rpath, action)),
 m AS (SELECT url, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(action, length(rhost || rpath)) AS action
       FROM p JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY url),
-c AS (SELECT url AS a, unnest(regexp_extract_all(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>')) AS t FROM pages),
-e AS (SELECT DISTINCT a, regexp_extract(t, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS b FROM c WHERE a IS NOT NULL),
-b AS (SELECT DISTINCT a, b FROM (SELECT a, b FROM e WHERE contains(b, '://') UNION ALL SELECT b, a FROM e WHERE contains(b, '://'))),
+b AS (SELECT DISTINCT a, b FROM (SELECT a, b FROM e WHERE b IS NOT NULL UNION ALL SELECT b, a FROM e WHERE b IS NOT NULL)),
 n AS (SELECT a AS url, a AS other FROM b UNION SELECT n.url, b.b FROM n JOIN b ON n.other = b.a),
 s AS (SELECT n.url, bool_or(m.action = 'allow') AS allowed FROM n JOIN m ON n.other = m.url GROUP BY n.url)
-SELECT p.page_id, p.host, p.path, m.rule, CASE WHEN m.action IS NOT NULL THEN m.action WHEN s.allowed = false THEN 'block' ELSE 'allow' END AS verdict
-FROM p LEFT JOIN m ON p.url = m.url LEFT JOIN s ON p.url = s.url
+SELECT d.page_id, coalesce(p.host, '') AS host, coalesce(p.path, '') AS path, m.rule, CASE WHEN m.action IS NOT NULL THEN m.action WHEN s.allowed = false THEN 'block' ELSE 'allow' END AS verdict
+FROM pages d LEFT JOIN p ON d.url = p.url LEFT JOIN m ON d.url = m.url LEFT JOIN s ON d.url = s.url
 """
 
 

@@ -45,16 +45,40 @@ def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return met.groupBy("host", "path").agg(best.alias("best")).select("host", "path", "best.*")
 
 
+def resolved(target: Column, base: Column) -> Column:
+    """The absolute URL that ``target`` means in a page at ``base``; null for fragments, other schemes and without a base.
+
+    ``&amp;`` is read as ``&``. A target without a host is taken against the base's scheme, host or folder; dot
+    segments stay as written.
+    """
+    target = F.replace(target, F.lit("&amp;"), F.lit("&"))
+    site = F.regexp_extract(base, r"(?s)^([^:/?#]+://[^/?#]*)", 1)
+    page = F.regexp_extract(base, r"(?s)^([^?#]*)", 1)
+    folder = F.concat(site, F.regexp_extract(F.substr(page, F.length(site) + 1), r"(?s)^(.*/|)", 1))
+    folder = F.when(folder == site, F.concat(site, F.lit("/"))).otherwise(folder)
+    within = (
+        F.when(F.startswith(target, F.lit("//")), F.concat(F.substring_index(base, "://", 1), F.lit(":"), target))
+        .when(F.startswith(target, F.lit("/")), F.concat(site, target))
+        .when(F.startswith(target, F.lit("?")), F.concat(page, target))
+        .otherwise(F.concat(folder, target))
+    )
+    return (
+        F.when(F.contains(target, F.lit("://")), target)
+        .when((target == "") | F.startswith(target, F.lit("#")) | F.regexp_like(target, F.lit(r"^[A-Za-z][A-Za-z0-9+.-]*:")), F.lit(None))
+        .when(site != "", within)
+    )
+
+
 def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(a, b): a page's URL and the absolute URL it redirects to (meta refresh) or names as canonical."""
+    """(a, b): a page's URL and the URL it redirects to (meta refresh) or names as canonical, relative ones resolved."""
     tag = lambda name: rf"(?is)<{name}\b[^>]*>"
     links = F.filter(F.regexp_extract_all(html, F.lit(tag("link")), F.lit(0)), lambda t: F.regexp_like(t, F.lit(r"""(?is)\brel\s*=\s*["']?canonical\b""")))
     metas = F.filter(F.regexp_extract_all(html, F.lit(tag("meta")), F.lit(0)), lambda t: F.regexp_like(t, F.lit(r"""(?is)\bhttp-equiv\s*=\s*["']?refresh\b""")))
     canonical = F.transform(links, lambda t: F.regexp_extract(t, r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)""", 1))
     redirect = F.transform(metas, lambda t: F.regexp_extract(t, r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)""", 1))
     likely = pages.filter(F.regexp_like(html, F.lit("(?i)canonical|refresh")))
-    found = likely.select(F.col(url).alias("a"), F.explode(F.concat(canonical, redirect)).alias("b"))
-    return found.filter(F.col("a").isNotNull() & F.contains(F.col("b"), F.lit("://")))
+    found = likely.select(F.col(url).alias("a"), F.explode(F.concat(canonical, redirect)).alias("_target"))
+    return found.select("a", resolved(F.col("_target"), F.col("a")).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
 
 
 def judge(pages: DataFrame, rules: DataFrame, edges: DataFrame, url: str = "url") -> DataFrame:
