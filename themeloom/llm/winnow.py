@@ -84,13 +84,18 @@ def _numbers(scalar) -> np.ndarray:
     return scalar.values.to_numpy(zero_copy_only=False) if scalar.is_valid else np.array([], dtype=np.int32)
 
 
+def _pairs(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Hashes of two units in a row."""
+    wide = lambda hashes: hashes.view(np.uint32).astype(np.uint64)
+    return mixed(mixed(wide(one) + np.uint64(1)) * np.uint64(3) + wide(two))
+
+
 def _selected(hashes: np.ndarray, sizes: np.ndarray, words: int, ends_of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Begin and end of every window, the place of its least hash of two units, the last of equal ones, and these hashes.
 
     ``ends_of`` are the ends of consecutive documents, which windows don't cross; without it there is one.
     """
-    wide = hashes.view(np.uint32).astype(np.uint64)
-    pairs = mixed(mixed(wide[:-1] + np.uint64(1)) * np.uint64(3) + wide[1:])
+    pairs = _pairs(hashes[:-1], hashes[1:])
     total = np.r_[0, np.cumsum(sizes, dtype=np.int64)]
     ends = np.searchsorted(total, total[:-1] + words)
     last = np.full(len(hashes), len(hashes)) if ends_of is None else np.repeat(ends_of, np.diff(np.r_[0, ends_of]))
@@ -177,7 +182,7 @@ def _matches(lines: DataFrame, found: DataFrame, words: int) -> DataFrame:
     same = F.col("key").eqNullSafe(F.col("holder.key")) & (F.col("body") == F.col("holder.body"))
     met = found.join(holders, "least").filter(~(same & (F.col("at") == F.col("holder.at"))))
     pairs = met.groupBy("key", "body", F.col("holder.key").alias("hkey"), F.col("holder.body").alias("hbody")).agg(
-        F.collect_set(F.struct("at", F.col("holder.at").alias("held"), "least")).alias("spans")
+        F.collect_set(F.struct("at", F.col("holder.at").alias("held"))).alias("spans")
     )  # at most one entry for each position of one document
     pairs = _of_same(pairs, lines.select("key", "body", F.col("hashes").alias("own"), "sizes"))
     pairs = _of_same(pairs, lines.select("key", "body", F.col("hashes").alias("theirs")), "hkey", "hbody")
@@ -186,16 +191,30 @@ def _matches(lines: DataFrame, found: DataFrame, words: int) -> DataFrame:
     @F.arrow_udf("struct<units: array<int>, failed: array<long>>")
     def extended(own: pa.Array, sizes: pa.Array, theirs: pa.Array, spans: pa.Array, itself: pa.Array) -> pa.Array:
         units, failed = [], []
-        for a, n, b, span, alone in zip(own, sizes, theirs, spans, itself):
-            at, held, least = (span.values.field(name).to_numpy(zero_copy_only=False) for name in ("at", "held", "least"))
-            gone, short = _extend(_numbers(a), _numbers(n), _numbers(b), at, held, alone.as_py(), words)
-            units.append(gone)
-            failed.append(np.unique(least[short]))
-        return pa.StructArray.from_arrays([pa.array(units, pa.list_(pa.int32())), pa.array(failed, pa.list_(pa.int64()))], ["units", "failed"])
+        places = spans.flatten()
+        at, held = (_parts(spans, places.field(name)) for name in ("at", "held"))
+        for a, n, b, here, there, alone in zip(_parts(own), _parts(sizes), _parts(theirs), at, held, itself.to_pylist()):
+            gone, short = _extend(a, n, b, here, there, alone, words)
+            short = here[short]
+            units.append(gone.astype(np.int32))
+            failed.append(_pairs(a[short], a[np.minimum(short + 1, len(a) - 1)]).view(np.int64))
+        return pa.StructArray.from_arrays([_lists(units, np.int32), _lists(failed, np.int64)], ["units", "failed"])
 
     return pairs.select("key", "body", extended("own", "sizes", "theirs", "spans", "itself").alias("_")).select("key", "body", "_.units", "_.failed")
 
 
+def _parts(lists: pa.Array, values: pa.Array | None = None) -> list[np.ndarray]:
+    """The lists as arrays, without a copy."""
+    flat = (lists.flatten() if values is None else values).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)).tolist()
+    return [flat[begin:end] for begin, end in zip([0, *ends], ends)]
+
+
+def _lists(arrays: list[np.ndarray], kind: type) -> pa.Array:
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, kind), *arrays])))
+
+
 def _agree(own: np.ndarray, theirs: np.ndarray) -> int:
     """How many units agree from the beginning on; looks at little more than those."""
     n, at, step = min(len(own), len(theirs)), 0, 16
