@@ -21,6 +21,7 @@ from themeloom.operators.quotes import drop_failed_quotes
 from themeloom.operators.sampling import cluster_context, prompt_ordinal
 from themeloom.operators.themes import quote_cluster, report_quote_rows, top_actions, top_themes
 from themeloom.schema import CONFIG_DEFAULTS, WINDOW_WEEKS
+from themeloom.session import cut_lineage
 
 
 def joined_lines(rows: DataFrame, order: tuple[str, ...], line: Column, name: str) -> DataFrame:
@@ -107,6 +108,7 @@ def prompt_pack(runs: DataFrame, themes: DataFrame, sampled: DataFrame) -> DataF
     ``runs``: ``run_id, display_name, iso_week, week_start, week_end, window_start, window_end``
     and the three limits of the product's settings.
     """
+    sampled = cut_lineage(sampled)  # met three times
     sizes = sampled.groupBy("run_id").agg(F.count("*").alias("total_reviews"))
     clusters = themes.groupBy("run_id").agg(F.count("*").alias("num_clusters"))
     parts = {"total_reviews": F.lit(0), "num_clusters": F.lit(0), "cluster_summaries": F.lit(""), "review_texts": F.lit("")}
