@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from checks.adapter import with_run_id
+from checks.adapter import Tables, with_run_id
 from themeloom.functions.pii import PATTERNS, REDACTED, pii_matches, scrub_pii
 from themeloom.functions.text import WHITESPACE, collapse_whitespace, strip_space
 from themeloom.operators import clustering, sampling, vectors
@@ -51,6 +51,18 @@ def test_prompt_sample_is_shortened_before_it_moves(reviews):
         assert r["ord"] == 20 and r["text"] == "w0x w0 w0..."
 
 
+def test_longest_reviews_are_ranked_by_their_first_words(spark, reviews):
+    long = reviews.withColumn("text", F.concat_ws(" ", "review_id", F.repeat(F.lit("w "), F.col("rating") * 9), "text"))
+    tables = Tables(spark, "")
+    tables.__dict__["clustered"] = long  # instead of the given tables
+    plain = with_run_id(lookback_windows(long)).groupBy("run_id", "week_start", "cluster_id")
+    plain = plain.agg(F.min_by("text", F.struct(-F.length("text"), "ord")).alias("text")).withColumn("text", F.substring_index("text", " ", 13))
+    assert sorted(map(str, tables.longest.collect())) == sorted(map(str, plain.collect()))
+    plan = plan_of(tables.longest)
+    lowest = max(plan.index("Window"), plan.rindex("Aggregate"))  # what sorts rows for either meets no whole text
+    assert lowest < plan.index("substring_index(text") and "Aggregate" not in plan[plan.index("substring_index(text") :]
+
+
 def test_groups_settle_alike_in_one_task_and_over_blocks(spark):
     rng = np.random.default_rng(9)
     x = rng.normal(size=(300, 3)) + (np.arange(300) % 4)[:, None] * 6
