@@ -27,8 +27,10 @@ from themeloom.llm.common import mixed, runs_hash, text_pieces, word_hashes, wri
 SEED = 42
 #: A line is cut after the least word hash of every so many consecutive words; no part is longer than this.
 SPAN = 8
-#: Windows hashed at once.
+#: Windows hashed at once, units compared at once.
 SLICE = 1 << 17
+#: Units up to which a pair's are compared over all its shifts, how far is walked otherwise, and what a pair may still compare then.
+FEW, FAR, HEAVY = 1 << 12, 48, 1 << 22
 #: Words of a passage inside longer lines that whole units lack at its two ends together: as a rule, and at most.
 LOST, MOST_LOST = SPAN + 5, 4 * SPAN - 3
 
@@ -190,29 +192,103 @@ def _matches(lines: DataFrame, found: DataFrame, words: int) -> DataFrame:
 
     @F.arrow_udf("struct<units: array<int>, failed: array<long>>")
     def extended(own: pa.Array, sizes: pa.Array, theirs: pa.Array, spans: pa.Array, itself: pa.Array) -> pa.Array:
-        units, failed = [], []
-        places = spans.flatten()
-        at, held = (_parts(spans, places.field(name)) for name in ("at", "held"))
-        for a, n, b, here, there, alone in zip(_parts(own), _parts(sizes), _parts(theirs), at, held, itself.to_pylist()):
-            gone, short = _extend(a, n, b, here, there, alone, words)
-            short = here[short]
-            units.append(gone.astype(np.int32))
-            failed.append(_pairs(a[short], a[np.minimum(short + 1, len(a) - 1)]).view(np.int64))
-        return pa.StructArray.from_arrays([_lists(units, np.int32), _lists(failed, np.int64)], ["units", "failed"])
+        (a, ends), (n, _), (b, stops), (places, last) = map(_flattened, (own, sizes, theirs, spans))
+        at, held = (places.field(name).to_numpy(zero_copy_only=False).astype(np.int64) for name in ("at", "held"))
+        alone = itself.to_numpy(zero_copy_only=False)
+        gone, short = _extend_all(_values(a), ends, _values(n), _values(b), stops, at, held, last, alone, words)
+        units, number = np.flatnonzero(gone), np.flatnonzero(short)
+        first = ends[np.searchsorted(last, number, side="right") - 1]
+        following = np.minimum(at[number] + 1, np.diff(ends)[np.searchsorted(last, number, side="right") - 1] - 1)
+        hashes = _pairs(_values(a)[first + at[number]], _values(a)[first + following]).view(np.int64)
+        units -= ends[np.searchsorted(ends, units, side="right") - 1]
+        lists = [_lists(units.astype(np.int32), gone, ends), _lists(hashes, short, last)]
+        return pa.StructArray.from_arrays(lists, ["units", "failed"])
 
     return pairs.select("key", "body", extended("own", "sizes", "theirs", "spans", "itself").alias("_")).select("key", "body", "_.units", "_.failed")
 
 
-def _parts(lists: pa.Array, values: pa.Array | None = None) -> list[np.ndarray]:
-    """The lists as arrays, without a copy."""
-    flat = (lists.flatten() if values is None else values).to_numpy(zero_copy_only=False)
-    ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)).tolist()
-    return [flat[begin:end] for begin, end in zip([0, *ends], ends)]
+def _flattened(lists: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The values of all lists in a row, and where each list begins; the last ends at one more place."""
+    return lists.flatten(), np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))].astype(np.int64)
 
 
-def _lists(arrays: list[np.ndarray], kind: type) -> pa.Array:
-    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, kind), *arrays])))
+def _values(values: pa.Array) -> np.ndarray:
+    return values.to_numpy(zero_copy_only=False)
+
+
+def _lists(values: np.ndarray, taken: np.ndarray, begins: np.ndarray) -> pa.Array:
+    """``values``, one for each place that is ``taken``, as lists of the places from each begin on."""
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(taken)][begins].astype(np.int32)), pa.array(values))
+
+
+def _extend_all(
+    own: np.ndarray, ends: np.ndarray, sizes: np.ndarray, theirs: np.ndarray, stops: np.ndarray,
+    at: np.ndarray, held: np.ndarray, last: np.ndarray, alone: np.ndarray, words: int,
+) -> tuple[np.ndarray, np.ndarray]:
+    """``_extend`` for many pairs at once: marks of the units of ``own`` in matches and of the positions in none.
+
+    Pair i has the units of ``own`` from ``ends[i]`` on, of ``theirs`` from ``stops[i]`` on and the positions from
+    ``last[i]`` on. Where a pair has few units to compare, all of a shift are compared. Where it has many, as its
+    positions have many shifts, each position is walked from, and all units are compared of the shifts whose runs
+    go on after that. If these are too many again, the pair goes by itself.
+    """
+    gone, short = np.zeros(len(own), dtype=bool), np.zeros(len(at), dtype=bool)
+    if not len(at):
+        return gone, short
+    pair, shift = np.repeat(np.arange(len(last) - 1), np.diff(last)), at - held
+    key, group = np.unique(pair << 33 | (shift + (1 << 32)), return_inverse=True)
+    of, by = key >> 33, (key & ((1 << 33) - 1)) - (1 << 32)
+    low = np.maximum(by, 0)
+    count = np.minimum(np.diff(ends)[of], np.diff(stops)[of] + by) - low
+    left, right = at.copy(), at.copy()
+    whole = ~(np.bincount(of, count, len(last) - 1) > FEW)[of]  # shifts of which all units are compared
+    walked = np.flatnonzero(~whole[group])
+    here, there, mine = at[walked], held[walked], pair[walked]
+    after, on = _walk(own, theirs, ends[mine] + here, stops[mine] + there, np.minimum(np.diff(ends)[mine] - here, np.diff(stops)[mine] - there), 1)
+    before, back = _walk(own, theirs, ends[mine] + here - 1, stops[mine] + there - 1, np.minimum(here, there), -1)
+    left[walked], right[walked] = here - before, here + after
+    whole[group[walked[np.r_[on, back]]]] = True
+    heavy = np.bincount(of[whole], count[whole], len(last) - 1) > HEAVY
+    for i in np.flatnonzero(heavy).tolist():
+        units, places = slice(ends[i], ends[i + 1]), slice(last[i], last[i + 1])
+        found, short[places] = _extend(own[units], sizes[units], theirs[stops[i] : stops[i + 1]], at[places], held[places], bool(alone[i]), words)
+        gone[ends[i] + found] = True
+    whole &= ~heavy[of]
+    order = np.argsort(group, kind="stable")
+    first = np.r_[np.searchsorted(group[order], np.arange(len(key))), len(order)]
+    chosen = np.flatnonzero(whole)
+    for part in np.split(chosen, np.flatnonzero(np.diff(np.cumsum(count[chosen]) // SLICE)) + 1) if len(chosen) else []:
+        n = count[part]
+        begin = np.cumsum(n) - n
+        place = np.arange(int(n.sum()))
+        breaks = np.flatnonzero(own[place + np.repeat(ends[of[part]] + low[part] - begin, n)] != theirs[place + np.repeat(stops[of[part]] + low[part] - by[part] - begin, n)])
+        number = order[first[part[0]] : first[part[-1] + 1]]
+        number = number[whole[group[number]]]
+        g = np.searchsorted(part, group[number])
+        moved = begin[g] - low[part][g]
+        run = np.searchsorted(breaks, at[number] + moved)
+        left[number] = np.maximum(np.r_[0, breaks + 1][run], begin[g]) - moved
+        right[number] = np.minimum(np.r_[breaks, len(place)][run], begin[g] + n[g]) - moved
+    right = np.where(alone[pair], np.minimum(right, np.maximum(left + shift, at)), right)
+    base, total = ends[pair], np.r_[0, np.cumsum(sizes, dtype=np.int64)]
+    light = ~heavy[pair]
+    enough = light & (total[base + right] - total[base + left] >= words)
+    edges = [np.bincount((base + edge)[enough], minlength=len(own) + 1) for edge in (left, right)]
+    gone |= np.cumsum(edges[0] - edges[1])[:-1] > 0
+    short[light] = ~enough[light] & ~gone[(base + at)[light]]
+    return gone, short
+
+
+def _walk(own: np.ndarray, theirs: np.ndarray, at: np.ndarray, held: np.ndarray, room: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many units agree from each of the places on, and the numbers of the places where more than ``FAR`` do."""
+    n, open_ = np.zeros(len(at), dtype=np.int64), np.flatnonzero(room > 0)
+    for far in range(FAR):
+        open_ = open_[own[at[open_] + step * far] == theirs[held[open_] + step * far]]
+        n[open_] += 1
+        open_ = open_[room[open_] > far + 1]
+        if not len(open_):
+            break
+    return n, open_
 
 
 def _agree(own: np.ndarray, theirs: np.ndarray) -> int:
