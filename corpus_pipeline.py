@@ -16,8 +16,14 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 SIMHASH_WORDS, SIMHASH_BITS = 3, 3
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Texts go to Python by 8 MB: a batch lies in the JVM's buffers and, twice, in each of an executor's workers."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and are no outliers of their language and source."""
+    short_batches(spark)
     counted = outliers.with_counts(docs.select(*COLUMNS))
     table = written(counted.drop("text"))
     return outliers.judge(counted, table).filter("kept").select(*COLUMNS)
@@ -25,6 +31,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Runs of 50 words or more that an earlier document holds are cut out; what loses all its lines goes."""
+    short_batches(spark)
     clean = winnow.dedup_lines(docs.select(*COLUMNS))
     left = clean.filter((F.col("n_deleted") == 0) | (F.col("n_deleted") < F.col("n_lines")))
     length = F.when(F.col("n_deleted") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))

@@ -1,12 +1,33 @@
 """What Python workers hold of the texts is bounded, and what is done for many pairs at once is done as for one."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+import corpus_pipeline
 from themeloom.llm import winnow
 from themeloom.llm.common import mixed, runs_hash, word_hashes
 
 
+@pytest.mark.parametrize("stage", ["quality", "line_dedup"])
+def test_stages_pass_texts_on_in_short_batches(spark, stage):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        rows = [(i, f"a{i} b", "en", "s", 5) for i in range(30)]
+        dict(corpus_pipeline.STAGES)[stage](spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "")
+
+        @F.arrow_udf("long")
+        def held(texts: pa.Array) -> pa.Array:
+            return pa.array([texts.nbytes] * len(texts), pa.int64())
+
+        long = spark.range(40, numPartitions=1).select(F.repeat(F.lit("w "), 1 << 18).alias("text"))
+        assert long.agg(F.max(held("text"))).first()[0] < 10 << 20
+    finally:
+        spark.conf.set(name, before)
+
+
 @pytest.mark.parametrize("few,far,heavy", [(winnow.FEW, winnow.FAR, winnow.HEAVY), (0, 2, 1 << 22), (0, 3, 40), (1 << 30, 1, 1 << 30), (0, 1 << 20, 0)])
 def test_many_pairs_are_extended_as_one(monkeypatch, few, far, heavy):
     for name, value in (("FEW", few), ("FAR", far), ("HEAVY", heavy)):
