@@ -18,45 +18,65 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from themeloom.llm.common import mixed, runs_hash, text_pieces, word_hashes, written
 
-SEED = 42
 #: A line is cut after the least word hash of every so many consecutive words; no part is longer than this.
 SPAN = 8
 #: Windows hashed at once, units compared at once.
 SLICE = 1 << 17
-#: Units up to which a pair's are compared over all its shifts, how far is walked otherwise, and what a pair may still compare then.
-FEW, FAR, HEAVY = 1 << 12, 48, 1 << 22
+#: Units up to which a pair's are compared over all its shifts, how far is walked otherwise, and what a pair's long runs may hold then.
+FEW, FAR, HEAVY = 1 << 6, 48, 1 << 22
 #: Words of a passage inside longer lines that whole units lack at its two ends together: as a rule, and at most.
 LOST, MOST_LOST = SPAN + 5, 4 * SPAN - 3
 
 
-def units_of(raw: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row, first byte, hash and number of words of every unit of consecutive texts of ``sizes`` bytes."""
+def _cuts(raw: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first byte and hash of every word of consecutive texts of ``sizes`` bytes, and the words that begin a unit."""
     row, begin, _, value = word_hashes(raw, sizes)
     n = len(row)
     if not n:
         return row, begin, value, row
-    line = np.cumsum(raw == 10)[begin] + row * (len(raw) + 1)  # rows are parted too
-    full = np.flatnonzero(line[SPAN - 1 :] == line[: n - SPAN + 1]) if n >= SPAN else np.empty(0, dtype=np.int64)
-    least = full
-    for step in range(1, SPAN):
-        least = np.where(value[full + step] <= value[least], full + step, least)
-    cut = np.r_[True, line[1:] != line[:-1], True]
-    cut[least + 1] = True
-    cut = cut[:n]
-    first = np.flatnonzero(cut)
-    return row[first], begin[first], runs_hash(value, first, np.arange(n) - np.repeat(first, np.diff(np.r_[first, n]))), np.diff(np.r_[first, n])
+    cut = np.zeros(n + 1, dtype=bool)
+    cut[0] = True
+    cut[np.searchsorted(begin, np.r_[np.flatnonzero(raw == 10), np.cumsum(sizes)])] = True  # rows are parted as lines are
+    if n >= SPAN:
+        line = np.cumsum(cut[:n])
+        least, _ = _last_least(value, SPAN)
+        cut[least[line[SPAN - 1 :] == line[: n - SPAN + 1]] + 1] = True
+    return row, begin, value, np.flatnonzero(cut[:n])
+
+
+def _last_least(values: np.ndarray, width: int, places: np.ndarray | None = None, known: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """The place of the least of every ``width`` consecutive values, the last of equal ones, and the value there.
+
+    ``values`` and ``places`` may be those of ``known`` consecutive values already.
+    """
+    places = np.arange(len(values)) if places is None else places
+    while known < width:
+        step = min(known, width - known)
+        later = values[step:] <= values[:-step]
+        values, places = np.where(later, values[step:], values[:-step]), np.where(later, places[step:], places[:-step])
+        known += step
+    return places, values
+
+
+def units_of(raw: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first byte, hash and number of words of every unit of consecutive texts of ``sizes`` bytes."""
+    row, begin, value, first = _cuts(raw, sizes)
+    if not len(row):
+        return row, begin, value, row
+    words = np.diff(np.r_[first, len(row)])
+    return row[first], begin[first], runs_hash(value, first, np.arange(len(row)) - np.repeat(first, words)), words
 
 
 def line_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, body, hashes, sizes): per document a hash of its text, and of each unit a hash and its number of words.
 
-    Lines are parted by ``\\n``; white space parts words and counts for nothing else.
+    Lines are parted by ``\\n``; white space parts words and counts for nothing else. ``hashes`` and ``sizes`` are
+    binary, four bytes and one byte a unit: every join moves them, and lists would go value by value.
     """
 
     def whole(raw, sizes):
@@ -67,23 +87,37 @@ def line_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         found = [units_of(part, np.array([len(part)])) for part in parts]
         return np.array([sum(len(f[0]) for f in found)]), np.concatenate([f[2] for f in found]), np.concatenate([f[3] for f in found])
 
-    @F.arrow_udf("struct<body: long, hashes: array<int>, sizes: array<tinyint>>")
+    @F.arrow_udf("struct<hashes: binary, sizes: binary>")
     def of(texts: pa.Array) -> pa.Array:
-        bodies = [xxhash.xxh64_intdigest((value.as_py() or "").encode("utf-8"), SEED) for value in texts]
         counts, values, words = (np.concatenate(side) for side in zip(*text_pieces(texts, whole, cut)))
-        offsets = pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32))
-        parts = [
-            pa.array(np.array(bodies, dtype=np.uint64).view(np.int64)),
-            pa.ListArray.from_arrays(offsets, pa.array((values >> np.uint64(32)).astype(np.uint32).view(np.int32))),
-            pa.ListArray.from_arrays(offsets, pa.array(words.astype(np.int8))),
-        ]
-        return pa.StructArray.from_arrays(parts, ["body", "hashes", "sizes"])
+        offsets = np.r_[0, np.cumsum(counts)]
+        parts = [_blobs((values >> np.uint64(32)).astype(np.uint32), offsets), _blobs(words.astype(np.int8), offsets)]
+        return pa.StructArray.from_arrays(parts, ["hashes", "sizes"])
+
+    return docs.select(F.col(key).alias("key"), _body(text).alias("body"), of(F.col(text)).alias("_")).select("key", "body", "_.hashes", "_.sizes")
+
 
-    return docs.select(F.col(key).alias("key"), of(F.col(text)).alias("_")).select("key", "_.body", "_.hashes", "_.sizes")
+def _body(text: str) -> Column:
+    """XXH64 of a text's UTF-8 bytes."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
-def _numbers(scalar) -> np.ndarray:
-    return scalar.values.to_numpy(zero_copy_only=False) if scalar.is_valid else np.array([], dtype=np.int32)
+def _blobs(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """The bytes of ``values`` from each offset up to the next."""
+    ends = (offsets * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _units(blobs: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all blobs in a row, and where each blob begins; the last ends at one more place."""
+    wide = isinstance(blobs, pa.LargeBinaryArray)
+    _, ends, data = blobs.buffers()
+    ends = np.frombuffer(ends, dtype=np.int64 if wide else np.int32)[blobs.offset : blobs.offset + len(blobs) + 1].astype(np.int64) if len(blobs) else np.zeros(1, dtype=np.int64)
+    values = np.frombuffer(data, dtype=np.uint8)[ends[0] : ends[-1]] if data is not None and data.size else np.empty(0, dtype=np.uint8)
+    size = np.dtype(kind).itemsize
+    if values.ctypes.data % size:
+        values = values.copy()
+    return values.view(kind), (ends - ends[0]) // size
 
 
 def _pairs(one: np.ndarray, two: np.ndarray) -> np.ndarray:
@@ -103,22 +137,23 @@ def _selected(hashes: np.ndarray, sizes: np.ndarray, words: int, ends_of: np.nda
     last = np.full(len(hashes), len(hashes)) if ends_of is None else np.repeat(ends_of, np.diff(np.r_[0, ends_of]))
     begins = np.flatnonzero(ends <= last)
     ends = ends[begins]  # a window has two units at least, as it holds more words than one can
-    place, open_ = begins.copy(), np.arange(len(begins))
-    for step in range(1, words):  # a window has at most as many units as words
-        open_ = open_[begins[open_] + step < ends[open_] - 1]
-        if not len(open_):
-            break
-        at = begins[open_] + step
-        place[open_] = np.where(pairs[at] <= pairs[place[open_]], at, place[open_])
+    place = begins.copy()
+    width = ends - begins - 1  # pairs of a window; two overlapping stretches of a power of two cover it
+    known, (places, least) = 1, (np.arange(len(pairs)), pairs)
+    while len(width) and known <= width.max():
+        mine = np.flatnonzero((width >= known) & (width < 2 * known))
+        left, right = begins[mine], ends[mine] - 1 - known
+        place[mine] = np.where(least[right] <= least[left], places[right], places[left])
+        if 2 * known <= len(pairs):
+            places, least = _last_least(least, 2 * known, places, known)
+        known *= 2
     return begins, ends, place, pairs
 
 
 def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Unit hashes and sizes of all documents of ``batch`` in a row, and where each document ends."""
-    column = batch.column("hashes")
-    ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))
-    flat = lambda name: batch.column(name).flatten().to_numpy(zero_copy_only=False)
-    return flat("hashes"), flat("sizes"), ends.astype(np.int64)
+    hashes, begins = _units(batch.column("hashes"), np.int32)
+    return hashes, _units(batch.column("sizes"), np.int8)[0], begins[1:]
 
 
 def _rows(batch: pa.RecordBatch, places: np.ndarray, hashes: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
@@ -184,22 +219,23 @@ def _matches(lines: DataFrame, found: DataFrame, words: int) -> DataFrame:
     same = F.col("key").eqNullSafe(F.col("holder.key")) & (F.col("body") == F.col("holder.body"))
     met = found.join(holders, "least").filter(~(same & (F.col("at") == F.col("holder.at"))))
     pairs = met.groupBy("key", "body", F.col("holder.key").alias("hkey"), F.col("holder.body").alias("hbody")).agg(
-        F.collect_set(F.struct("at", F.col("holder.at").alias("held"))).alias("spans")
-    )  # at most one entry for each position of one document
+        F.collect_list(F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.col("holder.at").cast("long"))).alias("spans")
+    )  # one entry for each position of a document at most
     pairs = _of_same(pairs, lines.select("key", "body", F.col("hashes").alias("own"), "sizes"))
     pairs = _of_same(pairs, lines.select("key", "body", F.col("hashes").alias("theirs")), "hkey", "hbody")
     pairs = pairs.withColumn("itself", F.col("key").eqNullSafe(F.col("hkey")) & (F.col("body") == F.col("hbody")))
 
     @F.arrow_udf("struct<units: array<int>, failed: array<long>>")
     def extended(own: pa.Array, sizes: pa.Array, theirs: pa.Array, spans: pa.Array, itself: pa.Array) -> pa.Array:
-        (a, ends), (n, _), (b, stops), (places, last) = map(_flattened, (own, sizes, theirs, spans))
-        at, held = (places.field(name).to_numpy(zero_copy_only=False).astype(np.int64) for name in ("at", "held"))
+        (a, ends), (n, _), (b, stops), (places, last) = _units(own, np.int32), _units(sizes, np.int8), _units(theirs, np.int32), _flattened(spans)
+        places = places.to_numpy(zero_copy_only=False)
+        at, held = places >> 32, places & 0xFFFFFFFF
         alone = itself.to_numpy(zero_copy_only=False)
-        gone, short = _extend_all(_values(a), ends, _values(n), _values(b), stops, at, held, last, alone, words)
+        gone, short = _extend_all(a, ends, n, b, stops, at, held, last, alone, words)
         units, number = np.flatnonzero(gone), np.flatnonzero(short)
         first = ends[np.searchsorted(last, number, side="right") - 1]
         following = np.minimum(at[number] + 1, np.diff(ends)[np.searchsorted(last, number, side="right") - 1] - 1)
-        hashes = _pairs(_values(a)[first + at[number]], _values(a)[first + following]).view(np.int64)
+        hashes = _pairs(a[first + at[number]], a[first + following]).view(np.int64)
         units -= ends[np.searchsorted(ends, units, side="right") - 1]
         lists = [_lists(units.astype(np.int32), gone, ends), _lists(hashes, short, last)]
         return pa.StructArray.from_arrays(lists, ["units", "failed"])
@@ -212,10 +248,6 @@ def _flattened(lists: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return lists.flatten(), np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))].astype(np.int64)
 
 
-def _values(values: pa.Array) -> np.ndarray:
-    return values.to_numpy(zero_copy_only=False)
-
-
 def _lists(values: np.ndarray, taken: np.ndarray, begins: np.ndarray) -> pa.Array:
     """``values``, one for each place that is ``taken``, as lists of the places from each begin on."""
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(taken)][begins].astype(np.int32)), pa.array(values))
@@ -228,9 +260,10 @@ def _extend_all(
     """``_extend`` for many pairs at once: marks of the units of ``own`` in matches and of the positions in none.
 
     Pair i has the units of ``own`` from ``ends[i]`` on, of ``theirs`` from ``stops[i]`` on and the positions from
-    ``last[i]`` on. Where a pair has few units to compare, all of a shift are compared. Where it has many, as its
-    positions have many shifts, each position is walked from, and all units are compared of the shifts whose runs
-    go on after that. If these are too many again, the pair goes by itself.
+    ``last[i]`` on. Where a pair has very few units to compare, all of a shift are compared. Else each position is
+    walked from, up to the next one of its shift, so that a run is walked once. Where a run goes on after that but
+    holds enough words already, and differs at the edge of the stretch that such runs cover together, it adds nothing.
+    All units are compared of the shifts of the others. A pair whose long runs have too many units goes by itself.
     """
     gone, short = np.zeros(len(own), dtype=bool), np.zeros(len(at), dtype=bool)
     if not len(at):
@@ -242,19 +275,33 @@ def _extend_all(
     count = np.minimum(np.diff(ends)[of], np.diff(stops)[of] + by) - low
     left, right = at.copy(), at.copy()
     whole = ~(np.bincount(of, count, len(last) - 1) > FEW)[of]  # shifts of which all units are compared
-    walked = np.flatnonzero(~whole[group])
+    order = np.argsort(group << 32 | at)
+    walked = order[~whole[group[order]]]
     here, there, mine = at[walked], held[walked], pair[walked]
-    after, on = _walk(own, theirs, ends[mine] + here, stops[mine] + there, np.minimum(np.diff(ends)[mine] - here, np.diff(stops)[mine] - there), 1)
-    before, back = _walk(own, theirs, ends[mine] + here - 1, stops[mine] + there - 1, np.minimum(here, there), -1)
-    left[walked], right[walked] = here - before, here + after
-    whole[group[walked[np.r_[on, back]]]] = True
-    heavy = np.bincount(of[whole], count[whole], len(last) - 1) > HEAVY
+    room = np.minimum(np.diff(ends)[mine] - here, np.diff(stops)[mine] - there)
+    gap = np.where(np.diff(group[walked], append=-1) == 0, np.diff(here, append=0), np.iinfo(np.int64).max)
+    after, on = _walk(own, theirs, ends[mine] + here, stops[mine] + there, np.minimum(room, gap), 1)
+    opens = np.r_[True, after != gap][: len(walked)]  # the first position of its run
+    before, back = _walk(own, theirs, ends[mine] + here - 1, stops[mine] + there - 1, np.where(opens, np.minimum(here, there), 0), -1)
+    run, begin = np.cumsum(opens) - 1, np.flatnonzero(opens)
+    end = np.r_[begin[1:], len(run)][: len(begin)] - 1
+    left[walked], right[walked] = (here - before)[begin][run], (here + after)[end][run]
+    base, total = ends[pair], np.r_[0, np.cumsum(sizes, dtype=np.int64)]
+    far, deep = np.zeros(len(walked), dtype=bool), np.zeros(len(walked), dtype=bool)
+    far[on], deep[back] = True, True
+    far, deep = far[end][run], deep[begin][run]
+    # all long runs tell which pairs go by themselves, whether settled or not
+    long = ((right - at >= FAR)[walked] & (room > FAR)) | ((at - left >= FAR)[walked] & (np.minimum(here, there) > FAR))
+    many = whole.copy()
+    many[group[walked[long]]] = True
+    heavy = np.bincount(of[many], count[many], len(last) - 1) > HEAVY
+    open_ = _open(own, theirs, walked[far | deep], far[far | deep], deep[far | deep], walked, left, right, at, shift, pair, alone, ends, stops, total, words)
+    whole[group[open_]] = True
     for i in np.flatnonzero(heavy).tolist():
         units, places = slice(ends[i], ends[i + 1]), slice(last[i], last[i + 1])
         found, short[places] = _extend(own[units], sizes[units], theirs[stops[i] : stops[i + 1]], at[places], held[places], bool(alone[i]), words)
         gone[ends[i] + found] = True
     whole &= ~heavy[of]
-    order = np.argsort(group, kind="stable")
     first = np.r_[np.searchsorted(group[order], np.arange(len(key))), len(order)]
     chosen = np.flatnonzero(whole)
     for part in np.split(chosen, np.flatnonzero(np.diff(np.cumsum(count[chosen]) // SLICE)) + 1) if len(chosen) else []:
@@ -270,7 +317,6 @@ def _extend_all(
         left[number] = np.maximum(np.r_[0, breaks + 1][run], begin[g]) - moved
         right[number] = np.minimum(np.r_[breaks, len(place)][run], begin[g] + n[g]) - moved
     right = np.where(alone[pair], np.minimum(right, np.maximum(left + shift, at)), right)
-    base, total = ends[pair], np.r_[0, np.cumsum(sizes, dtype=np.int64)]
     light = ~heavy[pair]
     enough = light & (total[base + right] - total[base + left] >= words)
     edges = [np.bincount((base + edge)[enough], minlength=len(own) + 1) for edge in (left, right)]
@@ -279,15 +325,54 @@ def _extend_all(
     return gone, short
 
 
+def _open(
+    own: np.ndarray, theirs: np.ndarray, numbers: np.ndarray, far: np.ndarray, deep: np.ndarray, walked: np.ndarray,
+    left: np.ndarray, right: np.ndarray, at: np.ndarray, shift: np.ndarray, pair: np.ndarray, alone: np.ndarray,
+    ends: np.ndarray, stops: np.ndarray, total: np.ndarray, words: int,
+) -> np.ndarray:
+    """Those of the positions ``numbers``, whose runs go on to the right (``far``) or left (``deep``), that may add units.
+
+    What all of ``walked`` cover so far, as far as it holds enough words, is in matches for certain.
+    """
+    if not len(numbers):
+        return numbers
+    most = np.where(alone[pair], np.maximum(left + shift, at), np.iinfo(np.int64).max)
+    unsure = numbers[deep & alone[pair[numbers]]]  # where a match inside one document ends depends on where it begins
+    taken = np.ones(len(at), dtype=bool)
+    taken[unsure] = False
+    sure = walked[taken[walked]]
+    base, reached = ends[pair], np.minimum(right, most)
+    enough = np.zeros(len(at), dtype=bool)
+    enough[sure] = total[(base + reached)[sure]] - total[(base + left)[sure]] >= words
+    sure = sure[enough[sure]]
+    free = np.flatnonzero(np.cumsum(np.bincount((base + left)[sure], minlength=len(own) + 1) - np.bincount((base + reached)[sure], minlength=len(own) + 1)) == 0)
+    # the last place, after all units, is always free
+    mine, begin = pair[numbers], ends[pair[numbers]]
+    edge = np.minimum(free[np.searchsorted(free, begin + right[numbers] - 1)], ends[mine + 1]) - begin
+    there = edge - shift[numbers]
+    on = far & (right[numbers] < most[numbers]) & (edge < np.minimum(most[numbers], ends[mine + 1] - begin)) & (there < np.diff(stops)[mine])
+    on[on] = own[(begin + edge)[on]] == theirs[(stops[mine] + there)[on]]
+    edge = np.maximum(np.r_[-1, free][np.searchsorted(free, begin + left[numbers])], begin - 1) - begin
+    there = edge - shift[numbers]
+    back = deep & (edge >= 0) & (there >= 0)
+    back[back] = own[(begin + edge)[back]] == theirs[(stops[mine] + there)[back]]
+    return np.r_[numbers[on | back | ~enough[numbers]], unsure]
+
+
 def _walk(own: np.ndarray, theirs: np.ndarray, at: np.ndarray, held: np.ndarray, room: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
     """How many units agree from each of the places on, and the numbers of the places where more than ``FAR`` do."""
     n, open_ = np.zeros(len(at), dtype=np.int64), np.flatnonzero(room > 0)
+    at, held, room = at[open_], held[open_], room[open_]
     for far in range(FAR):
-        open_ = open_[own[at[open_] + step * far] == theirs[held[open_] + step * far]]
-        n[open_] += 1
-        open_ = open_[room[open_] > far + 1]
+        same = own[at] == theirs[held]
+        on = same & (room > far + 1)
+        if not on.all():
+            n[open_] = far + same
+            open_, at, held, room = open_[on], at[on], held[on], room[on]
         if not len(open_):
             break
+        at, held = at + step, held + step
+    n[open_] = FAR
     return n, open_
 
 
@@ -376,26 +461,64 @@ def repeated_units(docs: DataFrame, key: str = "doc_id", text: str = "text", min
 
 def _without(text: str, units: np.ndarray) -> str:
     """``text`` without the given units. A line that loses all its units goes with its end."""
-    raw = text.encode("utf-8")
-    begins, at = [], 0
-    for found in text_pieces(pa.array([text]), lambda part, sizes: [(part, units_of(part, sizes)[1])], lambda parts: [(part, units_of(part, np.array([len(part)]))[1]) for part in parts]):
-        for part, begin in found:
-            begins.append(begin + at)
-            at += len(part)
-    begins = np.concatenate(begins)
-    gone = np.zeros(len(begins), dtype=bool)
-    gone[units] = True
-    stops = np.r_[np.flatnonzero(np.frombuffer(raw, dtype=np.uint8) == 10), len(raw)]
-    first = np.searchsorted(begins, np.r_[0, stops[:-1] + 1])
-    kept, start = [], 0
-    for unit, following, stop in zip(first.tolist(), np.r_[first[1:], len(begins)].tolist(), stops.tolist()):
-        if not gone[unit:following].any():
-            kept.append(raw[start:stop])
-        elif not gone[unit:following].all():
-            edges = [start, *begins[unit + 1 : following].tolist(), stop]
-            kept.append(b"".join(raw[a:b] for a, b, out in zip(edges, edges[1:], gone[unit:following]) if not out))
-        start = stop + 1
-    return b"\n".join(kept).decode("utf-8")
+    return _all_without(pa.array([text]), pa.array([units]))[0].as_py()
+
+
+def _all_without(texts: pa.Array, units: pa.Array) -> pa.Array:
+    """``_without`` for many texts, about ``PIECE`` bytes at a time; null where ``texts`` are."""
+    known = texts.is_valid()
+    numbers, last = _flattened(units.filter(known))
+    numbers, at, sizes, shorter = numbers.to_numpy(zero_copy_only=False), 0, [], []
+    for raw, lengths, counts, begins in text_pieces(texts.filter(known), _begins, _begins_of_one):
+        of = last[at : at + len(lengths) + 1]
+        gone = np.zeros(len(begins), dtype=bool)
+        gone[numbers[of[0] : of[-1]] + np.repeat(np.cumsum(counts) - counts, np.diff(of))] = True
+        stays = _stays(raw, lengths, begins, gone)
+        sizes.append(np.diff(np.r_[0, np.cumsum(stays)][np.r_[0, np.cumsum(lengths)]]))
+        shorter.append(raw[stays])
+        at += len(lengths)
+    ends = np.r_[0, np.cumsum(np.concatenate([np.empty(0, dtype=np.int64), *sizes]))]
+    data = np.concatenate([np.empty(0, dtype=np.uint8), *shorter])
+    found = pa.Array.from_buffers(pa.large_string(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)])
+    there = known.to_numpy(zero_copy_only=False)
+    return found.take(pa.array(np.cumsum(there) - 1, mask=~there)).cast(pa.string())
+
+
+def _begins(raw: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts themselves, and the number and the first bytes of their units."""
+    row, begin, _, first = _cuts(raw, sizes)
+    return raw, sizes, np.bincount(row[first], minlength=len(sizes)), begin[first]
+
+
+def _begins_of_one(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    lengths = np.array([len(part) for part in parts])
+    begins = np.concatenate([_begins(part, lengths[i : i + 1])[3] + at for i, (part, at) in enumerate(zip(parts, (np.cumsum(lengths) - lengths).tolist()))])
+    return np.concatenate(parts), np.array([lengths.sum()]), np.array([len(begins)]), begins
+
+
+def _stays(raw: np.ndarray, sizes: np.ndarray, begins: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """Which bytes of consecutive texts stay. A unit's bytes reach from its line's begin or its own to the next unit or its line's end."""
+    ends, breaks = np.cumsum(sizes), np.flatnonzero(raw == 10)
+    stops = np.r_[ends, breaks]
+    order = np.argsort(stops, kind="stable")  # where a text ends and the next one begins with a line end, the text's end comes first
+    stops, broken = stops[order], order >= len(ends)
+    starts = np.r_[0, (stops + broken)[:-1]]
+    line = np.searchsorted(stops, begins, side="right")
+    other = line[1:] != line[:-1]
+    here = np.where(np.r_[True, other][: len(line)], starts[line], begins)
+    following = np.where(np.r_[other, True][: len(line)], stops[line], np.r_[here[1:], 0][: len(line)])
+    out = np.zeros(len(raw) + 1, dtype=np.int8)
+    out[here[gone]] += 1
+    out[following[gone]] -= 1
+    out = np.cumsum(out[:-1], dtype=np.int8).astype(bool)
+    whole = np.bincount(line, minlength=len(stops)) == np.bincount(line[gone], minlength=len(stops))
+    whole[np.bincount(line, minlength=len(stops)) == 0] = False
+    out[stops[whole & broken]] = True
+    # a text whose last line goes ends with what is left before, not with its line end
+    final = np.flatnonzero(~broken)
+    kept = np.maximum.accumulate(np.where(whole, -1, np.arange(len(stops))))[final]
+    out[stops[kept[whole[final] & (kept >= np.r_[0, final[:-1] + 1])]]] = True
+    return ~out
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 50) -> DataFrame:
@@ -411,15 +534,14 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wo
     are reserved.
     """
     lines, deleted = repeated_units(docs, key, text, min_words)
-    counts = lines.select("key", "body", F.size("hashes").alias("_n"))
+    counts = lines.select("key", "body", F.octet_length("sizes").alias("_n"))
     facts = counts.join(deleted.withColumnsRenamed({"key": "_k", "body": "_b"}), F.col("key").eqNullSafe(F.col("_k")) & (F.col("body") == F.col("_b")), "left")
     facts = facts.select(F.col("key").alias("_key"), F.col("body").alias("_body"), "_n", F.col("units").alias("_gone"))
-    body = F.xxhash64(F.coalesce(F.col(text), F.lit("")))  # as in line_table: XXH64 of the UTF-8 bytes, seed 42
-    joined = docs.withColumn("_own", body).join(facts, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_own") == F.col("_body")))
+    joined = docs.withColumn("_own", _body(text)).join(facts, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_own") == F.col("_body")))
 
     @F.arrow_udf("string")
     def cut(texts: pa.Array, units: pa.Array) -> pa.Array:
-        return pa.array([_without(t.as_py(), _numbers(u)) if u.is_valid else None for t, u in zip(texts, units)], pa.string())
+        return _all_without(texts, units)
 
     touched = F.col("_gone").isNotNull()
     shorter = cut(F.when(touched, F.col(text)), F.col("_gone"))  # Python sees the texts that change
