@@ -18,7 +18,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from themeloom.llm.common import mixed, runs_hash, text_pieces, word_hashes, written
@@ -214,16 +214,14 @@ def _of_same(left: DataFrame, right: DataFrame, key: str = "key", body: str = "b
 def _matches(lines: DataFrame, found: DataFrame, words: int) -> DataFrame:
     """(key, body, units, failed): units of matches of ``found`` (key, body, least, at) with their holders, and the
     hashes of positions that are in no match of enough words."""
-    place = F.struct(F.col("key").isNull().alias("none"), "key", "body", "at")
-    holders = found.groupBy("least").agg(F.min(place).alias("holder"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    same = F.col("key").eqNullSafe(F.col("holder.key")) & (F.col("body") == F.col("holder.body"))
-    met = found.join(holders, "least").filter(~(same & (F.col("at") == F.col("holder.at"))))
-    pairs = met.groupBy("key", "body", F.col("holder.key").alias("hkey"), F.col("holder.body").alias("hbody")).agg(
-        F.collect_list(F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.col("holder.at").cast("long"))).alias("spans")
-    )  # one entry for each position of a document at most
+    places = Window.partitionBy("least").orderBy(F.col("key").isNull(), "key", "body", "at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = found.select("*", *(F.first(name).over(places).alias(held) for name, held in (("key", "hkey"), ("body", "hbody"), ("at", "held"))))
+    itself = F.col("key").eqNullSafe(F.col("hkey")) & (F.col("body") == F.col("hbody"))
+    spans = F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.col("held").cast("long"))  # a position of a document comes once at most
+    pairs = met.filter(~(itself & (F.col("at") == F.col("held")))).groupBy("key", "body", "hkey", "hbody").agg(F.collect_list(spans).alias("spans"))
     pairs = _of_same(pairs, lines.select("key", "body", F.col("hashes").alias("own"), "sizes"))
     pairs = _of_same(pairs, lines.select("key", "body", F.col("hashes").alias("theirs")), "hkey", "hbody")
-    pairs = pairs.withColumn("itself", F.col("key").eqNullSafe(F.col("hkey")) & (F.col("body") == F.col("hbody")))
+    pairs = pairs.withColumn("itself", itself)
 
     @F.arrow_udf("struct<units: array<int>, failed: array<long>>")
     def extended(own: pa.Array, sizes: pa.Array, theirs: pa.Array, spans: pa.Array, itself: pa.Array) -> pa.Array:
