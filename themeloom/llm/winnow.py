@@ -317,8 +317,7 @@ def _extend_all(
     right = np.where(alone[pair], np.minimum(right, np.maximum(left + shift, at)), right)
     light = ~heavy[pair]
     enough = light & (total[base + right] - total[base + left] >= words)
-    edges = [np.bincount((base + edge)[enough], minlength=len(own) + 1) for edge in (left, right)]
-    gone |= np.cumsum(edges[0] - edges[1])[:-1] > 0
+    gone |= _covered(len(own), (base + left)[enough], (base + right)[enough])[:-1]
     short[light] = ~enough[light] & ~gone[(base + at)[light]]
     return gone, short
 
@@ -343,7 +342,7 @@ def _open(
     enough = np.zeros(len(at), dtype=bool)
     enough[sure] = total[(base + reached)[sure]] - total[(base + left)[sure]] >= words
     sure = sure[enough[sure]]
-    free = np.flatnonzero(np.cumsum(np.bincount((base + left)[sure], minlength=len(own) + 1) - np.bincount((base + reached)[sure], minlength=len(own) + 1)) == 0)
+    free = np.flatnonzero(~_covered(len(own), (base + left)[sure], (base + reached)[sure]))
     # the last place, after all units, is always free
     mine, begin = pair[numbers], ends[pair[numbers]]
     edge = np.minimum(free[np.searchsorted(free, begin + right[numbers] - 1)], ends[mine + 1]) - begin
@@ -357,6 +356,13 @@ def _open(
     return np.r_[numbers[on | back | ~enough[numbers]], unsure]
 
 
+def _covered(n: int, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which of ``n`` places, and one more after them that never is, lie in a stretch from a begin up to its end."""
+    depth = np.bincount(begins, minlength=n + 1)
+    depth -= np.bincount(ends, minlength=n + 1)
+    return np.cumsum(depth, out=depth) > 0
+
+
 def _walk(own: np.ndarray, theirs: np.ndarray, at: np.ndarray, held: np.ndarray, room: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
     """How many units agree from each of the places on, and the numbers of the places where more than ``FAR`` do."""
     n, open_ = np.zeros(len(at), dtype=np.int64), np.flatnonzero(room > 0)
@@ -466,20 +472,24 @@ def _all_without(texts: pa.Array, units: pa.Array) -> pa.Array:
     """``_without`` for many texts, about ``PIECE`` bytes at a time; null where ``texts`` are."""
     known = texts.is_valid()
     numbers, last = _flattened(units.filter(known))
-    numbers, at, sizes, shorter = numbers.to_numpy(zero_copy_only=False), 0, [], []
-    for raw, lengths, counts, begins in text_pieces(texts.filter(known), _begins, _begins_of_one):
+    numbers, at, size = numbers.to_numpy(zero_copy_only=False), 0, 0
+    texts = texts.filter(known)
+    left = np.zeros(len(texts), dtype=np.int64)
+    data = np.empty(pc.sum(pc.binary_length(texts)).as_py() or 0, dtype=np.uint8)
+    for raw, lengths, counts, begins in text_pieces(texts, _begins, _begins_of_one):
         of = last[at : at + len(lengths) + 1]
         gone = np.zeros(len(begins), dtype=bool)
         gone[numbers[of[0] : of[-1]] + np.repeat(np.cumsum(counts) - counts, np.diff(of))] = True
         stays = _stays(raw, lengths, begins, gone)
-        sizes.append(np.diff(np.r_[0, np.cumsum(stays)][np.r_[0, np.cumsum(lengths)]]))
-        shorter.append(raw[stays])
-        at += len(lengths)
-    ends = np.r_[0, np.cumsum(np.concatenate([np.empty(0, dtype=np.int64), *sizes]))]
-    data = np.concatenate([np.empty(0, dtype=np.uint8), *shorter])
-    found = pa.Array.from_buffers(pa.large_string(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)])
+        left[at : at + len(lengths)] = np.diff(np.r_[0, np.cumsum(stays)][np.r_[0, np.cumsum(lengths)]])
+        shorter = raw[stays]
+        data[size : size + len(shorter)] = shorter
+        at, size = at + len(lengths), size + len(shorter)
     there = known.to_numpy(zero_copy_only=False)
-    return found.take(pa.array(np.cumsum(there) - 1, mask=~there)).cast(pa.string())
+    ends = np.zeros(len(there) + 1, dtype=np.int32)
+    ends[1:][there] = left
+    np.cumsum(ends, out=ends, dtype=np.int32)
+    return pa.Array.from_buffers(pa.string(), len(there), [pa.array(there).buffers()[1], pa.py_buffer(ends), pa.py_buffer(data[:size])])
 
 
 def _begins(raw: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
