@@ -229,7 +229,12 @@ def _matches(lines: DataFrame, found: DataFrame, words: int) -> DataFrame:
         places = places.to_numpy(zero_copy_only=False)
         at, held = places >> 32, places & 0xFFFFFFFF
         alone = itself.to_numpy(zero_copy_only=False)
-        gone, short = _extend_all(a, ends, n, b, stops, at, held, last, alone, words)
+        gone, short = np.zeros(len(a), dtype=bool), np.zeros(len(at), dtype=bool)
+        load = np.cumsum(np.diff(ends) + np.diff(stops) + 8 * np.diff(last)) // (8 * SLICE)  # pairs in hand at once, for bounded memory
+        edges = np.r_[0, np.flatnonzero(np.diff(load)) + 1, len(alone)].tolist()
+        for i, j in zip(edges, edges[1:]):
+            own_, held_, mine = slice(ends[i], ends[j]), slice(stops[i], stops[j]), slice(last[i], last[j])
+            gone[own_], short[mine] = _extend_all(a[own_], ends[i : j + 1] - ends[i], n[own_], b[held_], stops[i : j + 1] - stops[i], at[mine], held[mine], last[i : j + 1] - last[i], alone[i:j], words)
         units, number = np.flatnonzero(gone), np.flatnonzero(short)
         first = ends[np.searchsorted(last, number, side="right") - 1]
         following = np.minimum(at[number] + 1, np.diff(ends)[np.searchsorted(last, number, side="right") - 1] - 1)
