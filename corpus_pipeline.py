@@ -61,7 +61,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token count and digests of ids and decoded text for each document of the mix."""
-    return bpe_digests(docs.select("doc_id", "text"), pieces=200_000)  # other stages run in the same workers
+    return bpe_digests(docs.select("doc_id", "text"), pieces=200_000, kept=False)  # other stages run in the same workers
 
 
 STAGES = [("quality", quality), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("mix", mix), ("tokens", tokens)]

@@ -1,6 +1,7 @@
 """What Python workers hold of the texts is bounded, and what is done for many pairs at once is done as for one."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from themeloom.llm import common, winnow
+from themeloom.llm import bpe, common, winnow
 from themeloom.llm.common import mixed, runs_hash, word_hashes
 
 
@@ -157,3 +158,46 @@ def test_equal_units_are_not_compared_over_all_shifts():
     )
     assert np.flatnonzero(gone).tolist() == at.tolist() and not short.any()
     assert Counted.taken < 100 * n
+
+
+def test_tokens_leave_nothing_in_workers_that_other_stages_share(spark):
+    @F.arrow_udf("long")
+    def codecs(ids: pa.Array) -> pa.Array:
+        return pa.array([bpe.codec.cache_info().currsize] * len(ids), pa.int64())
+
+    @F.arrow_udf("long")
+    def cleared(ids: pa.Array) -> pa.Array:
+        bpe.codec.cache_clear()
+        return ids
+
+    many = spark.range(64, numPartitions=64)
+    many.select(cleared("id")).collect()  # other tests ran here
+    docs = spark.createDataFrame([(i, f"some text {i}" if i % 5 else None) for i in range(40)], "doc_id long, text string").repartition(8)
+    found = corpus_pipeline.tokens(spark, docs, "").collect()
+    assert len(found) == 40 and all((row.n_tokens > 0) == (row.doc_id % 5 > 0) for row in found)
+    assert many.agg(F.max(codecs("id"))).first()[0] == 0
+
+
+@pytest.mark.parametrize("at_once", [1, 2, 7, 64, 1 << 17])
+def test_windows_are_taken_by_slices_as_at_once(monkeypatch, at_once):
+    rng = np.random.default_rng(at_once)
+    counts = np.r_[0, rng.integers(0, 12, 30), 0, 150, rng.integers(0, 40, 10), 0]
+    hashes, sizes, ends = rng.integers(0, 9, counts.sum()).astype(np.int32), rng.integers(1, 9, counts.sum()).astype(np.int8), np.cumsum(counts)
+    for words in (17, 37):
+        expected = winnow._selected(hashes, sizes, words, ends)[:3]
+        monkeypatch.setattr(winnow, "SLICE", at_once)
+        parts = list(winnow._sliced(hashes, sizes, words, ends))
+        assert len(expected[0]) and all(np.array_equal(np.concatenate(side), whole) for side, whole in zip(zip(*parts), expected))
+
+
+def test_memory_for_windows_does_not_grow_with_a_batch():
+    rng = np.random.default_rng(0)
+    peaks = []
+    for n in (1 << 19, 1 << 21):
+        hashes, sizes, ends = rng.integers(0, 1 << 30, n).astype(np.int32), rng.integers(1, 9, n).astype(np.int8), np.arange(100, n + 100, 100).clip(max=n)
+        tracemalloc.start()
+        for _ in winnow._sliced(hashes, sizes, 37, ends):
+            pass
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.2 * peaks[0] < 40 << 20

@@ -15,6 +15,7 @@ import base64
 import gc
 import hashlib
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -347,31 +348,45 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str =
     return df.withColumn(out, text_of(F.col(ids)))
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", pieces: int = PIECES) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", pieces: int = PIECES, kept: bool = True) -> DataFrame:
     """Add n_tokens, ids_sha256 and decoded_sha256: number and digest of the ids of ``text`` (little-endian unsigned
     32-bit integers), and digest of the text decoded from them. Encodes once and decodes in parts, so neither
-    ids nor decoded texts are gathered or leave the task. ``pieces`` bounds what a Python worker remembers, which it
-    keeps for later tasks: take fewer where other stages share the workers. Columns of these names are replaced."""
+    ids nor decoded texts are gathered or leave the task. ``pieces`` bounds what a Python worker remembers. It keeps
+    that for later tasks, unless ``kept`` is false: then it goes with the task, for stages that other ones share their
+    workers with. Columns of these names are replaced."""
 
     @F.arrow_udf("struct<n_tokens: long, ids_sha256: string, decoded_sha256: string>")
-    def of(texts: pa.Array) -> pa.Array:
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         run = codec(path, pattern, pieces)
-        counts, ids_digests, text_digests = [], [], []
-        for value in texts:
-            packed = run.encode(value.as_py() or "")
-            ids, digest = array.array("I", packed), hashlib.sha256()
-            for part in run.decode(ids):
-                digest.update(part.encode("utf-8"))
-            counts.append(len(ids))
-            ids_digests.append(hashlib.sha256(packed).hexdigest())
-            text_digests.append(digest.hexdigest())
-        return pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(ids_digests, pa.string()), pa.array(text_digests, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
+        try:
+            for texts in batches:
+                yield _digests(run, texts)
+        finally:
+            if not kept:
+                del run
+                codec.cache_clear()
+                gc.unfreeze()
+                gc.collect()
+                pa.default_memory_pool().release_unused()
 
     names = ["n_tokens", "ids_sha256", "decoded_sha256"]
     marked = docs.withColumn("_trip", of(F.col(text))).drop(*names)
     return marked.select("*", *[F.col("_trip")[name].alias(name) for name in names]).drop("_trip")
 
 
+def _digests(run: Codec, texts: pa.Array) -> pa.Array:
+    counts, ids_digests, text_digests = [], [], []
+    for value in texts:
+        packed = run.encode(value.as_py() or "")
+        ids, digest = array.array("I", packed), hashlib.sha256()
+        for part in run.decode(ids):
+            digest.update(part.encode("utf-8"))
+        counts.append(len(ids))
+        ids_digests.append(hashlib.sha256(packed).hexdigest())
+        text_digests.append(digest.hexdigest())
+    return pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(ids_digests, pa.string()), pa.array(text_digests, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
+
+
 def _packed(value: pa.ListScalar) -> array.array:
     """The values of one list as 32-bit integers, without making Python objects of all of them."""
     numbers = array.array("I")

@@ -15,6 +15,8 @@ them are hashed whole, and the first window with a hash is the holder.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -25,7 +27,7 @@ from themeloom.llm.common import mixed, runs_hash, text_pieces, word_hashes, wri
 
 #: A line is cut after the least word hash of every so many consecutive words; no part is longer than this.
 SPAN = 8
-#: Windows hashed at once, units compared at once.
+#: Units compared at once, units of which windows are taken at once; windows are hashed by an eighth of it.
 SLICE = 1 << 17
 #: Units up to which a pair's are compared over all its shifts, how far is walked otherwise, and what a pair's long runs may hold then.
 FEW, FAR, HEAVY = 1 << 6, 48, 1 << 22
@@ -150,6 +152,17 @@ def _selected(hashes: np.ndarray, sizes: np.ndarray, words: int, ends_of: np.nda
     return begins, ends, place, pairs
 
 
+def _sliced(hashes: np.ndarray, sizes: np.ndarray, words: int, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Begin, end and place of ``_selected`` for all documents of a batch, by windows that begin in ``SLICE`` units each."""
+    for low in range(0, len(hashes), SLICE):
+        high = min(len(hashes), low + SLICE + words)  # a window has no more units than words
+        if high - low > 1:
+            inside = np.r_[ends[np.searchsorted(ends, low, side="right") : np.searchsorted(ends, high)], high] - low
+            begins, stops, place, _ = _selected(hashes[low:high], sizes[low:high], words, inside)
+            n = np.searchsorted(begins, SLICE)
+            yield begins[:n] + low, stops[:n] + low, place[:n] + low
+
+
 def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Unit hashes and sizes of all documents of ``batch`` in a row, and where each document ends."""
     hashes, begins = _units(batch.column("hashes"), np.int32)
@@ -171,9 +184,11 @@ def positions(lines: DataFrame, words: int) -> DataFrame:
         for batch in batches:
             hashes, sizes, ends = _flat(batch)
             if len(hashes) > 1:
-                _, _, place, pairs = _selected(hashes, sizes, words, ends)
-                place = np.flatnonzero(np.bincount(place, minlength=len(hashes)))
-                yield _rows(batch, place, pairs[place], ends)
+                selected = np.zeros(len(hashes), dtype=bool)
+                for _, _, place in _sliced(hashes, sizes, words, ends):
+                    selected[place] = True
+                place = np.flatnonzero(selected)
+                yield _rows(batch, place, _pairs(hashes[place], hashes[place + 1]), ends)
 
     kind = dict(lines.dtypes)["key"]
     return lines.select("key", "body", "hashes", "sizes").mapInArrow(run, f"key {kind}, body long, least long, at int")
@@ -187,19 +202,18 @@ def windows(lines: DataFrame, words: int) -> DataFrame:
             hashes, sizes, ends = _flat(batch)
             if len(hashes) < 2:
                 continue
-            begins, stops, place, _ = _selected(hashes, sizes, words, ends)
             row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column("wanted")).to_numpy(zero_copy_only=False))
             wanted = np.zeros(len(hashes), dtype=bool)
             wanted[np.r_[0, ends][row] + batch.column("wanted").flatten().to_numpy(zero_copy_only=False)] = True
-            taken = wanted[place]
-            begins, stops = begins[taken], stops[taken]
             units = mixed(hashes.view(np.uint32).astype(np.uint64) + np.uint64(1))
-            for part in range(0, len(begins), SLICE):
-                begin = begins[part : part + SLICE]
-                length = stops[part : part + SLICE] - begin
-                first = np.cumsum(length) - length
-                step = np.arange(int(length.sum())) - np.repeat(first, length)
-                yield _rows(batch, begin, runs_hash(units[np.repeat(begin, length) + step], first, step), ends)
+            for begins, stops, place in _sliced(hashes, sizes, words, ends):
+                begins, stops = begins[wanted[place]], stops[wanted[place]]
+                for part in range(0, len(begins), SLICE // 8):
+                    begin = begins[part : part + SLICE // 8]
+                    length = stops[part : part + SLICE // 8] - begin
+                    first = np.cumsum(length) - length
+                    step = np.arange(int(length.sum())) - np.repeat(first, length)
+                    yield _rows(batch, begin, runs_hash(units[np.repeat(begin, length) + step], first, step), ends)
 
     kind = dict(lines.dtypes)["key"]
     return lines.select("key", "body", "hashes", "sizes", "wanted").mapInArrow(run, f"key {kind}, body long, least long, at int")
