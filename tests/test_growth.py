@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from checks.adapter import Tables, with_run_id
 from themeloom.functions.pii import PATTERNS, REDACTED, pii_matches, scrub_pii
-from themeloom.functions.text import WHITESPACE, collapse_whitespace, strip_space
+from themeloom.functions.text import WHITESPACE, ZERO_WIDTH, collapse_whitespace, strip_space, strip_zero_width
 from themeloom.operators import clustering, sampling, vectors
 from themeloom.operators.windows import lookback_windows
 
@@ -74,6 +74,72 @@ def test_groups_settle_alike_in_one_task_and_over_blocks(spark):
         assert np.allclose(np.frombuffer(spread["centres"]), np.frombuffer(whole["centres"]), atol=1e-7)
 
 
+def test_large_groups_settle_in_waves_and_keep_their_keys(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(run, 100 * i + j, [float(x) for x in rng.normal(size=3) + 9 * (j % 3)]) for i, run in enumerate("abc") for j in range(60)]
+    points = spark.createDataFrame(rows, "run_id string, ord long, vector array<double>")
+    whole = clustering.kmeans(points, restarts=2, block_rows=16).orderBy("run_id", "k").collect()
+    monkeypatch.setattr(clustering, "MODEL_BYTES", 1)  # a group at a time
+    waves = clustering.kmeans(points, restarts=2, block_rows=16, small_bytes=0).orderBy("run_id", "k").collect()
+    assert [(r["run_id"], r["n"], r["k"]) for r in waves] == [(run, 60, k) for run in "abc" for k in range(3, 9)]
+    assert [r["cost"] for r in waves] == pytest.approx([r["cost"] for r in whole], rel=1e-9)
+
+
+def test_steps_of_large_groups_move_no_blocks(spark, monkeypatch):
+    """A step sends centres to where blocks are: what it shuffles are sums, and no step writes a table."""
+    points = spark.createDataFrame([("a", i, [float(i * 37 % 101), float(i % 3)]) for i in range(400)], "run_id string, ord long, vector array<double>")
+    written = []
+    monkeypatch.setattr(clustering, "cut_lineage", lambda df, cut=clustering.cut_lineage: written.append(1) or cut(df))
+    clustering.kmeans(points, restarts=4, block_rows=16, small_bytes=0)
+    assert len(written) <= 16  # blocks, starts and results; each step was a table of its own
+
+
+@pytest.mark.parametrize("side", [1, 3000, 1 << 20])
+def test_silhouette_over_sides_of_several_blocks(spark, monkeypatch, side):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(150, 3)) + (np.arange(150) % 3)[:, None]
+    x[100:120] = x[0]
+    points = spark.createDataFrame([("a", i, v, i % 7 - 2) for i, v in enumerate(x.tolist())], "run_id string, ord long, vector array<double>, label int")
+    blocks = clustering.block_points(points, label="label", block_rows=16)
+    monkeypatch.setattr(clustering, "SIDE_BYTES", side)
+    member = np.eye(7)[np.arange(150) % 7]
+    reach, own, sizes = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)) @ member, np.arange(150) % 7, member.sum(axis=0)
+    inner, outer = reach[np.arange(150), own] / (sizes[own] - 1), reach / sizes
+    outer[np.arange(150), own] = np.inf
+    expected = ((outer.min(axis=1) - inner) / np.maximum(outer.min(axis=1), inner)).mean()
+    assert clustering.silhouette(blocks).first()["silhouette"] == pytest.approx(expected, abs=1e-9)
+
+
+def test_pairs_of_sides_not_of_blocks_move(spark):
+    points = spark.createDataFrame([("a", i, [float(i)]) for i in range(320)], "run_id string, ord long, vector array<double>").withColumn("cluster_id", F.col("ord") % 2)
+    blocks = clustering.block_points(points, label="cluster_id", block_rows=16).localCheckpoint()
+    single = blocks.withColumns({"names": F.array(F.lit(0)), "label_sets": F.array("labels")})
+    plan = plan_of(clustering._silhouette_exact(single, ["run_id"]))
+    assert "_last" in plan and "blocks#" in plan and "sequence(0, (blocks" not in plan
+
+
+def test_silhouettes_are_not_taken_again_for_themes(spark):
+    points = spark.createDataFrame([("a", i, [float(i % 3 * 50 + i % 5)], i % 5 + 1, f"id{i}") for i in range(60)], "run_id string, ord long, vector array<double>, rating int, review_id string")
+    tagged, themes = clustering.cluster_reviews(points, restarts=2)
+    assert "meet(" not in plan_of(themes) + plan_of(tagged) and themes.count() == 3
+
+
+def test_words_are_counted_by_texts_not_as_rows(spark):
+    rows = [("p", i % 4 or None, " ".join(f"w{j % (i % 5 + 2)} The x" for j in range(i % 6))) for i in range(40)] + [("p", 1, None), (None, 9, "a bb bb ç été Été"), ("q", 2, "")]
+    texts = spark.createDataFrame(rows, "run_id string, ord long, text string")
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w{2,}"), F.lit(0))
+    plain = texts.select("run_id", "ord", F.explode(words).alias("term")).where("term <> 'the'").groupBy("run_id", "ord", "term").agg(F.count("*").alias("tf"))
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for most in ("3", "10000"):  # keys that come more than once go over batches
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+            found = vectors.term_counts(texts, ("run_id",), "ord", ["the"])
+            assert sorted(map(str, found.collect())) == sorted(map(str, plain.collect()))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert "Generate" not in plan_of(found)
+
+
 def test_quicker_patterns_find_the_same(spark):
     rng = np.random.default_rng(2)
     parts = ["98", "3456", "+91", "0", "9876543210", "1234", "9012", "-", " ", ".", "@", "a.b", "x@y.com", "ABCDE1234F", "٣٤٥٦٧٨٩٠", "é", "　", "\x1c", "\n", "  ", "​"]
@@ -86,6 +152,7 @@ def test_quicker_patterns_find_the_same(spark):
         (scrubbed, scrub_pii(t)),
         (F.regexp_replace(t, rf"(?U)^{WHITESPACE}+|{WHITESPACE}+\z", ""), strip_space(t)),
         (F.trim(F.regexp_replace(t, rf"(?U){WHITESPACE}+", " ")), collapse_whitespace(t)),
+        (F.regexp_replace(t, ZERO_WIDTH, ""), strip_zero_width(t)),
         *[(F.regexp_count(t, F.lit("(?U)" + pattern)), pii_matches(t, kind)) for kind, pattern in PATTERNS.items()],
     ]
     assert list(rows.select(*[F.count_if(~old.eqNullSafe(new)) for old, new in pairs]).first()) == [0] * len(pairs)
