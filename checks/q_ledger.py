@@ -316,7 +316,8 @@ def _write_reviews(t: Tables) -> DataFrame:
     path = _kept_at(t, "reviews")
     facts = ["review_id", "source", F.col("text").alias("text_clean"), "rating", "review_date"]
     landed = t.keyed.select(*facts)
-    old = landed.select("review_id", "source", F.lit("old").alias("run_id"), F.lit(None).cast("timestamp").alias("started_at"), F.lit(1).alias("cluster_id"))
+    # ids come from the landed text: nothing of the cleaning is needed for them
+    old = t.reviews.select("review_id", "source", F.lit("old").alias("run_id"), F.lit(None).cast("timestamp").alias("started_at"), F.lit(1).alias("cluster_id"))
     tables.write_reviews(path, landed, old)
     saved = t.run_reviews.select("review_id", "source", "run_id", F.col("week_start").alias("started_at"), "cluster_id")
     tables.write_reviews(path, t.clustered.select(*facts), saved)

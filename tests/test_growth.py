@@ -11,6 +11,7 @@ from themeloom.functions.pii import PATTERNS, REDACTED, pii_matches, scrub_pii
 from themeloom.functions.text import WHITESPACE, ZERO_WIDTH, collapse_whitespace, strip_space, strip_zero_width
 from themeloom.operators import clustering, sampling, vectors
 from themeloom.operators.windows import lookback_windows
+from themeloom.sources import tables
 
 
 @pytest.fixture(scope="module")
@@ -157,3 +158,22 @@ def test_quicker_patterns_find_the_same(spark):
     ]
     assert list(rows.select(*[F.count_if(~old.eqNullSafe(new)) for old, new in pairs]).first()) == [0] * len(pairs)
     assert "CASE WHEN contains" in str(scrub_pii(t))  # a text without an @ meets no pattern of emails
+
+
+def test_merges_leave_no_copies_of_their_rows(spark, tmp_path):
+    """What a merge writes and shuffles on its way goes with it; rows of other keys and places stay."""
+    folder = tmp_path / "steps"
+    rows = [(f"id{i}", "s", f"text {i}", 1 + i % 5, dt.date(2024, 1, 1) + dt.timedelta(days=i % 20)) for i in range(60)]
+    reviews = spark.createDataFrame(rows, "review_id string, source string, text_clean string, rating int, review_date date")
+    before = spark.sparkContext.getCheckpointDir()
+    spark.sparkContext.setCheckpointDir(str(folder))
+    try:
+        for run, some in (("a", reviews), ("b", reviews.where("rating < 3"))):
+            saved = some.select("review_id", "source", F.lit(run).alias("run_id"), F.lit(None).cast("timestamp").alias("started_at"), F.lit(1).alias("cluster_id"))
+            tables.write_reviews(str(tmp_path / "reviews"), some, saved, buckets=4)
+        assert not list(folder.rglob("step-*"))
+    finally:
+        spark.sparkContext.setCheckpointDir(before)
+    found = {r["review_id"]: r["run_id"] for r in tables.read_table(spark, str(tmp_path / "reviews")).collect()}
+    assert found == {f"id{i}": "b" if i % 5 < 2 else "a" for i in range(60)}
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"

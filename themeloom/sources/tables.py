@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from themeloom.functions.labels import iso_date
 from themeloom.functions.weeks import week_of
-from themeloom.session import cut_lineage
+from themeloom.session import COMPRESSION, cut_lineage, drop_step, shuffles_dropped, step_path
 
 #: Buckets of a week, fixed when a table is first written.
 BUCKETS = 16
@@ -28,6 +28,10 @@ def _stored(spark: SparkSession, path: str, schema) -> DataFrame | None:
         raise
 
 
+def _place() -> Column:
+    return F.concat_ws("/", F.col("week").cast("string"), F.col("bucket").cast("string"))
+
+
 def merge_rows(path: str, fresh: DataFrame, week: Column, keys: list[str], buckets: int = BUCKETS) -> None:
     """Put ``fresh`` into the table at ``path``; stored rows of the same week and ``keys`` give way to it.
 
@@ -35,21 +39,34 @@ def merge_rows(path: str, fresh: DataFrame, week: Column, keys: list[str], bucke
     touched are replaced together when all of them are written, so a lost executor costs its tasks only.
     Not for two writers at a time.
     """
-    spark = fresh.sparkSession
+    spark, steps = fresh.sparkSession, []
+
+    def kept(rows: DataFrame) -> DataFrame:
+        steps.append(step_path(spark))
+        return cut_lineage(rows, steps[-1])
+
     bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
-    placed = cut_lineage(fresh.withColumns({"week": week, "bucket": bucket}))
-    rows, stored = placed, _stored(spark, path, placed.schema)
-    if stored is not None:
-        weeks = [row[0] for row in placed.select("week").distinct().collect()]  # calendar weeks: few
-        touched = stored.where(F.col("week").isin(weeks)).join(placed.select(*_PLACE).distinct(), _PLACE, "left_semi")
-        rows = touched.join(placed.select(*_PLACE, *keys).distinct(), [*_PLACE, *keys], "left_anti").unionByName(placed)
-    (
-        rows.repartition(*_PLACE)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*_PLACE)
-        .parquet(path)
-    )
+    try:
+        placed = kept(fresh.withColumns({"week": week, "bucket": bucket}))
+        rows, stored = placed, _stored(spark, path, placed.schema)
+        if stored is not None:
+            # Whole rows move once to meet the keys, and what is left of them is written before it moves on.
+            places = [row[0] for row in placed.select(_place()).distinct().collect()]  # calendar weeks and buckets: few
+            touched = stored.where(_place().isin(places))
+            left = touched.join(placed.select(*_PLACE, *keys).distinct(), [*_PLACE, *keys], "left_anti")
+            rows = kept(left).unionByName(placed)
+        with shuffles_dropped(spark):
+            (
+                rows.repartition(*_PLACE)
+                .write.mode("overwrite")
+                .option("partitionOverwriteMode", "dynamic")
+                .option("compression", COMPRESSION)
+                .partitionBy(*_PLACE)
+                .parquet(path)
+            )
+    finally:
+        for step in steps:
+            drop_step(spark, step)
 
 
 def review_owners(saved: DataFrame) -> DataFrame:
