@@ -44,6 +44,21 @@ def test_window_weights_are_spread_last(reviews):
     assert 0 <= plan.index("Generate") < plan.index("Exchange")
 
 
+@pytest.mark.parametrize("most", [1, 2, 5])
+def test_rare_terms_go_before_sums_are_spread(spark, reviews, most):
+    rare = reviews.withColumn("text", F.concat_ws(" ", "text", F.concat(F.lit("only"), F.col("ord").cast("string"))))
+    found = vectors.window_tfidf_weights(rare, stop_words=(), max_features=most)
+    plain = vectors.tfidf_weights(lookback_windows(rare).select("product", "week_start", "ord", "text"), ("product", "week_start"), max_features=most, stop_words=())
+    rows = [{(r["product"], r["week_start"], r["ord"], r["term"]): (r["term_index"], r["weight"]) for r in df.collect()} for df in (found, plain)]
+    assert rows[0].keys() == rows[1].keys() and len(rows[0]) > 100
+    assert all(rows[0][key] == pytest.approx(rows[1][key]) for key in rows[0])
+    weekly = spark.createDataFrame(
+        [("p", dt.date(2024, 1, 1) + dt.timedelta(days=7 * w), f"t{i:02d}", 9 - min(i, 8), 1) for w in range(3) for i in range(40)], "product string, _week date, term string, tf long, df long"
+    )
+    left = vectors._possibly_frequent(weekly, ["product"], most, 10)
+    assert {r["term"] for r in left.collect()} == {f"t{i:02d}" for i in range(40) if 3 * (9 - min(i, 8)) >= 10 - most}
+
+
 def test_prompt_sample_is_shortened_before_it_moves(reviews):
     sampled = sampling.sample_for_prompt(reviews.withColumn("run_id", F.col("product")), per_cluster=2, max_chars=9)
     plan = plan_of(sampled)
